@@ -5,27 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.line_dedup import line_dedup
+from graphloom.llm.quality import quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that 10-word windows of benchmark items hit."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ","), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines repeated across documents go; what stays, as a digest."""
     out = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each document, the base rules and the adaptive verdict."""
+    return quality(_table(spark, sf_dir, "documents")).drop("lang", "source")
+
+
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op4_line_dedup": op4_line_dedup,
+    "op10_quality": op10_quality,
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL = {
+    "op1_decontaminate": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        pieces AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, w[i : i + least(len(w), 10) - 1] AS piece
+                   FROM b, LATERAL (SELECT unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i) WHERE len(w) > 0),
+        spots AS (SELECT doc_id, n, i, w[i : i + n - 1] AS piece
+                  FROM d, (SELECT DISTINCT n FROM pieces), LATERAL (SELECT unnest(generate_series(1, len(w) - n + 1)) AS i)),
+        hits AS (SELECT doc_id, item_id, i, s.n FROM spots s JOIN pieces p USING (n, piece)),
+        words AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+                  FROM hits, LATERAL (SELECT unnest(generate_series(i, i + n - 1)) AS p) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+                  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op4_line_dedup": rf"""
         WITH lines AS (
             SELECT doc_id, u.pos, u.line,
@@ -42,4 +76,39 @@ ORACLE_SQL = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op10_quality": r"""
+        WITH d AS (
+            SELECT doc_id, lang, source, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+            FROM documents),
+        spots AS (SELECT doc_id, i, w[i : i + 2] AS piece FROM d, LATERAL (SELECT unnest(generate_series(1, len(w) - 2)) AS i)),
+        often AS (SELECT doc_id, i FROM spots QUALIFY count(*) OVER (PARTITION BY doc_id, piece) > 1),
+        covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM often, LATERAL (SELECT unnest(generate_series(i, i + 2)) AS p) GROUP BY doc_id),
+        counted AS (
+            SELECT doc_id, lang, source, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+                   len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+                   coalesce(n, 0) AS n_repeat_words
+            FROM d LEFT JOIN covered USING (doc_id)),
+        long AS (
+            SELECT doc_id, lang, source, u.feature, u.x, u.least, u.low
+            FROM counted, LATERAL (VALUES
+                ('mean', word_chars / nullif(n_words, 0), 1.0, true), ('symbol', n_symbols / nullif(word_chars, 0), 0.02, false),
+                ('dup', n_dup_lines / nullif(n_words, 0), 0.05, false), ('repeat', n_repeat_words / nullif(n_words, 0), 0.05, false)
+            ) u(feature, x, least, low) WHERE u.x IS NOT NULL),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, feature ORDER BY x) AS r, count(*) OVER (PARTITION BY lang, source, feature) AS n
+            FROM long),
+        ends AS (
+            SELECT lang, source, feature, any_value(least)::DOUBLE AS least, any_value(low) AS low,
+                   max(x) FILTER (r = ceil(n * 0.25)) AS q1, max(x) FILTER (r = ceil(n * 0.75)) AS q3
+            FROM ranked GROUP BY ALL),
+        outside AS (
+            SELECT DISTINCT doc_id FROM long l JOIN ends e
+            ON l.lang IS NOT DISTINCT FROM e.lang AND l.source IS NOT DISTINCT FROM e.source AND l.feature = e.feature
+            WHERE x > q3 + greatest(q3 - q1, e.least) * 8 OR (e.low AND x < q1 - greatest(q3 - q1, e.least) * 8))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND o.doc_id IS NULL AS kept
+        FROM counted LEFT JOIN outside o USING (doc_id)""",
 }
