@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.line_dedup import line_dedup
 from graphloom.llm.quality import quality
+from graphloom.llm.simhash import simhash_groups
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of each document."""
+    out = simhash_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each document, the base rules and the adaptive verdict."""
     return quality(_table(spark, sf_dir, "documents")).drop("lang", "source")
@@ -36,6 +43,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op4_line_dedup": op4_line_dedup,
+    "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
 
