@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.bpe import bpe_round_trip
+from graphloom.llm.common import shared_dir
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.line_dedup import line_dedup
 from graphloom.llm.quality import quality
 from graphloom.llm.simhash import simhash_groups
+from graphloom.llm.token_store import token_digests, write_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +35,21 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents written as compressed byte planes and read back."""
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return token_digests(spark, path)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document by rank merges, and the bytes they decode to, as digests."""
+    docs = _table(spark, sf_dir, "documents")
+    out = bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    n = (F.octet_length("ids") / 4).cast("long")
+    return out.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of each document."""
     out = simhash_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -43,6 +64,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op4_line_dedup": op4_line_dedup,
+    "op5_token_store": op5_token_store,
+    "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
