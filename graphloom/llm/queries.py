@@ -11,10 +11,17 @@ from pyspark.sql import functions as F
 from graphloom.llm.bpe import bpe_round_trip
 from graphloom.llm.common import shared_dir
 from graphloom.llm.decontaminate import decontaminate
+from graphloom.llm.license_scan import license_scan
 from graphloom.llm.line_dedup import line_dedup
 from graphloom.llm.quality import quality
 from graphloom.llm.simhash import simhash_groups
 from graphloom.llm.token_store import token_digests, write_tokens
+from graphloom.llm.url_filter import host_of, url_filter
+
+#: (verdict, host, path) of the rules that op2 applies.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: Words in a host that put its pages on the list of blocked URLs.
+SPAM_HOST_WORDS = "casino|pills|spam"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +36,23 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules first; then URLs whose canonical form is that of a page on a spam host are blocked."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(host_of(F.col("url")).rlike(SPAM_HOST_WORDS)).select("url")
+    return url_filter(pages, URL_RULES, listed).drop("url")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and license rules over each document."""
+    out = license_scan(_table(spark, sf_dir, "documents"))
+    starts = F.col("base_starts")
+    return out.select(
+        "doc_id", "n_words", F.size(starts).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines repeated across documents go; what stays, as a digest."""
     out = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -63,6 +87,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_url_filter": op2_url_filter,
+    "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_store": op5_token_store,
     "op8_bpe": op8_bpe,
@@ -91,6 +117,26 @@ ORACLE_SQL = {
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op2_url_filter": r"""
+        WITH p AS (
+            SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+            FROM pages),
+        parts AS (
+            SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':\d*$', ''), '^(www|m)\.', '')
+                   || regexp_replace(regexp_replace(path, '(/index)?\.html?$', ''), '/+$', '') AS stem,
+                   list_sort(list_filter(string_split(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '&'),
+                       lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=&]*|ref|fbclid|gclid|session|sid)(=|$)'))) AS q
+            FROM p),
+        c AS (SELECT *, CASE WHEN contains(url, '://') THEN stem || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS canonical_url FROM parts),
+        rules(rule, verdict, h, d) AS (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'),
+                                              ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
+        judged AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS ruled
+                   FROM c JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, d) GROUP BY page_id),
+        listed AS (SELECT DISTINCT canonical_url FROM c WHERE regexp_matches(host, 'casino|pills|spam'))
+        SELECT page_id, host, path, rule, canonical_url,
+               coalesce(ruled, CASE WHEN canonical_url IN (FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM c LEFT JOIN judged USING (page_id)""",
     "op4_line_dedup": rf"""
         WITH lines AS (
             SELECT doc_id, u.pos, u.line,
