@@ -5,17 +5,21 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import bpe_round_trip
 from graphloom.llm.common import shared_dir
 from graphloom.llm.decontaminate import decontaminate
+from graphloom.llm.langid import predict as predict_langid
+from graphloom.llm.langid import sample as sample_langid
+from graphloom.llm.langid import train as train_langid
 from graphloom.llm.license_scan import license_scan
 from graphloom.llm.line_dedup import line_dedup
 from graphloom.llm.quality import quality
 from graphloom.llm.simhash import simhash_groups
 from graphloom.llm.token_store import token_digests, write_tokens
+from graphloom.llm.toxicity import toxicity
 from graphloom.llm.url_filter import host_of, url_filter
 
 #: (verdict, host, path) of the rules that op2 applies.
@@ -66,6 +70,28 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+def _remainder(of: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, learned from three of four folds."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    train_on = F.coalesce(_remainder(4) != 2, F.lit(False))
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
+    model = train_langid(sample_langid(docs, train_on))
+    return predict_langid(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, learned from two of three folds."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    train_on = F.coalesce(_remainder(3) != 1, F.lit(False))
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
+    out = toxicity(docs, _table(spark, sf_dir, "labels"), train_on)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document by rank merges, and the bytes they decode to, as digests."""
     docs = _table(spark, sf_dir, "documents")
@@ -91,6 +117,8 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_store": op5_token_store,
+    "op6_langid": op6_langid,
+    "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
