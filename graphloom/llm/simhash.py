@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm.common import written
 
@@ -51,17 +52,18 @@ def fingerprint(text: str | bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row's text, as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns to keep: the fingerprint of each row's text, as a signed long."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.large_binary() if pa.types.is_large_string(b.column(1).type) else pa.binary())
             fps = np.array([fingerprint(t.as_py(), shingle) for t in texts], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *keep])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {kind}, fp bigint")
+    slim = docs.select("doc_id", "text", *keep)
+    kinds = {f.name: f for f in slim.schema.fields}
+    return slim.mapInArrow(each, T.StructType([kinds["doc_id"], T.StructField("fp", T.LongType()), *(kinds[k] for k in keep)]))
 
 
 def _signed(mask: int) -> int:
@@ -249,17 +251,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, crowd: int = CROWD, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, fp, component_id) for each row.
+def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, crowd: int = CROWD, limit: int = LIMIT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, component_id) for each row, with the columns to keep.
 
     A null or empty text has fingerprint 0 and is linked like any other. component_id
     is the smallest doc_id reachable, the row's own included; null only if all ids of
     the component are null. Repeated rows come out repeated. Other columns of docs are
-    not used. ``radius`` is at most 6, what three counter bits hold.
+    not used; kept ones must not be named fp or component_id. ``radius`` is at most 6, what three counter bits hold.
     """
     if not 0 <= radius <= 6:
         raise ValueError("radius must be from 0 to 6")
-    each = written(fingerprints(docs, shingle), "fingerprints")
+    each = written(fingerprints(docs, shingle, keep), "fingerprints")
     nodes = written(each.groupBy("fp").agg(F.min("doc_id").alias("smallest")), "nodes")
     links = written(near_links(nodes.select("fp"), nodes.count(), radius, crowd, limit), "found")
     labels = components(links)
@@ -267,4 +269,4 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     least = named.groupBy("label").agg(F.min("smallest").alias("component_id"))
     linked = named.join(least, "label").select("fp", "component_id")
     of = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "smallest").alias("component_id"))
-    return each.join(of, "fp").select("doc_id", "fp", "component_id")
+    return each.join(of, "fp").select("doc_id", "fp", "component_id", *keep)
