@@ -20,23 +20,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.pieces import PieceEncoder
+from graphloom.llm.pieces import PieceEncoder, Words
 
 _WORDS = 20_000  # to a query
 _LONG = 48  # bytes from which a word takes several merges a round
 _TEXT_BYTES = 1_500_000
 
+#: A token's row knows the token after it and the rank of the two. Each round finds every
+#: word's leftmost pair of minimum rank (from, upto, made): the row ``upto`` becomes the merged
+#: token, the row ``from`` goes, and the row before takes the merged token as its next one.
+#: Rows of words without a pair come out done.
+_ONE = """
+    WITH RECURSIVE step(w, pos, after, id, following, rank, done) AS (
+        SELECT b.w, b.pos, b.after, b.id, b.following, m.rank, false
+        FROM bytes b LEFT JOIN merges m ON m.a = b.id AND m.b = b.following
+        UNION ALL
+        SELECT n.w, n.pos, n.after, n.id, n.following,
+               CASE WHEN n.fresh THEN m.rank ELSE n.rank END, n.done
+        FROM (
+            SELECT s.w, s.pos, s.rank, h.made IS NULL AS done,
+                   CASE WHEN s.after = h.start THEN h.upto ELSE s.after END AS after,
+                   CASE WHEN s.pos = h.upto THEN h.made ELSE s.id END AS id,
+                   CASE WHEN s.after = h.start THEN h.made ELSE s.following END AS following,
+                   coalesce(s.pos = h.upto OR s.after = h.start, false) AS fresh
+            FROM step s JOIN (
+                SELECT w, hit.start AS start, hit.upto AS upto, hit.made AS made
+                FROM (SELECT w, arg_min({'start': pos, 'upto': after, 'made': rank}, rank::BIGINT << 32 | pos) AS hit
+                      FROM step WHERE NOT done GROUP BY w)
+            ) h ON s.w = h.w
+            WHERE NOT s.done AND s.pos IS DISTINCT FROM h.start
+        ) n LEFT JOIN merges m ON m.a = n.id AND m.b = n.following
+    )
+    SELECT w, id FROM step WHERE done ORDER BY w, pos"""
 _PAIRED = """
     SELECT s.w, s.pos, s.id, m.rank FROM (
         SELECT w, pos, id, lead(id) OVER (PARTITION BY w ORDER BY pos) AS following FROM ({rows})
     ) s LEFT JOIN merges m ON m.a = s.id AND m.b = s.following"""
 _RANKED = f"SELECT w, pos, id, rank, min(rank) OVER (PARTITION BY w) AS best FROM ({_PAIRED})"
-_ONE = """
-    SELECT w, pos, id, rank, rank = best AND pos = min(CASE WHEN rank = best THEN pos END) OVER (PARTITION BY w) AS hit
-    FROM step WHERE best IS NOT NULL"""
 #: even: the place is not the second of two overlapping ones. risky: a merge here brings a lower rank.
 _MANY = """
     SELECT w, pos, id, rank, even AND coalesce(bool_or(risky AND even) OVER (
@@ -58,12 +82,15 @@ _CONTRACTED = """
         FROM ({hits})) WHERE NOT gone"""
 
 
-def _encode_sql(hits: str) -> str:
-    first = _RANKED.format(rows="SELECT w, pos, id FROM bytes")
-    again = _RANKED.format(rows=_CONTRACTED.format(hits=hits))
-    return f"""
-        WITH RECURSIVE step(w, pos, id, rank, best) AS ({first} UNION ALL {again})
-        SELECT w, list(id ORDER BY pos) AS ids FROM step WHERE best IS NULL GROUP BY w"""
+_FIRST = _RANKED.format(rows="SELECT w, pos, id FROM bytes")
+_AGAIN = _RANKED.format(rows=_CONTRACTED.format(hits=_MANY))
+_LONG_WORDS = f"""
+    WITH RECURSIVE step(w, pos, id, rank, best) AS ({_FIRST} UNION ALL {_AGAIN})
+    SELECT w, id FROM step WHERE best IS NULL ORDER BY w, pos"""
+
+
+def _is_text(token: bytes) -> bool:
+    return token == token.decode(errors="ignore").encode()
 
 
 class Bpe:
@@ -82,9 +109,11 @@ class Bpe:
         a, b, r = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
         self._create("merges", a=a, b=b, rank=r)
         self._create("tokens", id=pa.array(ranks.values(), pa.int32()), hex=pa.array([t.hex() for t in ranks]))
-        self._one, self._many = _encode_sql(_ONE), _encode_sql(_MANY)
-        self._words: dict[str, bytes] = {}
-        self.encode = PieceEncoder(self._encode)
+        self._ids: dict[str, bytes] = {}  # of the words of the last query
+        # A word that is a token stands for itself, as it does in the library.
+        self._whole = {t.decode(): np.array([r], dtype="<u4").tobytes() for t, r in ranks.items() if _is_text(t)}
+        self._words = Words(self._ids.__getitem__)
+        self._pieces = PieceEncoder(self._split, self._words)
 
     def _create(self, name: str, **columns: pa.Array) -> None:
         self._con.register("given", pa.table(columns))
@@ -92,38 +121,39 @@ class Bpe:
         self._con.unregister("given")
 
     def _contract(self, words: list[str], sql: str) -> None:
-        """Encodes distinct words and keeps their ids."""
+        """Encodes distinct words by a recursive query."""
         raw = [w.encode() for w in words]
         sizes = np.array([len(x) for x in raw])
         word = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
-        pos = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        pos = (np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
         ids = self._bytes[np.frombuffer(b"".join(raw), dtype=np.uint8)]
-        self._con.register("bytes", pa.table({"w": word, "pos": pos, "id": ids}))
+        ends = pa.array(pos == np.repeat(sizes - 1, sizes))
+        after = pc.if_else(ends, None, pa.array(pos + 1))
+        following = pc.if_else(ends, None, pa.array(np.r_[ids[1:], 0].astype(np.int32)))
+        self._con.register("bytes", pa.table({"w": word, "pos": pos, "after": after, "id": ids, "following": following}))
         found = self._con.sql(sql).to_arrow_table()
         self._con.unregister("bytes")
-        for w, x in zip(found["w"].to_pylist(), found["ids"].to_pylist(), strict=True):
-            self._words[words[w]] = np.array(x, dtype="<u4").tobytes()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self._words) > 250_000:
-            self._words.clear()
-        split = [self._split(t) for t in texts]
-        new = list({w for x in split for w in x if w not in self._words})
+        cuts = 4 * np.r_[0, np.cumsum(np.bincount(found["w"].to_numpy(), minlength=len(words)))]
+        flat = found["id"].to_numpy().astype("<u4").tobytes()
+        self._ids.update(zip(words, (flat[a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian uint32 bytes."""
+        self._ids.clear()
+        new = self._pieces.unseen(texts)
+        self._ids.update((w, self._whole[w]) for w in new if w in self._whole)
+        new.difference_update(self._ids)
         short = [w for w in new if len(w) * 4 <= _LONG or len(w.encode()) <= _LONG]
-        long = sorted(set(new).difference(short), key=len)
+        long = sorted(new.difference(short), key=len)
         for at in range(0, len(short), _WORDS):
-            self._contract(short[at : at + _WORDS], self._one)
+            self._contract(short[at : at + _WORDS], _ONE)
         while long:
             n = 1
             while n < len(long) and (n + 1) * len(long[n]) <= _WORDS * 8:
                 n += 1
-            self._contract(long[:n], self._many)
+            self._contract(long[:n], _LONG_WORDS)
             del long[:n]
-        out = [b"".join([self._words[w] for w in x]) for x in split]
-        for w in new:
-            if len(w) > _LONG:
-                del self._words[w]
-        return out
+        return [self._pieces.encode(t) for t in texts]
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
         """The bytes of each list of ids, ordered by position."""

@@ -4,61 +4,87 @@ Byte-level BPE splits a text by a pattern before it merges, and no match of that
 pattern runs over a space that follows a non-space, except that it may begin with it.
 So a text can be cut before each such space and the pieces encoded apart: the ids are
 those of the whole text. A text with a space after white space has no such cut there
-and is encoded whole. Distinct pieces are few against all pieces, and a worker keeps
-their ids from one batch to the next, up to ``limit`` pieces.
+and is encoded whole. Distinct pieces and words are few against all, so a worker keeps
+the ids of those it sees first, up to a bound, from one batch to the next.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-_LONG = 64  # longer pieces seldom come again
+_MARKS = tuple(".,;:!?")
+_LONG = 64  # longer pieces and words seldom come again
 
 
-class PieceEncoder:
-    """``encode`` maps strings to their ids, each as little-endian uint32 bytes."""
+class _Uneven(Exception):
+    """A piece that ends in white space joins the space behind it."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 250_000):
+
+def uneven(piece: str) -> bool:
+    return not piece or piece[-1].isspace()
+
+
+class Words(dict):
+    """Ids of words (matches of the pattern), as little-endian uint32 bytes."""
+
+    def __init__(self, encode: Callable[[str], bytes], limit: int = 300_000):
+        super().__init__()
         self._encode, self._limit = encode, limit
-        self._inner: dict[str, bytes | None] = {}  # pieces after a space; None: white space at the end
-        self._edge: dict[str, bytes] = {}  # the first piece of a text, and odd last ones
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self._inner) + len(self._edge) > self._limit:
-            self._inner.clear()
-            self._edge.clear()
-        inner, edge = self._inner, self._edge
-        cut, new_inner, new_edge = [], set(), set()
-        for t in texts:
-            head, *rest = t.split(" ")
-            last = ""
-            if rest and (not rest[-1] or rest[-1][-1].isspace()):
-                last = " " + rest.pop()
-            cut.append((head, rest, last))
-            new_inner.update(rest)
-            new_edge.update((head, last))
-        new_inner, new_edge = [x for x in new_inner if x not in inner], [x for x in new_edge if x not in edge]
-        fine = [x for x in new_inner if x and not x[-1].isspace()]
-        inner.update(dict.fromkeys(new_inner))
-        ids = self._encode([*(" " + x for x in fine), *new_edge])
-        inner.update(zip(fine, ids, strict=False))
-        edge.update(zip(new_edge, ids[len(fine) :], strict=True))
-
-        out: list[bytes | None] = []
-        for head, rest, last in cut:
-            # White space at the end of the first piece joins the space behind it.
-            if head and head[-1].isspace() and (rest or last):
-                out.append(None)
-                continue
-            try:
-                out.append(edge[head] + b"".join(map(inner.__getitem__, rest)) + edge[last])
-            except TypeError:  # a piece of None
-                out.append(None)
-        whole = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(whole, self._encode([texts[i] for i in whole]) if whole else (), strict=True):
-            out[i] = x
-        for x in [x for x in new_inner if len(x) > _LONG]:
-            del inner[x]
-        for x in [x for x in new_edge if len(x) > _LONG]:
-            del edge[x]
-        return out
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self._encode(word)
+        if len(self) < self._limit and len(word) <= _LONG:
+            self[word] = ids
+        return ids
+
+
+class PieceEncoder(dict):
+    """Ids of whole texts; as a dictionary, of pieces that follow a space."""
+
+    def __init__(self, split: Callable[[str], list[str]], words: Words, limit: int = 500_000):
+        super().__init__()
+        self._split, self._words, self._limit = split, words, limit
+
+    def __missing__(self, piece: str) -> bytes:
+        if uneven(piece):
+            raise _Uneven
+        ids = b"".join(map(self._words.__getitem__, self._parts(piece)))
+        if len(self) < self._limit and len(piece) <= _LONG:
+            self[piece] = ids
+        return ids
+
+    def _parts(self, piece: str) -> list[str]:
+        """The words of a piece with its space; those of plain words without the pattern."""
+        if piece.isalpha():
+            return [" " + piece]
+        if piece[-1:] in _MARKS and piece[:-1].isalpha():
+            return [" " + piece[:-1], piece[-1]]
+        return self._split(" " + piece)
+
+    def _whole(self, text: str) -> bytes:
+        return b"".join(map(self._words.__getitem__, self._split(text)))
+
+    def encode(self, text: str) -> bytes:
+        head, *rest = text.split(" ")
+        last = " " + rest.pop() if rest and uneven(rest[-1]) else ""
+        if head and head[-1].isspace() and (rest or last):
+            return self._whole(text)
+        try:
+            return self._whole(head) + b"".join(map(self.__getitem__, rest)) + self._whole(last)
+        except _Uneven:
+            return self._whole(text)
+
+    def unseen(self, texts: Iterable[str]) -> set[str]:
+        """The words that encoding these texts needs and that are not kept."""
+        cut = [t.split(" ") for t in texts]
+        new = set()
+        for p in cut:
+            new.update(p)
+        new.difference_update(self)
+        odd = {p for p in new if uneven(p)}
+        found = {w for p in new for w in self._parts(p)}
+        for p in cut:
+            found.update(self._split(p[0]))
+            if not odd.isdisjoint(p):
+                found.update(self._split(" ".join(p)))
+        return found.difference(self._words)
