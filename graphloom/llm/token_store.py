@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from graphloom.llm.pieces import PieceEncoder
+from graphloom.llm.pieces import PieceEncoder, Words
 
 BLOCK = 65_536
 END = 0
 _LEVEL = 3
-_TEXT_BYTES = 4_000_000  # encoded at a time
 
 SCHEMA = T.StructType([
     T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("n_ids", T.IntegerType()),
@@ -60,41 +60,36 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     return np.ascontiguousarray(octets).view("<u4").reshape(-1)
 
 
+#: Characters that byte-level tokenizers write for bytes: printable ones for themselves,
+#: the others in order from U+0100; fixed values.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = [i for i in range(256) if i not in _SHOWN]
+_AS_CHARACTERS = {i: chr(256 + _HIDDEN.index(i)) for i in _HIDDEN}
+
+
 @functools.cache
-def _encoder(path: str) -> PieceEncoder:
+def _encoder(path: str, pattern: str) -> PieceEncoder:
     """One for each worker and tokenizer file, kept from task to task."""
+    import regex
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def encode(texts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 20_000):
-            part = tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)
-            out += [np.array(x.ids, dtype="<u4").tobytes() for x in part]
-        return out
-
-    return PieceEncoder(encode)
+    merge = Tokenizer.from_file(path).model.tokenize
 
+    def encode(word: str) -> bytes:
+        if word.isascii() and (rest := word[word[0] == " " :]).isalpha():
+            shown = _AS_CHARACTERS[32] + rest if len(rest) < len(word) else word
+        else:
+            shown = word.encode().decode("latin-1").translate(_AS_CHARACTERS)
+        return array("I", [t.id for t in merge(shown)]).tobytes()
 
-def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about _TEXT_BYTES each."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= _TEXT_BYTES:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+    return PieceEncoder(regex.compile(pattern).findall, Words(encode))
 
 
-def _encode_shard(path: str, end: int, block: int, kind: str):
+def _encode_shard(path: str, pattern: str, end: int, block: int, kind: str):
     closing = int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, encode = TaskContext.get().partitionId(), _encoder(path)
+        shard, encode = TaskContext.get().partitionId(), _encoder(path, pattern).encode
         held, index, n_held, number, seq, at = [], [], 0, 0, 0, 0
 
         def flush(ids: np.ndarray) -> pa.RecordBatch:
@@ -105,29 +100,29 @@ def _encode_shard(path: str, end: int, block: int, kind: str):
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=SCHEMA.names)
 
         for b in batches:
-            ids_of, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in _batches(texts):
-                for doc_id, raw in zip(ids_of[lo:hi], encode(texts[lo:hi]), strict=True):
-                    ids = np.frombuffer(raw + closing, dtype="<u4")
-                    offset = 0
-                    while offset < len(ids):
-                        part = ids[offset : offset + block - n_held]
-                        index.append((doc_id, seq, at, len(ids), offset, len(part)))
-                        held.append(part)
-                        n_held, offset = n_held + len(part), offset + len(part)
-                        if n_held == block:
-                            yield flush(np.concatenate(held))
-                            held, n_held, number = [], 0, number + 1
-                    seq, at = seq + 1, at + len(ids)
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ids = np.frombuffer(encode(text.as_py()) + closing, dtype="<u4")
+                offset = 0
+                while offset < len(ids):
+                    part = ids[offset : offset + block - n_held]
+                    index.append((doc_id, seq, at, len(ids), offset, len(part)))
+                    held.append(part)
+                    n_held, offset = n_held + len(part), offset + len(part)
+                    if n_held == block:
+                        yield flush(np.concatenate(held))
+                        held, n_held, number = [], 0, number + 1
+                seq, at = seq + 1, at + len(ids)
         if n_held:
             yield flush(np.concatenate(held))
 
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END, block: int = BLOCK, kind: str = "byte") -> None:
+def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, path: str, end: int = END, block: int = BLOCK, kind: str = "byte") -> None:
     """Encodes each document's text and writes the ids, ``end`` after each, to ``path``.
 
+    ``tokenizer`` is a byte-level BPE file of the tokenizers library, without added
+    spaces, whose words match ``pattern``; strings of special tokens are ordinary text.
     Documents stand in ascending doc_id order over all shards, null ids first; rows that
     share an id stand by the hash of their text. A null text is an empty one.
     """
@@ -136,7 +131,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END, blo
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("text").alias("tie"))
     dealt = slim.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
-    dealt.mapInArrow(_encode_shard(tokenizer, end, block, kind), SCHEMA).write.parquet(path)
+    dealt.mapInArrow(_encode_shard(tokenizer, pattern, end, block, kind), SCHEMA).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -31,7 +31,7 @@ def test_documents_come_back_in_order(spark, tmp_path, kind):
     texts = [(5, "one two"), (2, None), (9, ""), (1, "word " * 300), (2, "again"), (7, "<|endoftext|> 日本"), (5, "one two")]
     docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
     docs = docs.withColumn("ids", docs.text).withColumn("shard", docs.doc_id)
-    write_tokens(docs, JSON, str(tmp_path / "t"), block=64, kind=kind)
+    write_tokens(docs, JSON, P.PATTERN, str(tmp_path / "t"), block=64, kind=kind)
     library = Tokenizer.from_file(JSON)
     library.encode_special_tokens = True
     want = [[*library.encode(t or "", add_special_tokens=False).ids, 0] for _, t in texts]
@@ -49,10 +49,10 @@ def test_documents_come_back_in_order(spark, tmp_path, kind):
 
 def test_empty_and_null_ids(spark, tmp_path):
     docs = spark.createDataFrame([(None, "x"), (3, "y")], "doc_id bigint, text string")
-    write_tokens(docs, JSON, str(tmp_path / "a"))
+    write_tokens(docs, JSON, P.PATTERN, str(tmp_path / "a"))
     rows = sorted(token_digests(spark, str(tmp_path / "a")).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in rows] == [None, 3]
-    write_tokens(docs.limit(0), JSON, str(tmp_path / "b"))
+    write_tokens(docs.limit(0), JSON, P.PATTERN, str(tmp_path / "b"))
     assert token_digests(spark, str(tmp_path / "b")).count() == 0
     with pytest.raises(ValueError):
-        write_tokens(docs, JSON, str(tmp_path / "c"), kind="nibble")
+        write_tokens(docs, JSON, P.PATTERN, str(tmp_path / "c"), kind="nibble")
