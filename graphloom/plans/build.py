@@ -1,4 +1,4 @@
-"""Documents to validated graphs, as one lazy plan."""
+"""Documents to validated graphs."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from graphloom.operators.structural import structural_edges, structural_nodes
 from graphloom.operators.tree import tree_nodes
 from graphloom.operators.validate import MIN_CONFIDENCE, graph_stats, judge_edges, judge_nodes
 from graphloom.plans.schema import Ontology
+from graphloom.scratch import written
 
 
 class Graph(NamedTuple):
@@ -35,10 +36,10 @@ class Graph(NamedTuple):
 
 def finish(documents: DataFrame, tree: DataFrame, pieces: DataFrame, nodes: DataFrame, edges: DataFrame, ontology: Ontology = Ontology(), min_confidence: float = MIN_CONFIDENCE) -> Graph:
     """Adds the structural graph to candidate nodes and edges, merges and validates all."""
-    all_nodes = structural_nodes(tree).unionByName(nodes)
+    all_nodes = written(structural_nodes(tree).unionByName(nodes), "nodes")
     all_edges = structural_edges(tree).unionByName(edges)
-    judged_nodes = judge_nodes(cluster_nodes(all_nodes), ontology)
-    judged_edges = judge_edges(merge_edges(all_edges, all_nodes), judged_nodes, ontology, min_confidence)
+    judged_nodes = written(judge_nodes(cluster_nodes(all_nodes), ontology), "judged-nodes")
+    judged_edges = written(judge_edges(merge_edges(all_edges, all_nodes), judged_nodes, ontology, min_confidence), "judged-edges")
     return Graph(documents, tree, pieces, judged_nodes, judged_edges, graph_stats(documents, judged_nodes, judged_edges))
 
 
@@ -48,10 +49,10 @@ def build(
 ) -> Graph:
     """The graphs of all documents by pattern extraction.
 
-    Every step keys on document_id, so the steps share one partitioning. The tree and
-    the chunks feed several branches; ``plans.store.persisted`` writes them once.
+    Every step keys on document_id, so the steps share one partitioning. What feeds
+    several branches is written once to the shared folder.
     """
-    tree = tree_nodes(documents, components(documents))
+    tree = written(tree_nodes(documents, components(documents)), "tree")
     pieces = chunks(tree, split_text, split_paragraphs, size, overlap)
-    found = mentions(pieces)
+    found = written(mentions(pieces), "mentions")
     return finish(documents, tree, pieces, entity_nodes(found), mention_edges(found).unionByName(pair_edges(found)), ontology, min_confidence)
