@@ -20,6 +20,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions.text import SPACE, compact_text, normalize_key, stable_id, strip
 from graphloom.operators.metadata import meta, with_fields
@@ -146,7 +147,7 @@ def records(answers: DataFrame) -> DataFrame:
     return rows.where(F.col("part").rlike(r"(?s)\(.*\)")).withColumn("fields", fields).drop("part")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility composition, which SQL does not have."""
     return texts.map(lambda t: unicodedata.normalize("NFKC", t or ""))
