@@ -22,6 +22,17 @@ def ascii_lower(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
+def ascii_words(text: Column) -> Column:
+    """The words of a text (matches of ``WORD``) with A-Z lower-cased, in order; null gives an empty array.
+
+    One pass maps capitals to small letters and all other ASCII to spaces, which is
+    faster than a regex.
+    """
+    others = "".join(chr(i) for i in range(128) if not chr(i).isalnum())
+    spaced = F.translate(F.coalesce(text, F.lit("")), _UPPER + others, _LOWER + " " * len(others))
+    return F.array_remove(F.split(spaced, " ", -1), "")
+
+
 def words_of(text: Column, pattern: str = WORD) -> Column:
     """All words of a text, in order; null gives an empty array."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({pattern})"), F.lit(1))

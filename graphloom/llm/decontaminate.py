@@ -23,17 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import ascii_lower, words_of, written
+from graphloom.llm.common import ascii_words, written
 
 WINDOW = 10
 SHINGLE = 3
 BLOCK = 200_000
 
 
-def _words(text: Column) -> Column:
-    return words_of(ascii_lower(text))
-
-
 def _shingle(words: str, at: Column, size: int) -> Column:
     """Hash of the shingle at a place; places past the end add nothing."""
     return F.xxhash64(F.lit(size), *(F.get(words, at + i) for i in range(size)))
@@ -45,7 +41,7 @@ def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     An item without words has none. Items with a null id have windows, which mark
     words as hit, but the id itself is not listed.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), _words(F.col("text")).alias("words"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), ascii_words(F.col("text")).alias("words"))
     items = items.where(F.size("words") > 0)
     last = F.greatest(F.size("words") - window, F.lit(0))
     at = items.select("item_id", "words", F.explode(F.sequence(F.lit(0), last)).alias("at"))
@@ -55,7 +51,7 @@ def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def _tokens(docs: DataFrame, sizes: list[int]) -> DataFrame:
     """(doc_id, uid, words, pos, token): one row for each shingle of each document."""
-    split = docs.select("doc_id", "uid", _words(F.col("text")).alias("words"))
+    split = docs.select("doc_id", "uid", ascii_words(F.col("text")).alias("words"))
     placed = split.select("doc_id", "uid", "words", F.posexplode_outer("words").alias("pos", "_"))
     placed = placed.where(F.col("pos").isNotNull())
     tokens = [_shingle("words", F.col("pos"), s) for s in sizes]
@@ -113,7 +109,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     whole = docs.drop("n_words", "n_hit", "items", "contaminated", "_doc", "_uid")
     uid = F.xxhash64("text", "doc_id")
     slim = docs.select("doc_id", "text", uid.alias("uid"))
-    judged = whole.withColumn("_uid", uid).withColumn("n_words", F.size(_words(F.col("text"))).cast("long"))
+    judged = whole.withColumn("_uid", uid).withColumn("n_words", F.size(ascii_words(F.col("text"))).cast("long"))
     found = find_windows(slim, benchmark, window, shingle, block)
     if found is None:
         hits = judged.withColumns({"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>")})
