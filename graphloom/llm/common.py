@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from graphloom.scratch import shared_dir, written
+
+__all__ = ["SPACES", "TOKEN", "WORD", "ascii_lower", "ascii_words", "shared_dir", "words_of", "written"]
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters, digits and everything beyond ASCII make words; for lower-cased text.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -36,36 +37,3 @@ def ascii_words(text: Column) -> Column:
 def words_of(text: Column, pattern: str = WORD) -> Column:
     """All words of a text, in order; null gives an empty array."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({pattern})"), F.lit(1))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none, as in local tests, a temporary folder is
-    taken and set for the rest of the session.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = getattr(shared_dir, "own", None)
-        if at is None:
-            at = shared_dir.own = tempfile.mkdtemp(prefix="graphloom-")
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and returns it as read from there.
-
-    This cuts the lineage: a lost executor costs no recomputation of what stands
-    before. The folder's owner removes the table with the folder.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def has_columns(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns alone, so that extra columns with clashing names do no harm."""
-    return df.select(*(F.col(f"`{n}`") for n in names))

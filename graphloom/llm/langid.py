@@ -69,7 +69,8 @@ def sample(docs: DataFrame, learn: Column, per_label: int = PER_LABEL) -> DataFr
     rows = docs.where(learn & F.col("lang").isNotNull()).select("doc_id", "lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_label).select("doc_id", "lang")
-    found = docs.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"], "left_semi")
+    # At most per_label short rows for each column of the model, which is broadcast too.
+    found = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
     again = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))  # ids may repeat
     return found.withColumn("nth", F.row_number().over(again)).where(F.col("nth") <= per_label).select("lang", "text")
 
