@@ -17,7 +17,7 @@ from graphloom.llm.common import TOKEN, words_of, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-REACH = 8.0
+REACH = 3.0
 #: Sketches keep this many points, an error in rank of 1 / ACCURACY.
 ACCURACY = 10_000
 #: Groups whose thresholds are broadcast at most; more of them are joined by a shuffle.
@@ -27,7 +27,7 @@ FEATURES = {
     "mean_chars": (1.0, True, True),
     "symbol_share": (0.02, True, False),
     "dup_line_share": (0.05, True, False),
-    "repeat_share": (0.05, True, False),
+    "repeat_share": (0.1, True, False),
 }
 _BITS = 24  # of a packed window that hold its place
 

@@ -199,7 +199,7 @@ ORACLE_SQL = {
             SELECT doc_id, lang, source, u.feature, u.x, u.least, u.low
             FROM counted, LATERAL (VALUES
                 ('mean', word_chars / nullif(n_words, 0), 1.0, true), ('symbol', n_symbols / nullif(word_chars, 0), 0.02, false),
-                ('dup', n_dup_lines / nullif(n_words, 0), 0.05, false), ('repeat', n_repeat_words / nullif(n_words, 0), 0.05, false)
+                ('dup', n_dup_lines / nullif(n_words, 0), 0.05, false), ('repeat', n_repeat_words / nullif(n_words, 0), 0.1, false)
             ) u(feature, x, least, low) WHERE u.x IS NOT NULL),
         ranked AS (
             SELECT *, row_number() OVER (PARTITION BY lang, source, feature ORDER BY x) AS r, count(*) OVER (PARTITION BY lang, source, feature) AS n
@@ -211,7 +211,7 @@ ORACLE_SQL = {
         outside AS (
             SELECT DISTINCT doc_id FROM long l JOIN ends e
             ON l.lang IS NOT DISTINCT FROM e.lang AND l.source IS NOT DISTINCT FROM e.source AND l.feature = e.feature
-            WHERE x > q3 + greatest(q3 - q1, e.least) * 8 OR (e.low AND x < q1 - greatest(q3 - q1, e.least) * 8))
+            WHERE x > q3 + greatest(q3 - q1, e.least) * 3 OR (e.low AND x < q1 - greatest(q3 - q1, e.least) * 3))
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
                n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND o.doc_id IS NULL AS kept
