@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.scratch import shared_dir, written
 
-__all__ = ["SPACES", "TOKEN", "WORD", "ascii_lower", "ascii_words", "shared_dir", "words_of", "written"]
+__all__ = ["SPACES", "TOKEN", "WORD", "ascii_lower", "ascii_words", "bounded_sample", "shared_dir", "words_of", "written"]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters, digits and everything beyond ASCII make words; for lower-cased text.
@@ -37,3 +38,22 @@ def ascii_words(text: Column) -> Column:
 def words_of(text: Column, pattern: str = WORD) -> Column:
     """All words of a text, in order; null gives an empty array."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({pattern})"), F.lit(1))
+
+
+def bounded_sample(docs: DataFrame, rows: DataFrame, label: str, most: int) -> DataFrame:
+    """(label, text) of at most ``most`` documents of each label among ``rows`` (doc_id, label), for fitting a model.
+
+    The documents with the smallest hashes of their ids are taken. Hashes are spread
+    evenly, so all rows but about twice as many as needed are left out by their hash
+    before rows of a label meet in one task. Ids and counts by label are broadcast: most
+    rows for each label of the model at most.
+    """
+    spread = 1 << 31
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
+    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    near = rows.join(F.broadcast(sizes), label).where(place.cast("double") * F.col("n") <= float((2 * most + 100) * spread))
+    order = Window.partitionBy(label).orderBy(place, "doc_id")
+    ids = near.select("doc_id", label).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("doc_id", label).distinct()
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    again = Window.partitionBy(label).orderBy(place, "doc_id", F.xxhash64("text"))  # ids may repeat
+    return found.withColumn("nth", F.row_number().over(again)).where(F.col("nth") <= most).select(label, "text")

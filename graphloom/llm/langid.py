@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from graphloom.llm.common import bounded_sample
 
 BUCKETS = 1 << 16
 GRAMS = (1, 2, 3)
@@ -67,12 +68,7 @@ def has_letter(text: str | None) -> bool:
 def sample(docs: DataFrame, learn: Column, per_label: int = PER_LABEL) -> DataFrame:
     """(lang, text) of at most ``per_label`` rows for each label among those to learn from."""
     rows = docs.where(learn & F.col("lang").isNotNull()).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_label).select("doc_id", "lang")
-    # At most per_label short rows for each column of the model, which is broadcast too.
-    found = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
-    again = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))  # ids may repeat
-    return found.withColumn("nth", F.row_number().over(again)).where(F.col("nth") <= per_label).select("lang", "text")
+    return bounded_sample(docs, rows, "lang", per_label)
 
 
 def train(rows: DataFrame, smoothing: float = 0.5) -> Model | None:
