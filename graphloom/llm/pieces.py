@@ -31,6 +31,10 @@ class Words(dict):
         super().__init__()
         self._encode, self._limit = encode, limit
 
+    def once(self, word: str) -> bytes:
+        """The ids of a word that the caller keeps."""
+        return self.get(word) or self._encode(word)
+
     def __missing__(self, word: str) -> bytes:
         ids = self._encode(word)
         if len(self) < self._limit and len(word) <= _LONG:
@@ -41,24 +45,29 @@ class Words(dict):
 class PieceEncoder(dict):
     """Ids of whole texts; as a dictionary, of pieces that follow a space."""
 
-    def __init__(self, split: Callable[[str], list[str]], words: Words, limit: int = 500_000):
+    def __init__(self, split: Callable[[str], list[str]], words: Words, limit: int = 800_000):
         super().__init__()
         self._split, self._words, self._limit = split, words, limit
 
     def __missing__(self, piece: str) -> bytes:
-        if uneven(piece):
+        if piece.isalpha():  # letters alone are one word
+            ids = self._words.once(" " + piece)
+        elif piece[-1:] in _MARKS and piece[:-1].isalpha():
+            ids = self[piece[:-1]] + self._words[piece[-1]]
+        elif uneven(piece):
             raise _Uneven
-        ids = b"".join(map(self._words.__getitem__, self._parts(piece)))
+        else:
+            ids = self._whole(" " + piece)
         if len(self) < self._limit and len(piece) <= _LONG:
             self[piece] = ids
         return ids
 
     def _parts(self, piece: str) -> list[str]:
-        """The words of a piece with its space; those of plain words without the pattern."""
+        """The words that a piece needs and that no kept piece has."""
         if piece.isalpha():
             return [" " + piece]
         if piece[-1:] in _MARKS and piece[:-1].isalpha():
-            return [" " + piece[:-1], piece[-1]]
+            return [piece[-1]] if piece[:-1] in self else [" " + piece[:-1], piece[-1]]
         return self._split(" " + piece)
 
     def _whole(self, text: str) -> bytes:
