@@ -31,7 +31,7 @@ def build_with_model(documents, make_client, store: str, split_text: bool = Fals
 
 
 def run(spark: SparkSession, config: BuildConfig) -> list[str]:
-    """Builds, stores and exports what a config names; returns the written graph files."""
+    """Builds, stores and exports what a config names; returns a summary line for each document."""
     documents = load_documents(spark, config.input_path)
     split = {"split_text": config.split_text_nodes, "split_paragraphs": config.split_text_to_paragraphs}
     if config.extractor == "llm":
@@ -41,22 +41,38 @@ def run(spark: SparkSession, config: BuildConfig) -> list[str]:
     else:
         graph = build(documents, **split)
     persist(graph, f"{config.working_dir}/store")
-    return export_files(graph, config.working_dir)
+    export_files(graph, config.working_dir)
+    named = graph.documents.select("document_id", "document_name").join(graph.stats, "document_id").orderBy("document_name")
+    return [f"{r.document_name}: {r.node_count} nodes, {r.edge_count} edges -> {config.working_dir}/{r.document_id}/exports/graph.json" for r in named.toLocalIterator()]
 
 
-def main() -> None:
+#: Options that change a config's fields, with their types; flags have none.
+_OPTIONS = {
+    "input": ("input_path", str), "working-dir": ("working_dir", str), "graph-backend": ("graph_backend", str), "export": ("export", str), "extractor": ("extractor", str),
+    "llm-model": ("llm_model", str), "llm-api-key": ("llm_api_key", str), "llm-base-url": ("llm_base_url", str), "llm-temperature": ("llm_temperature", float),
+    "llm-batch-size": ("llm_batch_size", int), "split-text-nodes": ("split_text_nodes", None), "split-text-to-paragraphs": ("split_text_to_paragraphs", None),
+}
+
+
+def config_of(arguments: list[str] | None = None) -> BuildConfig:
+    """The config that a command line names; its options go before those of a config file."""
     parser = argparse.ArgumentParser(description="Markdown to knowledge graphs")
     parser.add_argument("--config")
-    parser.add_argument("--input")
-    parser.add_argument("--working-dir")
-    args = parser.parse_args()
-    if not args.config and not args.input:
+    for option, (field, kind) in _OPTIONS.items():
+        how = {"type": kind, "default": None} if kind else {"action": "store_true", "default": None}
+        parser.add_argument(f"--{option}", dest=field, **how)
+    given = {k: v for k, v in vars(parser.parse_args(arguments)).items() if v is not None}
+    path = given.pop("config", None)
+    if path is None and "input_path" not in given:
         parser.error("--config or --input is needed")
-    config = load_config(args.config) if args.config else BuildConfig(args.input)
-    changed = {k: v for k, v in (("input_path", args.input), ("working_dir", args.working_dir)) if v}
+    return BuildConfig(**(vars(load_config(path)) if path else {}) | given)
+
+
+def main() -> None:
+    config = config_of()
     spark = SparkSession.builder.appName("graphloom").getOrCreate()
-    for path in run(spark, BuildConfig(**vars(config) | changed)):
-        print(path)
+    for line in run(spark, config):
+        print(line)
 
 
 if __name__ == "__main__":

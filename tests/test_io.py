@@ -11,7 +11,7 @@ from graphloom.operators import graph_query as gq
 from graphloom.operators import llm
 from graphloom.operators.metadata import meta
 from graphloom.plans.build import build
-from graphloom.plans.run import build_with_model
+from graphloom.plans.run import build_with_model, config_of, run
 from graphloom.plans.store import export_files, persist, publish, stored_stats
 from graphloom.sources.config import BuildConfig, config_from
 from graphloom.sources.documents import load_documents, read_manifest, read_markdown
@@ -32,6 +32,16 @@ def test_configs():
             config_from(broken)
 
 
+def test_command_line(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"input": "x.md", "llm": {"model": "m"}, "tree": {"split_text_nodes": True}}))
+    with pytest.raises(SystemExit):
+        config_of([])
+    assert config_of(["--config", str(tmp_path / "c.json"), "--input", "y.md", "--llm-batch-size", "3"]) == BuildConfig("y.md", split_text_nodes=True, llm_model="m", llm_batch_size=3)
+    (tmp_path / "a.md").write_text(TEXT)
+    lines = run(spark, config_of(["--input", str(tmp_path / "a.md"), "--working-dir", str(tmp_path / "w"), "--split-text-to-paragraphs"]))
+    assert len(lines) == 1 and lines[0].startswith("a: 10 nodes, ") and discover_exports(str(tmp_path / "w"))
+
+
 def test_markdown_and_manifest(spark, tmp_path):
     at = tmp_path / "my note+1.md"
     at.write_text(TEXT)
