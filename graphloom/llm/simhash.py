@@ -262,11 +262,17 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     if not 0 <= radius <= 6:
         raise ValueError("radius must be from 0 to 6")
     each = written(fingerprints(docs, shingle, keep), "fingerprints")
-    nodes = written(each.groupBy("fp").agg(F.min("doc_id").alias("smallest")), "nodes")
-    links = written(near_links(nodes.select("fp"), nodes.count(), radius, crowd, limit), "found")
+    nodes = written(each.groupBy("fp").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("n")), "nodes")
+    sizes = nodes.agg(F.count(F.lit(1)).alias("fps"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    links = written(near_links(nodes.select("fp"), sizes["fps"], radius, crowd, limit), "found")
     labels = components(links)
     named = labels.join(nodes, F.col("node") == F.col("fp")).select("fp", "label", "smallest")
     least = named.groupBy("label").agg(F.min("smallest").alias("component_id"))
     linked = named.join(least, "label").select("fp", "component_id")
-    of = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "smallest").alias("component_id"))
-    return each.join(of, "fp").select("doc_id", "fp", "component_id", *keep)
+    of = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "smallest").alias("component_id"), "n")
+    of = written(of, "components")
+    # Fingerprints that over a thousandth of the rows share are a thousand at most: those are
+    # broadcast, so that copies never meet in one task; all others join by a shuffle.
+    hot = F.broadcast(of.where(F.col("n") > sizes["rows"] // 1000).drop("n"))
+    rest = each.join(hot.select("fp"), "fp", "left_anti").join(of.drop("n"), "fp")
+    return each.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id", *keep)
