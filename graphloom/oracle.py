@@ -71,9 +71,15 @@ def _guarded(text: str) -> str:
     Each character between words is doubled, so that neighbouring matches have one each.
     """
     doubled = rf"regexp_replace({text}, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g')"
-    inner = [(kind, p.replace(r"\b", "").replace("(?i)", "")) for kind, p in _PATTERNS]
-    each = [f"{{{{'entity_type': '{kind}', 'names': regexp_extract_all({doubled}, '{'' if kind == 'capacity_metric' else '(?i)'}(?:^|[^\\p{{L}}\\p{{N}}_])({p})(?:$|[^\\p{{L}}\\p{{N}}_])', 1)}}}}" for kind, p in inner]
-    return "[" + ", ".join(each).replace("{{", "{").replace("}}", "}") + "]"
+    word = r"[\p{L}\p{N}_]"
+    found = []
+    for kind, p in _PATTERNS:
+        inner = p.replace(r"\b", "").replace("(?i)", "").replace("|%", "")
+        found.append((kind, "" if kind == "capacity_metric" else "(?i)", f"({inner})(?:$|[^{word[1:-1]}])"))
+    # A per cent sign ends a word only before a word character.
+    found.append(("performance_metric", "", rf"(\d+(?:\.\d+)?\s*%){word}"))
+    each = (f"{{'entity_type': '{kind}', 'names': regexp_extract_all({doubled}, '{flag}(?:^|[^{word[1:-1]}]){p}', 1)}}" for kind, flag, p in found)
+    return "[" + ", ".join(each) + "]"
 
 
 def _corpus(content: str, source: str = "") -> str:
