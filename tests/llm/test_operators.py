@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -215,6 +216,23 @@ def test_toxicity_learns_and_finds_disguises(spark):
     assert toxicity.toxicity(docs.limit(0), marks, F.lit(True)).count() == 0
 
 
+def test_toxicity_of_long_words_and_runs():
+    tri = {m[i : i + 3]: -1.0 for w in "moron idiot clown stone".split() for m in (f"^^{w}$",) for i in range(len(m) - 2)}
+    scorer = toxicity.Scorer(toxicity.Model("k", {"moron": 4.0, "idiot": 3.0, "clown": 2.0}, tri, 1.0, 0.0))
+    assert scorer.raw("stone" * 30 + "moron" + "stone" * 30) == 4  # one word of letters
+    assert scorer.raw("st0ne," * 60 + "m0r0n") == 4  # a long token
+    assert scorer.raw("x" * 41 + "m" + "ooo" + "r" * 3 + "o" * 3 + "n") == 4  # a long run with repetitions
+    assert all(scorer.raw("stone" * k + "x" * pad + "m0r0n" + "stone" * k) == 4 for k in (4, 9) for pad in range(6))
+    assert all(scorer.raw(".".join("stone" * 5 + "x" * pad + "moron" + "stone" * 5)) == 4 for pad in range(8))
+    assert all(scorer.raw(" ".join("stone" * 5 + "x" * pad + "moron" + "stone" * 5)) == 4 for pad in range(8))
+    assert scorer.raw(" ".join(("stone" * 4).join(["moron", "idiot", "clown"]))) == 9  # a passage has several words
+    for long in ("1l" * 100_000, "a." * 100_000, "a" * 200_000 + "1", "0123456789" * 20_000, "a_" * 100_000 + "zz", "a b " * 50_000):
+        assert scorer.raw(long) == 0
+    docs = [pa.RecordBatch.from_pydict({"toxic": [0], "text": ["a " + "b" * 70 + "tail"]})]
+    found = [b for b in toxicity._counts(iter(docs))]
+    assert {b.schema for b in found} == {found[0].schema} and any("tail$" in b.column(1).to_pylist() for b in found)
+
+
 # near duplicates
 
 
