@@ -66,7 +66,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents written as compressed byte planes and read back."""
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, path)
+    write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, path, added=True)
     return token_digests(spark, path)
 
 

@@ -12,9 +12,11 @@ a lost executor leaves nothing half written.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,9 @@ from pyspark.sql.window import Window
 
 from graphloom.llm.pieces import PieceEncoder, Words
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 BLOCK = 65_536
 END = 0
 _LEVEL = 3
@@ -67,6 +72,37 @@ _HIDDEN = [i for i in range(256) if i not in _SHOWN]
 _AS_CHARACTERS = {i: chr(256 + _HIDDEN.index(i)) for i in _HIDDEN}
 
 
+class AddedTokens:
+    """Ids of texts whose added tokens are cut out first, as the library does by default."""
+
+    def __init__(self, tokenizer: Tokenizer, plain: Callable[[str], bytes]):
+        self._plain = plain
+        self._added = {t.content: (i, t) for i, t in tokenizer.get_added_tokens_decoder().items() if t.content}
+        for content, (_, t) in self._added.items():
+            if t.single_word or t.lstrip or t.rstrip or t.normalized and tokenizer.normalizer:
+                raise ValueError(f"added token {content!r} takes more than its own text")
+        longest = sorted(self._added, key=len, reverse=True)
+        self._cut = re.compile("|".join(map(re.escape, longest)))
+
+    def encode(self, text: str) -> bytes:
+        if not any(content in text for content in self._added):
+            return self._plain(text)
+        out, at = [], 0
+        for m in self._cut.finditer(text):
+            if m.start() > at:
+                out.append(self._plain(text[at : m.start()]))
+            out.append(self._added[m[0]][0].to_bytes(4, "little"))
+            at = m.end()
+        return b"".join([*out, self._plain(text[at:])])
+
+
+@functools.cache
+def _added_encoder(path: str, pattern: str) -> AddedTokens:
+    from tokenizers import Tokenizer
+
+    return AddedTokens(Tokenizer.from_file(path), _encoder(path, pattern).encode)
+
+
 @functools.cache
 def _encoder(path: str, pattern: str) -> PieceEncoder:
     """One for each worker and tokenizer file, kept from task to task."""
@@ -85,11 +121,11 @@ def _encoder(path: str, pattern: str) -> PieceEncoder:
     return PieceEncoder(regex.compile(pattern).findall, Words(encode))
 
 
-def _encode_shard(path: str, pattern: str, end: int, block: int, kind: str):
+def _encode_shard(path: str, pattern: str, end: int, block: int, kind: str, added: bool):
     closing = int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, encode = TaskContext.get().partitionId(), _encoder(path, pattern).encode
+        shard, encode = TaskContext.get().partitionId(), (_added_encoder if added else _encoder)(path, pattern).encode
         held, index, n_held, number, seq, at = [], [], 0, 0, 0, 0
 
         def flush(ids: np.ndarray) -> pa.RecordBatch:
@@ -118,11 +154,13 @@ def _encode_shard(path: str, pattern: str, end: int, block: int, kind: str):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, path: str, end: int = END, block: int = BLOCK, kind: str = "byte") -> None:
+def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, path: str, end: int = END, block: int = BLOCK, kind: str = "byte", added: bool = False) -> None:
     """Encodes each document's text and writes the ids, ``end`` after each, to ``path``.
 
     ``tokenizer`` is a byte-level BPE file of the tokenizers library, without added
-    spaces, whose words match ``pattern``; strings of special tokens are ordinary text.
+    spaces, whose words match ``pattern``. With ``added`` the strings of its added
+    tokens become their ids, which is the library's default; else they are ordinary text,
+    as with its ``encode_special_tokens``.
     Documents stand in ascending doc_id order over all shards, null ids first; rows that
     share an id stand by the hash of their text. A null text is an empty one.
     """
@@ -131,7 +169,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, path: str, end:
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("text").alias("tie"))
     dealt = slim.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
-    dealt.mapInArrow(_encode_shard(tokenizer, pattern, end, block, kind), SCHEMA).write.parquet(path)
+    dealt.mapInArrow(_encode_shard(tokenizer, pattern, end, block, kind, added), SCHEMA).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
