@@ -39,9 +39,13 @@ FAMILIES = {
     "ofl": ("font", ("sil open font license", "open font license"), ("1 1", "1 0")),
     "gfdl": ("documentation", ("gnu free documentation license", "free documentation license"), ("1 3", "1 2", "1 1")),
     "odbl": ("database", ("open database license",), ("1 0",)),
-    "cc0": ("cc0", ("cc0", "creative commons zero"), ("1 0",)),
+    "cc0": (("cc0", "commons zero"), ("cc0", "creative commons zero"), ("1 0",)),
     "public-domain": ("domain", ("public domain",), ()),
 }
+#: Short names that mean a license anywhere in a text: they are names of their family with keywords of their own.
+SHORT = {"gpl": "gpl", "agpl": "agpl", "lgpl": "lgpl", "mpl": "mpl", "epl": "epl", "ofl": "ofl", "gfdl": "gfdl", "odbl": "odbl"}
+#: SPDX ids that are ordinary words or mean other things too: they count behind an SPDX tag alone.
+SPDX = {"mit": "mit", "isc": "isc", "zlib": "zlib", "artistic": "artistic", "boost": "bsl"}
 #: Creative Commons elements, whose combinations make families of their own.
 COMMONS = ("by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd")
 COMMONS_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
@@ -68,7 +72,7 @@ _TO_WORDS = bytes(i if i >= 128 or chr(i).isdigit() or chr(i).islower() else i +
 
 class Rule(NamedTuple):
     label: str
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: str
     priority: int
 
@@ -82,18 +86,22 @@ class Found(NamedTuple):
 
 def rules() -> list[Rule]:
     """Every rule, the highest priority first."""
-    named = [(k, word, names, versions) for k, (word, names, versions) in FAMILIES.items()]
-    named += [(f"cc-{x.replace(' ', '-')}", "cc", (f"cc {x}",), COMMONS_VERSIONS) for x in COMMONS]
+    named = [(k, (words,) if isinstance(words, str) else words, names, versions) for k, (words, names, versions) in FAMILIES.items()]
+    named += [(f"cc-{x.replace(' ', '-')}", ("cc",), (f"cc {x}",), COMMONS_VERSIONS) for x in COMMONS]
     long = {"by": "attribution", "sa": "share ?alike", "nd": "no ?deriv(?:ative)?s?", "nc": "non ?commercial"}
-    named += [(f"cc-{x.replace(' ', '-')}", "commons", ("creative commons " + " ".join(long[w] for w in x.split()),), COMMONS_VERSIONS) for x in COMMONS]
+    named += [(f"cc-{x.replace(' ', '-')}", ("commons",), ("creative commons " + " ".join(long[w] for w in x.split()),), COMMONS_VERSIONS) for x in COMMONS]
+    named += [(k, (short, *sorted({f"{short}v{v.split()[0]}" for v in FAMILIES[k][2]})), (short,), FAMILIES[k][2]) for k, short in SHORT.items()]
+    told = [(family, rank, template) for family, (rank, template) in product(named, enumerate(TEMPLATES))]
+    told += [((k, ("spdx",), (short,), FAMILIES[k][2]), len(TEMPLATES) - 1, TEMPLATES[-1]) for k, short in SPDX.items()]
     out = []
-    for (label, word, names, versions), (rank, template) in product(named, enumerate(TEMPLATES)):
+    for (label, words, names, versions), rank, template in told:
         name = "(?:" + "|".join(sorted(names, key=len, reverse=True)) + ")"
-        out.append(Rule(label, word, template.format(name=name), 10 * rank))
+        out.append(Rule(label, words, template.format(name=name), 10 * rank))
+        gap = "(?: v?|v)" if names[0] in SHORT.values() else " v?"
         for v in versions:
-            full = template.format(name=f"{name}(?: license)?(?: version| v)? v?{v}")
-            out.append(Rule(f"{label}-{v.replace(' ', '.')}", word, full, 10 * rank + 5))
-    out += [Rule(label, word, pattern, 1) for label, word, pattern in NOTICES]
+            full = template.format(name=f"{name}(?: license)?(?: version| v)?{gap}{v}(?: only| or later)?")
+            out.append(Rule(f"{label}-{v.replace(' ', '.')}", words, full, 10 * rank + 5))
+    out += [Rule(label, (word,), pattern, 1) for label, word, pattern in NOTICES]
     return sorted(out, key=lambda r: (-r.priority, r.label, r.pattern))
 
 
@@ -103,7 +111,8 @@ def _compiled() -> tuple[ahocorasick.Automaton, list[tuple[Rule, re.Pattern]]]:
     numbered = [(r, re.compile(rf"(?<= ){r.pattern}(?= )")) for r in rules()]
     opens: dict[str, list[int]] = {}
     for i, (r, _) in enumerate(numbered):
-        opens.setdefault(r.keyword, []).append(i)
+        for word in r.keywords:
+            opens.setdefault(word, []).append(i)
     automaton = ahocorasick.Automaton()
     for word, which in opens.items():
         automaton.add_word(f" {word} ", tuple(which))

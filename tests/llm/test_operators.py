@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import langid, toxicity
 from graphloom.llm.decontaminate import decontaminate
-from graphloom.llm.license_scan import BASE, Found, detect, license_scan, rules, suppressed, _normal
+from graphloom.llm.license_scan import BASE, Found, detect, license_scan, rules, suppressed, _compiled, _normal
 from graphloom.llm.line_dedup import line_dedup
 from graphloom.llm.quality import quality
 from graphloom.llm.simhash import fingerprint, forest, near_pairs, simhash_groups, _masks, _refined
@@ -116,6 +116,43 @@ def test_license_rules():
     assert suppressed([inner, outer]) == [outer] and suppressed([inner, outer._replace(priority=1)]) == [Found("b", 1, 6, 1), inner] and suppressed([inner, inner]) == [inner]
 
 
+def spelled(parsed, most):
+    """A text that a pattern matches, with the most or the fewest of what may be left out."""
+    out = ""
+    for op, x in parsed:
+        match str(op):
+            case "LITERAL":
+                out += chr(x)
+            case "IN":
+                out += chr(x[0][1]) if str(x[0][0]) == "LITERAL" else "1"
+            case "SUBPATTERN":
+                out += spelled(x[3], most)
+            case "BRANCH":
+                out += spelled(x[1][0 if most else -1], most)
+            case "MAX_REPEAT":
+                out += spelled(x[2], most) * (x[1] if most else x[0])
+            case _:
+                raise ValueError(op)
+    return out
+
+
+def test_every_license_rule_passes_the_keywords():
+    automaton, numbered = _compiled()
+    for i, (rule, pattern) in enumerate(numbered):
+        for most in (False, True):
+            text = f" {spelled(re._parser.parse(rule.pattern), most)} "
+            assert pattern.search(text) and any(i in hit for _, hit in automaton.iter(text)), (rule, text)
+
+
+def test_license_ids_and_short_names():
+    ids = ("MIT", "GPL-2.0-only", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "EPL-2.0", "ISC", "Zlib", "OFL-1.1", "GFDL-1.3", "ODbL-1.0", "Artistic-2.0", "Apache-2.0", "CC0-1.0")
+    for spdx in ids:
+        assert [f.label for f in detect(_normal(f"SPDX-License-Identifier: {spdx}"))] == [spdx.lower().removesuffix("-only")], spdx
+    for text, label in (("GPLv3", "gpl-3"), ("it is GPL-3.0 code", "gpl-3.0"), ("LGPLv2.1+", "lgpl-2.1"), ("BSL-1.0", None), ("Creative Commons Zero v1.0", "cc0-1.0")):
+        assert [f.label for f in detect(_normal(text))] == ([label] if label else []), text
+    assert detect(_normal("mit Zlib, artistic, ISC")) == []
+
+
 def test_license_scan_like_brute_force(spark):
     texts = ["", None, "CC by, cc-BY all rights reserved", "x General public  license", "All Rights Reserved " * 500, "accc by", "cc by cc by", "Été cc by"]
     docs = frame(spark, [(i, t) for i, t in enumerate(texts)] + [(0, "")]).withColumns({"labels": F.lit(1), "score": F.lit("c")})
