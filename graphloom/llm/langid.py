@@ -116,9 +116,14 @@ def _scored(model: Model, texts: list[str]) -> np.ndarray:
     sizes = np.array([len(p) for p in points])
     starts = np.cumsum(sizes) - sizes
     out = np.zeros((len(texts), len(model.labels)))
-    for grams in _buckets(np.concatenate(points)):
-        # The few n-grams over a border count for the text that they begin in.
-        out += np.add.reduceat(model.log_prob[grams], np.minimum(starts, len(grams) - 1), axis=0, dtype=np.float64)
+    for n, grams in zip(GRAMS, _buckets(np.concatenate(points)), strict=True):
+        if not len(grams):
+            continue
+        # n-grams over a border count for no text.
+        over = np.maximum((starts + sizes)[:, None] - np.arange(1, n), starts[:, None]).ravel()
+        found = model.log_prob[grams]
+        found[over[over < len(grams)]] = 0
+        out += np.add.reduceat(found, np.minimum(starts, len(grams) - 1), axis=0, dtype=np.float64)
     return out
 
 

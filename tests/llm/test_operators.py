@@ -220,6 +220,14 @@ def test_batches_score_like_single_texts():
     assert np.abs(langid._scored(model, texts) - singles).max() < 60
 
 
+def test_neighbours_do_not_change_a_score():
+    rng = np.random.default_rng(5)
+    model = langid.Model(["a", "b"], rng.normal(-9, 1, (langid.BUCKETS, 2)).astype(np.float32), np.zeros(2))
+    for texts in (["La", "De.", "x", "zu viel"], ["a"], ["x"] * 7, ["", "La", ""], [random_text(rng, int(n)) for n in rng.integers(1, 9, 20)]):
+        singles = np.array([langid._log_likelihood(model, t) for t in texts])
+        assert np.allclose(langid._scored(model, texts), singles, rtol=1e-6, atol=1e-4)
+
+
 # toxicity
 
 
