@@ -1,21 +1,24 @@
 """Byte-level BPE by recursive queries of a relational engine inside each task.
 
-Spark deals the texts; inside a task, DuckDB holds the merge table. Words are rows
-(word, position, token). A recursive query joins neighbours with the merge table and
-contracts each word's leftmost pair of minimum rank, until no word has a pair left.
-Decoding joins ids with the tokens' bytes and puts them together by an ordered
-aggregation. Each distinct word is encoded once for a batch of texts, and kept for
-later ones up to a bound.
-
-Long words contract several pairs a round: all non-overlapping places of the minimum
-rank, up to the first one whose merge brings a lower rank next to it. Before that place
-the one-by-one order would take the same pairs, so the ids are the same.
+Spark deals the texts; inside a task, DuckDB holds the tokens and the merge table. The
+distinct words of a batch of texts are joined with the tokens, since a word that is a
+token stands for itself. All others become rows (word, position, token): a recursive
+query joins neighbours with the merge table and contracts each word's leftmost pair of
+minimum rank, until no word has a pair left. Decoding joins ids with the tokens' bytes
+and puts them together by an ordered aggregation.
+
+Words are cut first between bytes that stand side by side in no token: no merge can
+reach over such a place, so the ids are the same. What is left over ``_LONG`` bytes
+contracts several pairs a round: all non-overlapping places of the minimum rank, up to
+the first one whose merge brings a lower rank next to it. Before that place the
+one-by-one order would take the same pairs, so the ids are the same again.
+
+All state ends with the task.
 """
 
 from __future__ import annotations
 
 import base64
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +27,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.pieces import PieceEncoder, Words
+from graphloom.llm.pieces import Ids, TextEncoder, runs
 
-_WORDS = 20_000  # to a query
+_BYTES = 400_000  # of words to a query
 _LONG = 48  # bytes from which a word takes several merges a round
-_TEXT_BYTES = 1_500_000
 
 #: A token's row knows the token after it and the rank of the two. Each round finds every
 #: word's leftmost pair of minimum rank (from, upto, made): the row ``upto`` becomes the merged
@@ -46,16 +48,17 @@ _ONE = """
                    CASE WHEN s.after = h.start THEN h.upto ELSE s.after END AS after,
                    CASE WHEN s.pos = h.upto THEN h.made ELSE s.id END AS id,
                    CASE WHEN s.after = h.start THEN h.made ELSE s.following END AS following,
-                   coalesce(s.pos = h.upto OR s.after = h.start, false) AS fresh
+                   coalesce(s.pos = h.upto OR s.after = h.start, false) AS fresh,
+                   CASE WHEN s.pos = h.upto THEN h.made WHEN s.after = h.start THEN s.id END AS sought
             FROM step s JOIN (
-                SELECT w, hit.start AS start, hit.upto AS upto, hit.made AS made
-                FROM (SELECT w, arg_min({'start': pos, 'upto': after, 'made': rank}, rank::BIGINT << 32 | pos) AS hit
-                      FROM step WHERE NOT done GROUP BY w)
+                SELECT w, (hit & 4294967295)::INT AS start, upto, (hit >> 32)::INT AS made
+                FROM (SELECT w, min(hit) AS hit, arg_min(after, hit) AS upto
+                      FROM (SELECT w, after, rank::BIGINT << 32 | pos AS hit FROM step WHERE NOT done) GROUP BY w)
             ) h ON s.w = h.w
             WHERE NOT s.done AND s.pos IS DISTINCT FROM h.start
-        ) n LEFT JOIN merges m ON m.a = n.id AND m.b = n.following
+        ) n LEFT JOIN merges m ON m.a = n.sought AND m.b = n.following
     )
-    SELECT w, id FROM step WHERE done ORDER BY w, pos"""
+    SELECT pos, id FROM step WHERE done"""
 _PAIRED = """
     SELECT s.w, s.pos, s.id, m.rank FROM (
         SELECT w, pos, id, lead(id) OVER (PARTITION BY w ORDER BY pos) AS following FROM ({rows})
@@ -86,105 +89,106 @@ _FIRST = _RANKED.format(rows="SELECT w, pos, id FROM bytes")
 _AGAIN = _RANKED.format(rows=_CONTRACTED.format(hits=_MANY))
 _LONG_WORDS = f"""
     WITH RECURSIVE step(w, pos, id, rank, best) AS ({_FIRST} UNION ALL {_AGAIN})
-    SELECT w, id FROM step WHERE best IS NULL ORDER BY w, pos"""
+    SELECT pos, id FROM step WHERE best IS NULL"""
 
 
-def _is_text(token: bytes) -> bool:
-    return token == token.decode(errors="ignore").encode()
+#: Each token with all ways to make it of two others; the rank of a merge is its token's.
+_MERGES = """
+    CREATE TABLE merges AS
+    SELECT a.id AS a, b.id AS b, t.id AS rank
+    FROM (SELECT id, chars, unnest(generate_series(1, length(chars) - 1)) AS at FROM tokens) t
+    JOIN tokens a ON a.chars = t.chars[: t.at] JOIN tokens b ON b.chars = t.chars[t.at + 1 :]"""
 
 
 class Bpe:
-    """The vocabulary of a rank file in a DuckDB connection of one thread."""
+    """The vocabulary of a rank file in a DuckDB connection of one thread, which never writes to disk."""
 
-    def __init__(self, path: str, pattern: str, memory: str = "300MB"):
+    def __init__(self, path: str, pattern: str, memory: str = "1GB"):
         import duckdb
         import regex
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
-        self._con = duckdb.connect(config={"threads": 1, "memory_limit": memory})
-        self._split = regex.compile(pattern).findall
+        self._con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
         self._bytes = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        a, b, r = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
-        self._create("merges", a=a, b=b, rank=r)
-        self._create("tokens", id=pa.array(ranks.values(), pa.int32()), hex=pa.array([t.hex() for t in ranks]))
-        self._ids: dict[str, bytes] = {}  # of the words of the last query
-        # A word that is a token stands for itself, as it does in the library.
-        self._whole = {t.decode(): np.array([r], dtype="<u4").tobytes() for t, r in ranks.items() if _is_text(t)}
-        self._words = Words(self._ids.__getitem__)
-        self._pieces = PieceEncoder(self._split, self._words)
-
-    def _create(self, name: str, **columns: pa.Array) -> None:
-        self._con.register("given", pa.table(columns))
-        self._con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
+        # Tokens are bytes, not all of them text; as characters from U+0000 to U+00FF they can be cut and joined.
+        rows = pa.table({"id": pa.array(ranks.values(), pa.int32()), "chars": [t.decode("latin-1") for t in ranks], "word": [_text(t) for t in ranks]})
+        self._con.register("given", rows)
+        self._con.execute("CREATE TABLE tokens AS SELECT * FROM given")
         self._con.unregister("given")
-
-    def _contract(self, words: list[str], sql: str) -> None:
-        """Encodes distinct words by a recursive query."""
-        raw = [w.encode() for w in words]
-        sizes = np.array([len(x) for x in raw])
-        word = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
-        pos = (np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-        ids = self._bytes[np.frombuffer(b"".join(raw), dtype=np.uint8)]
-        ends = pa.array(pos == np.repeat(sizes - 1, sizes))
-        after = pc.if_else(ends, None, pa.array(pos + 1))
-        following = pc.if_else(ends, None, pa.array(np.r_[ids[1:], 0].astype(np.int32)))
-        self._con.register("bytes", pa.table({"w": word, "pos": pos, "after": after, "id": ids, "following": following}))
-        found = self._con.sql(sql).to_arrow_table()
-        self._con.unregister("bytes")
-        cuts = 4 * np.r_[0, np.cumsum(np.bincount(found["w"].to_numpy(), minlength=len(words)))]
-        flat = found["id"].to_numpy().astype("<u4").tobytes()
-        self._ids.update(zip(words, (flat[a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian uint32 bytes."""
-        self._ids.clear()
-        new = self._pieces.unseen(texts)
-        self._ids.update((w, self._whole[w]) for w in new if w in self._whole)
-        new.difference_update(self._ids)
-        short = [w for w in new if len(w) * 4 <= _LONG or len(w.encode()) <= _LONG]
-        long = sorted(new.difference(short), key=len)
-        for at in range(0, len(short), _WORDS):
-            self._contract(short[at : at + _WORDS], _ONE)
-        while long:
-            n = 1
-            while n < len(long) and (n + 1) * len(long[n]) <= _WORDS * 8:
-                n += 1
-            self._contract(long[:n], _LONG_WORDS)
-            del long[:n]
-        return [self._pieces.encode(t) for t in texts]
-
-    def decode(self, encoded: list[bytes]) -> list[bytes]:
-        """The bytes of each list of ids, ordered by position."""
-        sizes = np.array([len(x) // 4 for x in encoded], dtype=np.int64)
-        ids = np.frombuffer(b"".join(encoded), dtype="<u4").astype(np.int32)
-        doc = np.repeat(np.arange(len(encoded), dtype=np.int32), sizes)
-        self._con.register("encoded", pa.table({"doc": doc, "pos": np.arange(len(ids)), "id": ids}))
-        found = self._con.sql("SELECT doc, string_agg(hex, '' ORDER BY pos) AS hex FROM encoded JOIN tokens USING (id) GROUP BY doc").to_arrow_table()
+        self._con.execute(_MERGES)
+        self._beside = np.zeros((256, 256), dtype=bool)  # pairs of bytes that a token holds
+        for t in ranks:
+            for a, b in zip(t, t[1:]):
+                self._beside[a, b] = True
+        self._texts = TextEncoder(regex.compile(pattern).findall, self._of_words)
+
+    def _of_words(self, words: pa.Array) -> Ids:
+        """The ids of distinct words, some at a time."""
+        ends = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False), dtype=np.int64)
+        found, at = [], 0
+        while at < len(words):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _BYTES, side="right")))
+            found.append(self._contracted(pa.concat_arrays([words.slice(at, to - at)])))
+            at = to
+        return Ids(np.concatenate([x.flat for x in found]), np.concatenate([x.sizes for x in found]))
+
+    def _contracted(self, words: pa.Array) -> Ids:
+        cuts = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1]
+        raw = np.frombuffer(words.buffers()[2], dtype=np.uint8)[cuts[0] : cuts[-1]]
+        cuts = (cuts - cuts[0]).astype(np.int64)
+        self._con.register("words", pa.table({"nth": np.arange(len(words)), "word": words}))
+        known = self._con.sql("SELECT nth, id FROM words JOIN tokens USING (word)").to_arrow_table()
+        self._con.unregister("words")
+
+        ends = np.zeros(len(raw), dtype=bool)
+        ends[cuts[1:] - 1] = True
+        ends[:-1] |= ~self._beside[raw[:-1], raw[1:]]
+        stops = np.flatnonzero(ends)
+        sizes = np.diff(stops, prepend=-1)
+        word = np.repeat(np.arange(len(stops), dtype=np.int32), sizes)
+        ids, pos = self._bytes[raw], np.arange(len(raw), dtype=np.int32)
+        open_ = np.ones(len(words), dtype=bool)
+        open_[known["nth"].to_numpy()] = False
+        left = np.repeat(open_, np.diff(cuts))
+        long = np.repeat(sizes > _LONG, sizes)
+        at, made = [cuts[known["nth"].to_numpy()]], [known["id"].to_numpy()]
+        for which, sql in ((left & ~long, _ONE), (left & long, _LONG_WORDS)):
+            if not which.any():
+                continue
+            last = pa.array(ends[which])
+            after = pc.if_else(last, None, pa.array(pos[which] + 1))
+            following = pc.if_else(last, None, pa.array(np.append(ids[1:], 0).astype(np.int32)[which]))
+            self._con.register("bytes", pa.table({"w": word[which], "pos": pos[which], "after": after, "id": ids[which], "following": following}))
+            found = self._con.sql(sql).to_arrow_table()
+            self._con.unregister("bytes")
+            at.append(found["pos"].to_numpy())
+            made.append(found["id"].to_numpy())
+        at = np.concatenate(at)
+        order = np.argsort(at)
+        n = np.diff(np.searchsorted(at[order], cuts))
+        return Ids(np.concatenate(made)[order].astype(np.uint32), n)
+
+    def encode(self, texts: list[str]) -> Ids:
+        """The ids of each text."""
+        return self._texts.encode(texts)
+
+    def decode(self, ids: Ids) -> list[bytes]:
+        """The bytes of each list of ids, put together by position."""
+        doc = np.repeat(np.arange(len(ids.sizes), dtype=np.int32), ids.sizes)
+        self._con.register("encoded", pa.table({"doc": doc, "pos": np.arange(len(doc)), "id": ids.flat.astype(np.int32)}))
+        found = self._con.sql("SELECT doc, string_agg(chars, '' ORDER BY pos) AS chars FROM encoded JOIN tokens USING (id) GROUP BY doc").to_arrow_table()
         self._con.unregister("encoded")
-        out = [b""] * len(encoded)
-        for d, h in zip(found["doc"].to_pylist(), found["hex"].to_pylist(), strict=True):
-            out[d] = bytes.fromhex(h)
+        out = [b""] * len(ids.sizes)
+        for d, chars in zip(found["doc"].to_pylist(), found["chars"].to_pylist(), strict=True):
+            out[d] = chars.encode("latin-1")
         return out
 
 
-@functools.cache
-def bpe(path: str, pattern: str) -> Bpe:
-    """One for each worker and vocabulary, kept from task to task."""
-    return Bpe(path, pattern)
-
-
-def parts(texts: list[str], size: int = _TEXT_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``size`` characters each."""
-    at = total = 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= size:
-            yield at, i + 1
-            at, total = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+def _text(token: bytes) -> str | None:
+    """The token as a word; None if it is not whole characters."""
+    word = token.decode(errors="ignore")
+    return word if word.encode() == token else None
 
 
 def bpe_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -196,14 +200,16 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(path, pattern)
+        coder = None
         for b in batches:
+            coder = coder or Bpe(path, pattern)
             ids_of, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in parts(texts):
+            for lo, hi in runs(texts):
                 ids = coder.encode(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays(
-                    [ids_of.slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array(coder.decode(ids), pa.binary())], names=["doc_id", "ids", "decoded"]
-                )
+                raw = ids.flat.astype("<u4").tobytes()
+                cuts = 4 * np.append(0, np.cumsum(ids.sizes))
+                coded = pa.array([raw[a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids_of.slice(lo, hi - lo), coded, pa.array(coder.decode(ids), pa.binary())], names=["doc_id", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text")).mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")

@@ -14,8 +14,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from graphloom.llm.pieces import PieceEncoder, Words
+from graphloom.llm.pieces import Ids, TextEncoder, runs
 
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
@@ -37,13 +36,16 @@ BLOCK = 65_536
 END = 0
 _LEVEL = 3
 
-SCHEMA = T.StructType([
-    T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("n_ids", T.IntegerType()),
-    T.StructField("planes", T.ArrayType(T.BinaryType())), T.StructField("doc_id", T.ArrayType(T.LongType())),
-    T.StructField("seq", T.ArrayType(T.LongType())), T.StructField("at", T.ArrayType(T.LongType())),
-    T.StructField("n_tokens", T.ArrayType(T.LongType())), T.StructField("offset", T.ArrayType(T.LongType())),
-    T.StructField("length", T.ArrayType(T.LongType())),
-])
+
+
+def _schema(doc_id: T.DataType) -> T.StructType:
+    """Of the files; ``doc_id`` is the type of one id."""
+    longs = T.ArrayType(T.LongType())
+    kinds = {
+        "shard": T.IntegerType(), "block": T.IntegerType(), "n_ids": T.IntegerType(), "planes": T.ArrayType(T.BinaryType()), "doc_id": T.ArrayType(doc_id),
+        "seq": longs, "at": longs, "n_tokens": longs, "offset": longs, "length": longs,
+    }
+    return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -72,108 +74,126 @@ _HIDDEN = [i for i in range(256) if i not in _SHOWN]
 _AS_CHARACTERS = {i: chr(256 + _HIDDEN.index(i)) for i in _HIDDEN}
 
 
-class AddedTokens:
-    """Ids of texts whose added tokens are cut out first, as the library does by default."""
+class Encoder:
+    """Ids of texts by a tokenizer file; with ``added`` its added tokens are cut out first, as the library does by default."""
 
-    def __init__(self, tokenizer: Tokenizer, plain: Callable[[str], bytes]):
-        self._plain = plain
-        self._added = {t.content: (i, t) for i, t in tokenizer.get_added_tokens_decoder().items() if t.content}
-        for content, (_, t) in self._added.items():
-            if t.single_word or t.lstrip or t.rstrip or t.normalized and tokenizer.normalizer:
-                raise ValueError(f"added token {content!r} takes more than its own text")
-        longest = sorted(self._added, key=len, reverse=True)
-        self._cut = re.compile("|".join(map(re.escape, longest)))
+    def __init__(self, path: str, pattern: str, added: bool):
+        import regex
+        from tokenizers import Tokenizer
 
-    def encode(self, text: str) -> bytes:
-        if not any(content in text for content in self._added):
-            return self._plain(text)
+        tokenizer = Tokenizer.from_file(path)
+        self._merge = tokenizer.model.tokenize
+        self._texts = TextEncoder(regex.compile(pattern).findall, self._of_words)
+        self._added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items() if t.content} if added else {}
+        for i, t in tokenizer.get_added_tokens_decoder().items() if added else ():
+            if t.single_word or t.lstrip or t.rstrip or t.normalized and tokenizer.normalizer:
+                raise ValueError(f"added token {i} takes more than its own text")
+        self._cut = re.compile("|".join(map(re.escape, sorted(self._added, key=len, reverse=True))))
+
+    def _of_words(self, words: pa.Array) -> Ids:
+        found = [[t.id for t in self._merge(_shown(w))] for w in words.to_pylist()]
+        sizes = np.array(list(map(len, found)), dtype=np.int64)
+        return Ids(np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())), sizes)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        plain: list[str] = []
+        cut: list[list[int]] = []  # for each text the added ids between its plain parts
+        for text in texts:
+            held = [c for c in self._added if c in text]
+            cut.append([self._added[x] for x in self._cut.findall(text)] if held else [])
+            plain += self._cut.split(text) if held else [text]
+        ids = self._texts.encode(plain)
+        parts = np.split(ids.flat, np.cumsum(ids.sizes)[:-1]) if plain else []
         out, at = [], 0
-        for m in self._cut.finditer(text):
-            if m.start() > at:
-                out.append(self._plain(text[at : m.start()]))
-            out.append(self._added[m[0]][0].to_bytes(4, "little"))
-            at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
-
-
-@functools.cache
-def _added_encoder(path: str, pattern: str) -> AddedTokens:
-    from tokenizers import Tokenizer
-
-    return AddedTokens(Tokenizer.from_file(path), _encoder(path, pattern).encode)
-
+        for between in cut:
+            pieces = [parts[at]]
+            for i, token in enumerate(between):
+                pieces += [np.array([token], np.uint32), parts[at + i + 1]]
+            out.append(np.concatenate(pieces) if between else pieces[0])
+            at += len(between) + 1
+        return out
 
-@functools.cache
-def _encoder(path: str, pattern: str) -> PieceEncoder:
-    """One for each worker and tokenizer file, kept from task to task."""
-    import regex
-    from tokenizers import Tokenizer
 
-    merge = Tokenizer.from_file(path).model.tokenize
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str, pattern: str, added: bool) -> Encoder:
+    """A worker keeps the encoder of the last tokenizer, with a bounded store of words, from task to task."""
+    return Encoder(path, pattern, added)
 
-    def encode(word: str) -> bytes:
-        if word.isascii() and (rest := word[word[0] == " " :]).isalpha():
-            shown = _AS_CHARACTERS[32] + rest if len(rest) < len(word) else word
-        else:
-            shown = word.encode().decode("latin-1").translate(_AS_CHARACTERS)
-        return array("I", [t.id for t in merge(shown)]).tobytes()
 
-    return PieceEncoder(regex.compile(pattern).findall, Words(encode))
+def _shown(word: str) -> str:
+    """A word as the tokenizer's model reads it, one character for each byte."""
+    if word.isascii() and (rest := word[word[0] == " " :]).isalpha():
+        return _AS_CHARACTERS[32] + rest if len(rest) < len(word) else word
+    return word.encode().decode("latin-1").translate(_AS_CHARACTERS)
 
 
-def _encode_shard(path: str, pattern: str, end: int, block: int, kind: str, added: bool):
-    closing = int(end).to_bytes(4, "little")
+def _encode_shard(path: str, pattern: str, end: int, block: int, kind: str, added: bool, names: list[str]):
+    closing = np.array([end], dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, encode = TaskContext.get().partitionId(), (_added_encoder if added else _encoder)(path, pattern).encode
+        shard, encoder = TaskContext.get().partitionId(), None
         held, index, n_held, number, seq, at = [], [], 0, 0, 0, 0
 
-        def flush(ids: np.ndarray) -> pa.RecordBatch:
+        def flush(ids: np.ndarray, of: pa.DataType) -> pa.RecordBatch:
             columns = [list(c) for c in zip(*index, strict=True)]
             row = [[shard], [number], [len(ids)], [to_planes(ids, kind)], *([c] for c in columns)]
             index.clear()
-            types = [pa.int32()] * 3 + [pa.list_(pa.binary())] + [pa.list_(pa.int64())] * 6
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=SCHEMA.names)
+            types = [pa.int32()] * 3 + [pa.list_(pa.binary()), pa.list_(of)] + [pa.list_(pa.int64())] * 5
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=names)
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.frombuffer(encode(text.as_py()) + closing, dtype="<u4")
-                offset = 0
-                while offset < len(ids):
-                    part = ids[offset : offset + block - n_held]
-                    index.append((doc_id, seq, at, len(ids), offset, len(part)))
-                    held.append(part)
-                    n_held, offset = n_held + len(part), offset + len(part)
-                    if n_held == block:
-                        yield flush(np.concatenate(held))
-                        held, n_held, number = [], 0, number + 1
-                seq, at = seq + 1, at + len(ids)
+            encoder = encoder or _encoder(path, pattern, added)
+            of, doc_ids, texts = b.column(0).type, b.column(0).to_pylist(), b.column(1).to_pylist()
+            for lo, hi in runs(texts):
+                for doc_id, found in zip(doc_ids[lo:hi], encoder.encode(texts[lo:hi]), strict=True):
+                    ids = np.concatenate([found, closing])
+                    offset = 0
+                    while offset < len(ids):
+                        part = ids[offset : offset + block - n_held]
+                        index.append((doc_id, seq, at, len(ids), offset, len(part)))
+                        held.append(part)
+                        n_held, offset = n_held + len(part), offset + len(part)
+                        if n_held == block:
+                            yield flush(np.concatenate(held), of)
+                            held, n_held, number = [], 0, number + 1
+                    seq, at = seq + 1, at + len(ids)
         if n_held:
-            yield flush(np.concatenate(held))
+            yield flush(np.concatenate(held), of)
 
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, path: str, end: int = END, block: int = BLOCK, kind: str = "byte", added: bool = False) -> None:
+def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, path: str, end: int = END, block: int = BLOCK, kind: str = "byte", added: bool = True) -> None:
     """Encodes each document's text and writes the ids, ``end`` after each, to ``path``.
 
     ``tokenizer`` is a byte-level BPE file of the tokenizers library, without added
-    spaces, whose words match ``pattern``. With ``added`` the strings of its added
-    tokens become their ids, which is the library's default; else they are ordinary text,
-    as with its ``encode_special_tokens``.
+    spaces, whose words match ``pattern``. The strings of its added tokens become their
+    ids, as the library does by default; without ``added`` they are ordinary text, as with
+    its ``encode_special_tokens``.
     Documents stand in ascending doc_id order over all shards, null ids first; rows that
-    share an id stand by the hash of their text. A null text is an empty one.
+    share an id stand by the hash of their text. A null text is an empty one; ids keep
+    their type. Texts are encoded whole: a block ends where it is full, inside a document
+    too, so a very long text takes many blocks. An empty table gives files without rows.
+    Other columns are not used.
     """
     if kind not in ("byte", "bit"):
         raise ValueError(f"kind must be byte or bit, not {kind}")
     text = F.coalesce(F.col("text"), F.lit(""))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("text").alias("tie"))
+    slim = docs.select("doc_id", text.alias("text"), F.xxhash64("text").alias("tie"))
     dealt = slim.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
-    dealt.mapInArrow(_encode_shard(tokenizer, pattern, end, block, kind, added), SCHEMA).write.parquet(path)
+    schema = _schema(docs.schema["doc_id"].dataType)
+    dealt.mapInArrow(_encode_shard(tokenizer, pattern, end, block, kind, added, schema.names), schema).write.parquet(path)
+
+
+def _kind(table: DataFrame) -> str:
+    """The type of a document's id."""
+    return table.schema["doc_id"].dataType.elementType.simpleString()
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, seq, doc_id, at, n_tokens, offset, ids): the ids of each document, block by block."""
+    """(shard, doc_id, seq, at, n_tokens, offset, ids): the ids of each document, block by block."""
+    table = spark.read.parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,12 +203,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 cuts = np.r_[0, np.cumsum(r["length"])].astype(np.int32)
                 n = len(r["doc_id"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["shard"]] * n, pa.int32()), *(pa.array(r[k], pa.int64()) for k in ("seq", "doc_id", "at", "n_tokens", "offset")), pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids))],
-                    names=["shard", "seq", "doc_id", "at", "n_tokens", "offset", "ids"],
+                    [pa.array([r["shard"]] * n, pa.int32()), b.column("doc_id")[row].values, *(pa.array(r[k], pa.int64()) for k in ("seq", "at", "n_tokens", "offset")), pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids))],
+                    names=["shard", "doc_id", "seq", "at", "n_tokens", "offset", "ids"],
                 )
 
-    schema = "shard int, seq bigint, doc_id bigint, at bigint, n_tokens bigint, offset bigint, ids array<int>"
-    return spark.read.schema(SCHEMA).parquet(path).mapInArrow(run, schema)
+    return table.mapInArrow(run, f"shard int, doc_id {_kind(table)}, seq bigint, at bigint, n_tokens bigint, offset bigint, ids array<int>")
 
 
 def _times(a: int, b: int) -> int:
@@ -223,22 +242,23 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard", "seq", "doc_id", "at", "n_tokens", "offset", "length", "crc"]
+        names = ["shard", "doc_id", "seq", "at", "n_tokens", "offset", "length", "crc"]
         for b in batches:
             for row in range(b.num_rows):
                 r = b.slice(row, 1).to_pylist()[0]
                 raw = memoryview(from_planes(r["planes"], r["n_ids"]).tobytes())
                 cuts = 4 * np.r_[0, np.cumsum(r["length"])]
                 crc = [zlib.crc32(raw[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-                columns = [r[k] for k in ("seq", "doc_id", "at", "n_tokens", "offset", "length")]
-                yield pa.RecordBatch.from_arrays([pa.array([r["shard"]] * len(crc), pa.int32()), *(pa.array(c, pa.int64()) for c in (*columns, crc))], names=names)
+                columns = [r[k] for k in ("seq", "at", "n_tokens", "offset", "length")]
+                longs = [pa.array(c, pa.int64()) for c in (*columns, crc)]
+                yield pa.RecordBatch.from_arrays([pa.array([r["shard"]] * len(crc), pa.int32()), b.column("doc_id")[row].values, *longs], names=names)
 
     @F.pandas_udf("long")
     def joined(parts: pd.Series) -> pd.Series:
         return parts.map(lambda p: p[0]["crc"] if len(p) == 1 else crc32_joined([x["crc"] for x in p], [4 * x["length"] for x in p]))
 
-    table = spark.read.schema(SCHEMA).parquet(path)
-    parts = table.mapInArrow(run, "shard int, seq bigint, doc_id bigint, at bigint, n_tokens bigint, offset bigint, length bigint, crc bigint")
+    table = spark.read.parquet(path)
+    parts = table.mapInArrow(run, f"shard int, doc_id {_kind(table)}, seq bigint, at bigint, n_tokens bigint, offset bigint, length bigint, crc bigint")
     whole = parts.groupBy("shard", "seq", "doc_id", "at", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("offset", "length", "crc"))).alias("parts"))
     # One row for each shard: as many as tasks wrote.
     totals = table.groupBy("shard").agg(F.sum("n_ids").alias("ids"))

@@ -33,7 +33,6 @@ def test_documents_come_back_in_order(spark, tmp_path, kind):
     docs = docs.withColumn("ids", docs.text).withColumn("shard", docs.doc_id)
     write_tokens(docs, JSON, P.PATTERN, str(tmp_path / "t"), block=64, kind=kind)
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
     want = [[*library.encode(t or "", add_special_tokens=False).ids, 0] for _, t in texts]
     rows = token_digests(spark, str(tmp_path / "t")).collect()
     crc = lambda ids: zlib.crc32(np.array(ids, dtype="<u4").tobytes())
@@ -62,6 +61,17 @@ def test_query_has_the_ids_of_the_library_by_default(spark, tmp_path, monkeypatc
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows] == [(i, sum(map(len, want[:i])), len(w), crc(w)) for i, w in enumerate(want)]
 
 
+def test_special_strings_as_text_and_ids_of_any_type(spark, tmp_path):
+    docs = spark.createDataFrame([("b", "x <|endoftext|>"), ("a", None)], "doc_id string, text string")
+    write_tokens(docs, JSON, P.PATTERN, str(tmp_path / "t"), added=False)
+    library = Tokenizer.from_file(JSON)
+    library.encode_special_tokens = True
+    want = [*library.encode("x <|endoftext|>", add_special_tokens=False).ids, 0]
+    rows = token_digests(spark, str(tmp_path / "t")).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.start, r.n_tokens) for r in rows] == [("a", 0, 1), ("b", 1, len(want))]
+    assert {r.doc_id: r.ids for r in read_tokens(spark, str(tmp_path / "t")).collect()} == {"a": [0], "b": want}
+
+
 def test_empty_and_null_ids(spark, tmp_path):
     docs = spark.createDataFrame([(None, "x"), (3, "y")], "doc_id bigint, text string")
     write_tokens(docs, JSON, P.PATTERN, str(tmp_path / "a"))
