@@ -7,15 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in local tests, a temporary folder is
-    taken and set for the rest of the session.
+    Only a local session that names none, as in tests, gets a temporary folder for the
+    rest of its time; a cluster must name one.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = getattr(shared_dir, "own", None)
         if at is None:
             at = shared_dir.own = tempfile.mkdtemp(prefix="graphloom-")
@@ -28,9 +32,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and returns it as read from there.
 
     This cuts the lineage: a lost executor costs no recomputation of what stands
-    before. The folder's owner removes the table with the folder.
+    before. ``clear`` removes the tables once results are stored.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of any file system that Spark writes to."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def marker() -> int:
+    """How many tables were written so far; see ``clear``."""
+    return len(_written)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Removes the intermediate tables written after a marker, but for the last ``keep``.
+
+    Frames that read them can't be computed any more, so this is for after their
+    results are stored.
+    """
+    gone = _written[since : len(_written) - keep]
+    del _written[since : len(_written) - keep]
+    for path in gone:
+        remove(spark, path)
