@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom.scratch import shared_dir, written
 
-__all__ = ["SPACES", "TOKEN", "WORD", "ascii_lower", "ascii_words", "bounded_sample", "shared_dir", "words_of", "written"]
+__all__ = ["SPACES", "TOKEN", "WORD", "ascii_lower", "ascii_words", "bounded_sample", "join_counted", "shared_dir", "words_of", "written"]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters, digits and everything beyond ASCII make words; for lower-cased text.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: ASCII white space splits words; everything else belongs to one.
 TOKEN = r"[^\x20\x09-\x0D]+"
+#: Labels that a model is fitted to at most: what a label needs is broadcast.
+MAX_LABELS = 400
+#: A key with more than one in so many rows is hot.
+HOT_SHARE = 1000
 SPACES = " \t\n\x0b\f\r"
 
 
@@ -40,20 +43,38 @@ def words_of(text: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({pattern})"), F.lit(1))
 
 
-def bounded_sample(docs: DataFrame, rows: DataFrame, label: str, most: int) -> DataFrame:
+def join_counted(many: DataFrame, counted: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
+    """Inner join with a written table that has one row for each key, whose ``n`` counts the rows it will meet.
+
+    Hot keys, with over 1 / ``share`` of all rows, are ``share`` at most: they are broadcast,
+    and their rows stay where they are. All other keys meet few rows each and join by a
+    shuffle. The order of rows is not defined.
+    """
+    rows = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()["rows"]
+    is_hot = F.col("n") > rows // share
+    hot, cold = F.broadcast(counted.where(is_hot).drop("n")), counted.where(~is_hot).drop("n")
+    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return many.join(hot, key).unionByName(rest.join(cold, key))
+
+
+def bounded_sample(docs: DataFrame, rows: DataFrame, label: str, most: int, labels: int = MAX_LABELS) -> DataFrame:
     """(label, text) of at most ``most`` documents of each label among ``rows`` (doc_id, label), for fitting a model.
 
-    The documents with the smallest hashes of their ids are taken. Hashes are spread
-    evenly, so all rows but about twice as many as needed are left out by their hash
-    before rows of a label meet in one task. Ids and counts by label are broadcast: most
-    rows for each label of the model at most.
+    The documents with the smallest hashes of their ids are taken; of rows that share an
+    id, one text. Hashes are spread evenly, so all rows but about twice as many as needed
+    are left out by their hash first, and what is gathered for a label is a bounded
+    array of hashes. Ids and counts by label are broadcast: most rows for each of
+    ``labels`` labels at most, over which this raises an error.
     """
-    spread = 1 << 31
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
-    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    near = rows.join(F.broadcast(sizes), label).where(place.cast("double") * F.col("n") <= float((2 * most + 100) * spread))
-    order = Window.partitionBy(label).orderBy(place, "doc_id")
-    ids = near.select("doc_id", label).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("doc_id", label).distinct()
+    place = F.xxhash64("doc_id")
+    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(labels + 1).toArrow()
+    if sizes.num_rows > labels:
+        raise ValueError(f"more than {labels} values of {label}")
+    sizes = docs.sparkSession.createDataFrame(sizes)
+    share = (F.shiftrightunsigned(place, 1).cast("double")) / float(1 << 63)
+    near = rows.join(F.broadcast(sizes), label).where(share * F.col("n") <= float(2 * most + 100)).select("doc_id", label, share.alias("place"))
+    near = written(near.distinct(), "near")
+    last = near.groupBy(label).agg(F.get(F.sort_array(F.collect_list("place")), most - 1).alias("last"))
+    ids = near.join(F.broadcast(last), label).where(F.col("last").isNull() | (F.col("place") <= F.col("last"))).select("doc_id", label)
     found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    again = Window.partitionBy(label).orderBy(place, "doc_id", F.xxhash64("text"))  # ids may repeat
-    return found.withColumn("nth", F.row_number().over(again)).where(F.col("nth") <= most).select(label, "text")
+    return found.groupBy("doc_id", label).agg(F.min_by("text", F.xxhash64("text")).alias("text")).select(label, "text")

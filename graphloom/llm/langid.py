@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training takes at most ``per_label`` rows of each language (the smallest by a hash of
-their id) with their whole texts. Tasks count hashed 1- to 3-grams, Spark sums the
+Training takes at most ``per_label`` rows of each of at most ``MAX_LABELS`` languages
+(the smallest by a hash of their id) with their whole texts. Tasks count hashed 1- to 3-grams, Spark sums the
 counts, and the log-probability matrix, one row for each bucket and one column for each
 language, is broadcast: buckets x languages floats, whatever the corpus. Scoring is
 numpy over batches of texts: all n-grams of a batch are hashed at once, their matrix
@@ -94,7 +94,7 @@ def train(rows: DataFrame, smoothing: float = 0.5) -> Model | None:
     at = {x: i for i, x in enumerate(labels)}
     counts[table["bucket"].to_numpy(), [at[x] for x in table["lang"].to_pylist()]] = table["n"].to_numpy()
     counts += smoothing
-    return Model(labels, np.log(counts / counts.sum(axis=0)).astype(np.float32), np.zeros(len(labels)))
+    return Model(labels, np.log(counts / counts.sum(axis=0)), np.zeros(len(labels)))
 
 
 def _step(model: Model) -> int:
@@ -132,7 +132,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     ``score`` is the posterior of the predicted label, from 0 to 1. A null text or one
     without a letter is ``und`` with score 0, as is everything if nothing was learned.
-    Input columns of those names are replaced. Whole texts are scored.
+    Input columns of those names are replaced. Whole texts are scored, a very long one
+    by parts of its n-grams; a score follows from its text alone, so repeated rows get
+    the same. Of labels with equal posteriors the first in order is taken. An empty
+    table gives an empty result.
     """
     whole = docs.drop("lang_pred", "score")
     place = whole.columns.index("text")

@@ -4,7 +4,8 @@ Counts of each text are made inside its row by array functions. Mergeable quanti
 sketches (``approx_percentile``, partial sketches merged after the shuffle) give the
 quartiles of each feature for each (lang, source), which replace fixed cutoffs: a
 document goes if a feature lies further outside the quartiles of its own group than
-``reach`` times their distance. Features are written once, to the shared folder, so
+``reach`` times their distance. A group of under ``MIN_GROUP`` documents has no quartiles
+to speak of: those of its language count, or else those of all documents. Features are written once, to the shared folder, so
 texts are read a single time.
 """
 
@@ -18,6 +19,8 @@ from graphloom.llm.common import TOKEN, words_of, written
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 REACH = 3.0
+#: Documents from which a group's own quartiles count.
+MIN_GROUP = 20
 #: Sketches keep this many points, an error in rank of 1 / ACCURACY.
 ACCURACY = 10_000
 #: Groups whose thresholds are broadcast at most; more of them are joined by a shuffle.
@@ -97,19 +100,29 @@ def features(counted: DataFrame) -> DataFrame:
     })
 
 
-def thresholds(featured: DataFrame, reach: float = REACH) -> DataFrame:
+def thresholds(featured: DataFrame, reach: float = REACH, min_group: int = MIN_GROUP) -> DataFrame:
     """(lang, source, <feature>_low, <feature>_high) from one sketch per group and feature.
 
-    Null lang or source form groups of their own.
+    Null lang or source form groups of their own. Sketches of languages and of all rows
+    come from the same pass, by a rollup.
     """
     sketches = [F.percentile_approx(f, [0.25, 0.75], ACCURACY).alias(f) for f in FEATURES]
-    grouped = featured.groupBy("lang", "source").agg(*sketches)
+    every = featured.rollup("lang", "source").agg(*sketches, F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
+    every = written(every, "sketches")
+    wide = F.struct("n", *FEATURES)
+    total = every.where("level = 3").select(*FEATURES).first()
+    own = every.where("level = 0").select("lang", "source", wide.alias("own"))
+    by_lang = every.where("level = 1").select(F.col("lang").alias("_lang"), wide.alias("wider"))
+    met = own.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")))
     ends = []
     for f, (least, high, low) in FEATURES.items():
-        reached = F.greatest(F.col(f)[1] - F.col(f)[0], F.lit(least)) * reach
-        ends += [(F.col(f)[0] - reached if low else F.lit(None).cast("double")).alias(f"{f}_low")]
-        ends += [(F.col(f)[1] + reached if high else F.lit(None).cast("double")).alias(f"{f}_high")]
-    return grouped.select("lang", "source", *ends)
+        whole = F.lit(total[f] if total else None).cast("array<double>")
+        ends_of = F.when(F.col("own.n") >= min_group, F.col(f"own.{f}")).when(F.col("wider.n") >= min_group, F.col(f"wider.{f}")).otherwise(whole)
+        q1, q3 = F.get(ends_of, 0), F.get(ends_of, 1)
+        reached = F.greatest(q3 - q1, F.lit(least)) * reach
+        ends += [(q1 - reached if low else F.lit(None).cast("double")).alias(f"{f}_low")]
+        ends += [(q3 + reached if high else F.lit(None).cast("double")).alias(f"{f}_high")]
+    return met.select("lang", "source", *ends)
 
 
 def quality(docs: DataFrame, reach: float = REACH) -> DataFrame:
@@ -118,7 +131,8 @@ def quality(docs: DataFrame, reach: float = REACH) -> DataFrame:
     One row comes out for each row that goes in. A document fails the base rules with
     under 50 words, or if windows that repeat cover over half of them; kept is false
     then, or if a feature lies outside its group's thresholds. Repeated rows are judged
-    alike; an empty table gives an empty result. Other columns of docs are not used.
+    alike; an empty table gives an empty result. Texts are read whole, each as one row
+    with arrays of its words and windows. Other columns of docs are not used.
     """
     featured = features(written(counts(docs.select("doc_id", "text", "lang", "source")), "counts"))
     ends = written(thresholds(featured, reach), "thresholds")

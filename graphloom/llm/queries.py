@@ -24,8 +24,8 @@ from graphloom.llm.url_filter import host_of, url_filter
 
 #: (verdict, host, path) of the rules that op2 applies.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Words in a host that put its pages on the list of blocked URLs.
-SPAM_HOST_WORDS = "casino|pills|spam"
+#: Words of a host, between dots and hyphens, that put its pages on the list of blocked URLs.
+SPAM_HOST_WORDS = "(^|[.-])(casino|poker|bets|betting|pills|viagra|porn|spam|adserver|ads|track|tracker)([.-]|$)"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,10 +161,10 @@ ORACLE_SQL = {
                                               ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
         judged AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS ruled
                    FROM c JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, d) GROUP BY page_id),
-        listed AS (SELECT DISTINCT canonical_url FROM c WHERE regexp_matches(host, 'casino|pills|spam'))
+        listed AS (SELECT DISTINCT canonical_url FROM c WHERE regexp_matches(host, '@SPAM@'))
         SELECT page_id, host, path, rule, canonical_url,
                coalesce(ruled, CASE WHEN canonical_url IN (FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
-        FROM c LEFT JOIN judged USING (page_id)""",
+        FROM c LEFT JOIN judged USING (page_id)""".replace("@SPAM@", SPAM_HOST_WORDS),
     "op4_line_dedup": rf"""
         WITH lines AS (
             SELECT doc_id, u.pos, u.line,
@@ -201,16 +201,25 @@ ORACLE_SQL = {
                 ('mean', word_chars / nullif(n_words, 0), 1.0, true), ('symbol', n_symbols / nullif(word_chars, 0), 0.02, false),
                 ('dup', n_dup_lines / nullif(n_words, 0), 0.05, false), ('repeat', n_repeat_words / nullif(n_words, 0), 0.1, false)
             ) u(feature, x, least, low) WHERE u.x IS NOT NULL),
+        levels AS (
+            SELECT 0 AS level, lang, source, feature, x, least, low FROM long UNION ALL
+            SELECT 1, lang, NULL, feature, x, least, low FROM long UNION ALL
+            SELECT 2, NULL, NULL, feature, x, least, low FROM long),
         ranked AS (
-            SELECT *, row_number() OVER (PARTITION BY lang, source, feature ORDER BY x) AS r, count(*) OVER (PARTITION BY lang, source, feature) AS n
-            FROM long),
+            SELECT *, row_number() OVER (PARTITION BY level, lang, source, feature ORDER BY x) AS r,
+                   count(*) OVER (PARTITION BY level, lang, source, feature) AS n
+            FROM levels),
         ends AS (
-            SELECT lang, source, feature, any_value(least)::DOUBLE AS least, any_value(low) AS low,
+            SELECT level, lang, source, feature, any_value(least)::DOUBLE AS least, any_value(low) AS low,
                    max(x) FILTER (r = ceil(n * 0.25)) AS q1, max(x) FILTER (r = ceil(n * 0.75)) AS q3
             FROM ranked GROUP BY ALL),
+        sized AS (
+            SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY lang, source) >= 20 THEN 0 WHEN count(*) OVER (PARTITION BY lang) >= 20 THEN 1 ELSE 2 END AS at
+            FROM counted),
         outside AS (
-            SELECT DISTINCT doc_id FROM long l JOIN ends e
-            ON l.lang IS NOT DISTINCT FROM e.lang AND l.source IS NOT DISTINCT FROM e.source AND l.feature = e.feature
+            SELECT DISTINCT l.doc_id FROM long l JOIN sized s ON l.doc_id = s.doc_id JOIN ends e
+            ON e.level = s.at AND l.feature = e.feature AND (e.level = 2 OR l.lang IS NOT DISTINCT FROM e.lang)
+               AND (e.level > 0 OR l.source IS NOT DISTINCT FROM e.source)
             WHERE x > q3 + greatest(q3 - q1, e.least) * 3 OR (e.low AND x < q1 - greatest(q3 - q1, e.least) * 3))
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
                n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,

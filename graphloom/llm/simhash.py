@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import written
+from graphloom.llm.common import join_counted, written
+from graphloom.scratch import clear, marker
 
 SHINGLE = 4
 RADIUS = 4
@@ -235,20 +236,28 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each linked node reaches.
 
     Each round takes the smallest label among a node's neighbours, then the label's
-    own label. Rounds are written to the shared folder, and end when none changes.
+    own label. Rounds are written to the shared folder, the one before is removed, and
+    they end when none changes. Nodes with many neighbours, and labels that many nodes
+    have, are broadcast: they are a thousand at most.
     """
+    spark = links.sparkSession
     both = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     both = written(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
-    labels = written(both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), F.least("src", "low").alias("label")), "labels")
+    degrees = both.groupBy("src").agg(F.min("dst").alias("low"), F.count(F.lit(1)).alias("n"))
+    labels = written(degrees.select(F.col("src").alias("node"), F.least("src", "low").alias("label"), "n"), "labels")
     while True:
-        seen = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("label").alias("low"))
-        lower = labels.join(seen, F.col("node") == F.col("src")).select("node", F.col("label").alias("was"), F.least("label", "low").alias("label"))
-        up = labels.select(F.col("node").alias("via"), F.col("label").alias("up"))
-        nexts = lower.join(up, F.col("label") == F.col("via")).select("node", "was", F.least("label", "up").alias("label"))
-        nexts = written(nexts, "labels")
-        labels = nexts.select("node", "label")
+        start = marker()
+        seen = join_counted(both, labels.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.min("label").alias("low"))
+        lower = labels.join(seen, F.col("node") == F.col("src")).select("node", F.col("label").alias("was"), F.least("label", "low").alias("label"), "n")
+        lower = written(lower, "lower")
+        roots = lower.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+        roots = written(roots.join(lower.select(F.col("node").alias("label"), F.col("label").alias("up")), "label"), "roots")
+        jumped = join_counted(lower.withColumnRenamed("n", "degree"), roots, "label").withColumnRenamed("degree", "n")
+        nexts = written(jumped.select("node", "was", F.least("label", "up").alias("label"), "n"), "labels")
+        labels = nexts.select("node", "label", "n")
+        clear(spark, start, keep=1)
         if nexts.where(F.col("was") != F.col("label")).isEmpty():
-            return labels
+            return labels.drop("n")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, crowd: int = CROWD, limit: int = LIMIT, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -263,16 +272,12 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
         raise ValueError("radius must be from 0 to 6")
     each = written(fingerprints(docs, shingle, keep), "fingerprints")
     nodes = written(each.groupBy("fp").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("n")), "nodes")
-    sizes = nodes.agg(F.count(F.lit(1)).alias("fps"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    links = written(near_links(nodes.select("fp"), sizes["fps"], radius, crowd, limit), "found")
+    links = written(near_links(nodes.select("fp"), nodes.count(), radius, crowd, limit), "found")
     labels = components(links)
     named = labels.join(nodes, F.col("node") == F.col("fp")).select("fp", "label", "smallest")
-    least = named.groupBy("label").agg(F.min("smallest").alias("component_id"))
-    linked = named.join(least, "label").select("fp", "component_id")
+    least = written(named.groupBy("label").agg(F.min("smallest").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
+    linked = join_counted(named, least, "label").select("fp", "component_id")
     of = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "smallest").alias("component_id"), "n")
     of = written(of, "components")
-    # Fingerprints that over a thousandth of the rows share are a thousand at most: those are
-    # broadcast, so that copies never meet in one task; all others join by a shuffle.
-    hot = F.broadcast(of.where(F.col("n") > sizes["rows"] // 1000).drop("n"))
-    rest = each.join(hot.select("fp"), "fp", "left_anti").join(of.drop("n"), "fp")
-    return each.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id", *keep)
+    # Copies never meet in one task.
+    return join_counted(each, of, "fp").select("doc_id", "fp", "component_id", *keep)

@@ -4,8 +4,9 @@ Rules block or allow a host with its subdomains under a path; the longest rule w
 URLs that no rule judges are held against a list of canonical URLs. A blocked Bloom
 filter of the list (one 64-bit block a URL, its bits combined by ``bit_or`` per block)
 goes to all tasks and passes possible hits; an exact hash join with the list then
-removes false positives. The filter has a fixed largest size: a longer list only
-passes more candidates, the join stays exact.
+removes false positives. A filter of more than ``MAX_BLOCKS`` blocks stays a table
+dealt by block, and keys meet their block in a join, so that its rate of false hits is
+the same for a list of any length.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import ascii_lower, written
 
-#: Blocks of the filter: four URLs to one, at most this many (8 MB).
-MAX_BLOCKS = 1 << 20
+#: Blocks of a filter that is broadcast, at most (64 MB); four URLs go to one.
+MAX_BLOCKS = 1 << 23
 _BITS = 6  # set in a block for each URL
 #: Query parameters that only track; fixed values.
 TRACKING = "utm_[^=&]*|ref|fbclid|gclid|session|sid"
@@ -68,15 +69,27 @@ def _place(key: Column, blocks: int) -> tuple[Column, Column]:
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"), bits
 
 
-def bloom_filter(listed: DataFrame, blocks: int) -> np.ndarray:
-    """The blocks of the filter of column ``key``; at most MAX_BLOCKS longs come to the driver."""
+def filter_table(listed: DataFrame, blocks: int) -> DataFrame:
+    """(block, bits): the blocks of the filter of column ``key`` that are not empty."""
     block, bits = _place(F.col("key"), blocks)
-    rows = listed.select(block.alias("block"), bits.alias("bits")).groupBy("block").agg(F.bit_or("bits").alias("bits")).toArrow()
+    return listed.select(block.alias("block"), bits.alias("bits")).groupBy("block").agg(F.bit_or("bits").alias("bits"))
+
+
+def bloom_filter(listed: DataFrame, blocks: int) -> np.ndarray:
+    """All blocks of the filter, from the driver: one long each."""
+    rows = filter_table(listed, blocks).toArrow()
     out = np.zeros(blocks, dtype=np.int64)
     out[rows["block"].to_numpy()] = rows["bits"].to_numpy()
     return out
 
 
+def passes_by_block(df: DataFrame, filled: DataFrame, blocks: int) -> DataFrame:
+    """Keys that a filter may hold which stays a table; distinct keys, so that no URL of many pages is one task's."""
+    block, bits = _place(F.col("key"), blocks)
+    want = df.select("key").distinct().select("key", block.alias("block"), bits.alias("want"))
+    return want.join(filled, "block").where(F.col("bits").bitwiseAND(F.col("want")) == F.col("want")).select("key")
+
+
 def passes(df: DataFrame, block: Column, bits: Column, filled: np.ndarray) -> DataFrame:
     """Rows of (page, key) whose key the filter may hold."""
     shared = df.sparkSession.sparkContext.broadcast(filled)
@@ -97,17 +110,22 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], listed: Data
     fitting rule is blocked if its canonical form is listed, else allowed. A null URL or
     one without ``://`` has an empty host and path, no canonical form, and is allowed
     unless a rule fits the empty host. One row comes out for each row that goes in; an
-    input column named like an output is replaced. Nulls in the list are ignored.
+    input column named like an output is replaced. Nulls in the list are ignored, and
+    repeated URLs count once. URLs of any length are read whole; they are shuffled, not
+    sorted in a task.
     """
     whole = pages.drop("host", "path", "rule", "verdict", "canonical_url", "_key", "_rule")
     judged = whole.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "canonical_url": canonical(F.col("url"))})
     judged = judged.withColumn("_rule", _rule(F.col("host"), F.col("path"), rules))
 
     keys = written(listed.select(canonical(F.col("url")).alias("key")).where("key IS NOT NULL").distinct(), "listed")
-    blocks = min(max(1, keys.count() // 4), max_blocks)
-    place = _place(F.col("key"), blocks)
+    blocks = max(1, keys.count() // 4)
     open_ = judged.where("_rule IS NULL AND canonical_url IS NOT NULL").select(F.col("canonical_url").alias("key"))
-    hits = passes(open_, *place, bloom_filter(keys, blocks)).distinct().join(keys, "key", "left_semi")
+    if blocks <= max_blocks:
+        maybe = passes(open_, *_place(F.col("key"), blocks), bloom_filter(keys, blocks)).distinct()
+    else:
+        maybe = passes_by_block(open_, filter_table(keys, blocks), blocks)
+    hits = maybe.join(keys, "key", "left_semi")
     met = judged.join(hits.withColumnRenamed("key", "_key"), F.col("canonical_url") == F.col("_key"), "left")
     method = F.when(F.col("_key").isNotNull(), "block").otherwise("allow")
     return met.select(

@@ -1,7 +1,11 @@
 """Each operator against a brute-force version, with odd rows."""
 
 import hashlib
+import math
 import re
+import time
+from collections import Counter
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +87,7 @@ def test_urls(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").withColumns({"host": F.lit("c"), "key": F.lit(1), "verdict": F.lit("c")})
     listed = spark.createDataFrame([("http://spam.com/a",), (None,), ("junk",), ("http://spam.com/a?id=1",)], "url string")
     rules_ = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-    for blocks in (1, 1 << 20):
+    for blocks in (0, 1, 1 << 20):
         rows = sorted(url_filter(pages, rules_, listed, max_blocks=blocks).collect(), key=lambda r: r.page_id)
         got = [(r.host, r.path, r.rule, r.verdict) for r in rows]
         assert got[:11] == [
@@ -196,6 +200,26 @@ def test_line_dedup_like_brute_force(spark):
     assert line_dedup(rows.limit(0)).count() == 0 and bad
 
 
+def test_line_dedup_of_long_copies_and_rows_that_share_an_id(spark):
+    long = "\n".join(f"line number {i} of a long text that is copied five times" for i in range(100_000))
+    docs = frame(spark, [(i, long) for i in range(5)] + [(4, "other\n" + long[:5000]), (None, long)])
+    began = time.perf_counter()
+    rows = sorted((r.doc_id if r.doc_id is not None else -1, r.n_lines, r.n_dropped) for r in line_dedup(docs).withColumn("n_chars", F.length("kept")).drop("text", "kept").collect())
+    assert time.perf_counter() - began < 40
+    n = long[:5000].count("\n") + 2
+    assert rows == [(-1, 100_000, 100_000), *((i, 100_000, 100_000) for i in range(4)), (4, n, 0), (4, 100_000, 0)]
+
+
+def test_line_dedup_deals_hot_and_cold_lines_alike(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    shared = [f"a line of at least forty characters, number {i:04d}" for i in range(30)]
+    docs = frame(spark, [(i, "\n".join(["the one line that all the documents have in common", *rng.choice(shared, 4)])) for i in range(60)])
+    want = sorted(map(tuple, line_dedup(docs).collect()))
+    for share in (1, 10**9):
+        monkeypatch.setattr("graphloom.llm.line_dedup.HOT_SHARE", share)
+        assert sorted(map(tuple, line_dedup(docs).collect())) == want
+
+
 # language
 
 
@@ -211,21 +235,45 @@ def test_languages(spark):
     assert langid.identify(docs.limit(0), F.lit(True)).count() == 0
 
 
-def test_batches_score_like_single_texts():
-    rng = np.random.default_rng(3)
-    model = langid.Model(["a", "b"], rng.normal(-9, 1, (langid.BUCKETS, 2)).astype(np.float32), np.zeros(2))
-    texts = [random_text(rng, int(n)) for n in rng.integers(1, 50, 20)]
-    # A border n-gram belongs to the text that it begins in, at most two a length.
-    singles = np.array([langid._log_likelihood(model, t) for t in texts])
-    assert np.abs(langid._scored(model, texts) - singles).max() < 60
-
-
-def test_neighbours_do_not_change_a_score():
+def plain_naive_bayes(rows, text, smoothing=0.5):
+    """Posteriors from n-grams counted one by one."""
+    grams = lambda t: [int(b) for g in langid._buckets(langid._points(f" {t} ")) for b in g]
+    counts = {}
+    for lang, t in rows:
+        at = counts.setdefault(lang, Counter())
+        at.update(grams(t or ""))
+    logs = {}
+    for lang, at in counts.items():
+        total = sum(at.values()) + smoothing * langid.BUCKETS
+        logs[lang] = sum(math.log((at[g] + smoothing) / total) for g in grams(text))
+    top = max(logs.values())
+    return {lang: math.exp(x - top) / sum(math.exp(y - top) for y in logs.values()) for lang, x in logs.items()}
+
+
+def test_language_scores_like_plain_naive_bayes(spark):
+    rng = np.random.default_rng(12)
+    learn = [(["en", "de", "fr"][i % 3], " ".join(rng.choice("the der le of und et and die les stone stein pierre".split(), 6))) for i in range(30)]
+    asked = ["der stone", "Le!", "x", "und les and the", "pierre " * 3, "stein, stein", "the  et", "La", "é"]
+    model = langid.train(spark.createDataFrame([(a, b) for a, b in learn], "lang string, text string"))
+    want = [plain_naive_bayes(learn, t) for t in asked]
+    for parts in (1, 5):
+        docs = frame(spark, list(enumerate(asked))).repartition(parts)
+        for r in langid.predict(docs, model).collect():
+            best = max(sorted(want[r.doc_id]), key=want[r.doc_id].get)
+            assert r.lang_pred == best and abs(r.score - want[r.doc_id][best]) < 1e-6, (asked[r.doc_id], r, want[r.doc_id])
+
+
+def test_neighbours_and_length_do_not_change_a_score(monkeypatch):
     rng = np.random.default_rng(5)
     model = langid.Model(["a", "b"], rng.normal(-9, 1, (langid.BUCKETS, 2)).astype(np.float32), np.zeros(2))
-    for texts in (["La", "De.", "x", "zu viel"], ["a"], ["x"] * 7, ["", "La", ""], [random_text(rng, int(n)) for n in rng.integers(1, 9, 20)]):
+    for texts in (["La", "De.", "x", "zu viel"], ["a"], ["x"] * 7, ["", "La", ""], [random_text(rng, int(n)) for n in rng.integers(1, 60, 20)]):
         singles = np.array([langid._log_likelihood(model, t) for t in texts])
-        assert np.allclose(langid._scored(model, texts), singles, rtol=1e-6, atol=1e-4)
+        assert np.allclose(langid._scored(model, texts), singles, rtol=1e-12, atol=1e-6)
+    texts = [random_text(rng, 300) for _ in range(4)]
+    short = list(langid._posteriors(model, texts))
+    monkeypatch.setattr(langid, "_step", lambda _: 1024)  # now each text is over a step long
+    assert [(i, k) for i, k, _ in langid._posteriors(model, texts)] == [(i, k) for i, k, _ in short]
+    assert np.allclose([p for *_, p in langid._posteriors(model, texts)], [p for *_, p in short], atol=1e-6)
 
 
 # toxicity
@@ -244,6 +292,43 @@ def test_deobfuscation():
     assert toxicity.restored("stone", tri) == [] and toxicity.decode("moron", tri) == "moron"
 
 
+def test_decoding_finds_the_best_of_all_paths():
+    """Viterbi against every path through the lattice."""
+    rng = np.random.default_rng(13)
+    letters = "abilo"
+    tri = {a + b + c: float(-rng.integers(1, 9)) for a in "^" + letters for b in "^" + letters for c in letters + "$"}
+    for _ in range(300):
+        token = "".join(rng.choice(list(letters + "01!.@"), int(rng.integers(1, 7))))
+        found = []
+        for path in product(*toxicity.lattice(token)):
+            word = "".join(x for x, _ in path)
+            marked = f"^^{word}$"
+            p = sum(cost for _, cost in path) + sum(tri.get(marked[i : i + 3], -9.0) for i in range(len(word) + 1))
+            found.append((p, word))
+        best = max(p for p, _ in found)
+        got = toxicity.decode(token, tri)
+        assert abs(max(p for p, w in found if w == got) - best) < 1e-9, (token, got)
+
+
+def test_words_score_like_a_plain_scan(spark):
+    rng = np.random.default_rng(14)
+    weights = {"moron": 3.0, "^idi": 2.0, "own$": 1.5, "clo": 1.3, "^the$": 1.2}
+    scorer = toxicity.Scorer(toxicity.Model(weights, {}, 1.0, 0.0))
+    for _ in range(50):
+        text = " ".join(rng.choice("the then idiot moron clown clock brown stone moronic".split(), 12))
+        each = {w: max((x for p, x in weights.items() if p in f"^{w}$"), default=0.0) for w in set(text.split())}
+        assert scorer.raw(text) == sum(sorted(each.values(), reverse=True)[: toxicity.TOP])
+
+
+def test_toxicity_with_few_rows_of_a_class(spark):
+    rows = [(i, "a plain text of river and stone") for i in range(40)] + [(50, "moron clown idiot")]
+    docs, marks = frame(spark, rows), frame(spark, [(i, int(i == 50)) for i, _ in rows], "doc_id bigint, toxic int")
+    assert toxicity.toxicity(docs, marks, F.lit(True)).count() == 41  # one row of a class: partitions without any
+    assert toxicity.toxicity(docs, marks.where("toxic = 0"), F.lit(True)).where("score <> 0").count() == 0
+    empty = toxicity._counts(iter([]))
+    assert {b.num_rows for b in empty} == {0}
+
+
 def test_toxicity_learns_and_finds_disguises(spark):
     rng = np.random.default_rng(4)
     rows, labels = [], []
@@ -263,7 +348,7 @@ def test_toxicity_learns_and_finds_disguises(spark):
 
 def test_toxicity_of_long_words_and_runs():
     tri = {m[i : i + 3]: -1.0 for w in "moron idiot clown stone".split() for m in (f"^^{w}$",) for i in range(len(m) - 2)}
-    scorer = toxicity.Scorer(toxicity.Model("k", {"moron": 4.0, "idiot": 3.0, "clown": 2.0}, tri, 1.0, 0.0))
+    scorer = toxicity.Scorer(toxicity.Model({"moron": 4.0, "idiot": 3.0, "clown": 2.0}, tri, 1.0, 0.0))
     assert scorer.raw("stone" * 30 + "moron" + "stone" * 30) == 4  # one word of letters
     assert scorer.raw("st0ne," * 60 + "m0r0n") == 4  # a long token
     assert scorer.raw("x" * 41 + "m" + "ooo" + "r" * 3 + "o" * 3 + "n") == 4  # a long run with repetitions
@@ -377,6 +462,15 @@ def test_quality_counts_like_brute_force(spark):
     assert quality(docs.limit(0)).count() == 0
 
 
+def test_small_groups_take_wider_thresholds(spark):
+    rng = np.random.default_rng(10)
+    vocab = ["w%d" % i for i in range(500)]
+    text = lambda sign: " ".join(w + sign for w in rng.choice(vocab, 80))
+    rows = [(i, text(""), "en", "plain") for i in range(40)] + [(900, text("###"), "en", "tiny"), (901, text(""), "en", "tiny"), (902, text("###"), None, None), (903, text(""), "xx", None)]
+    kept = {r.doc_id: r.kept for r in quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert not kept[900] and kept[901] and not kept[902] and kept[903] and all(kept[i] for i in range(40))
+
+
 def test_quality_thresholds_follow_the_group(spark):
     rng = np.random.default_rng(9)
     vocab = ["w%d" % i for i in range(500)]
