@@ -25,8 +25,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from graphloom.llm.common import by_batches
 from graphloom.llm.pieces import Ids, TextEncoder, runs
 
 _BYTES = 400_000  # of words to a query
@@ -212,4 +212,4 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids_of.slice(lo, hi - lo), coded, pa.array(coder.decode(ids), pa.binary())], names=["doc_id", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text")).mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
+    return by_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, ids binary, decoded binary")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.scratch import shared_dir, written
 
-__all__ = ["SPACES", "TOKEN", "WORD", "ascii_lower", "ascii_words", "bounded_sample", "join_counted", "shared_dir", "words_of", "written"]
+__all__ = ["SPACES", "TOKEN", "WORD", "ascii_lower", "ascii_words", "bounded_sample", "by_batches", "join_counted", "shared_dir", "words_of", "written"]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters, digits and everything beyond ASCII make words; for lower-cased text.
@@ -18,6 +21,9 @@ TOKEN = r"[^\x20\x09-\x0D]+"
 MAX_LABELS = 400
 #: A key with more than one in so many rows is hot.
 HOT_SHARE = 1000
+#: Of texts that a Python worker gets at once.
+BATCH_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 SPACES = " \t\n\x0b\f\r"
 
 
@@ -43,6 +49,18 @@ def words_of(text: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({pattern})"), F.lit(1))
 
 
+def by_batches(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` over batches of a few megabytes.
+
+    Spark's default of 10,000 rows is hundreds of megabytes of long texts, in the JVM and
+    again in Python. Unless the session says otherwise, its batches get ``BATCH_BYTES``.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCHES, None) is None:
+        conf.set(_BATCHES, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def join_counted(many: DataFrame, counted: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
     """Inner join with a written table that has one row for each key, whose ``n`` counts the rows it will meet.
 

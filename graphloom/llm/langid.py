@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import bounded_sample
+from graphloom.llm.common import bounded_sample, by_batches
 
 BUCKETS = 1 << 16
 GRAMS = (1, 2, 3)
@@ -85,7 +85,7 @@ def train(rows: DataFrame, smoothing: float = 0.5) -> Model | None:
             used = np.flatnonzero(at)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(at[used])], names=["lang", "bucket", "n"])
 
-    counted = rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = by_batches(rows, count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counted.toArrow()  # at most buckets x languages rows: the model itself
     labels = sorted(set(table["lang"].to_pylist()))
     if not labels:
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*whole.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return whole.mapInArrow(run, schema)
+    return by_batches(whole, run, schema)
 
 
 def _posteriors(model: Model, texts: list[str | None]) -> Iterator[tuple[int, int, float]]:

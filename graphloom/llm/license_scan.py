@@ -19,6 +19,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from graphloom.llm.common import by_batches
+
 #: Phrases whose every place counts, and their labels; fixed values.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Family: (label, keyword, names as regexes over words, versions); fixed values.
@@ -200,4 +202,4 @@ def license_scan(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     detail = "array<struct<label:string,start:bigint,end:bigint,priority:int>>"
     schema = f"doc_id {kind}, n_words bigint, base_starts array<bigint>, base_labels array<string>, found {detail}, labels array<string>, score double"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return by_batches(docs.select("doc_id", "text"), run, schema)

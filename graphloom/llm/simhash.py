@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import join_counted, written
+from graphloom.llm.common import by_batches, join_counted, written
 from graphloom.scratch import clear, marker
 
 SHINGLE = 4
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...]
 
     slim = docs.select("doc_id", "text", *keep)
     kinds = {f.name: f for f in slim.schema.fields}
-    return slim.mapInArrow(each, T.StructType([kinds["doc_id"], T.StructField("fp", T.LongType()), *(kinds[k] for k in keep)]))
+    return by_batches(slim, each, T.StructType([kinds["doc_id"], T.StructField("fp", T.LongType()), *(kinds[k] for k in keep)]))
 
 
 def _signed(mask: int) -> int:
@@ -229,7 +229,7 @@ def near_links(fps: DataFrame, n: int, radius: int = RADIUS, crowd: int = CROWD,
     """(a, b): links between distinct fingerprints that keep every component whole."""
     rows = _buckets(fps, n, radius, crowd, limit)
     dealt = rows.repartition("mask", "key").sortWithinPartitions("mask", "key")
-    return dealt.mapInArrow(_compare(radius), "a bigint, b bigint").distinct()
+    return by_batches(dealt, _compare(radius), "a bigint, b bigint").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

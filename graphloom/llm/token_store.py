@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from graphloom.llm.common import by_batches
 from graphloom.llm.pieces import Ids, TextEncoder, runs
 
 if TYPE_CHECKING:
@@ -183,7 +184,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, path: str, end:
     slim = docs.select("doc_id", text.alias("text"), F.xxhash64("text").alias("tie"))
     dealt = slim.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     schema = _schema(docs.schema["doc_id"].dataType)
-    dealt.mapInArrow(_encode_shard(tokenizer, pattern, end, block, kind, added, schema.names), schema).write.parquet(path)
+    by_batches(dealt, _encode_shard(tokenizer, pattern, end, block, kind, added, schema.names), schema).write.parquet(path)
 
 
 def _kind(table: DataFrame) -> str:
@@ -207,7 +208,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     names=["shard", "doc_id", "seq", "at", "n_tokens", "offset", "ids"],
                 )
 
-    return table.mapInArrow(run, f"shard int, doc_id {_kind(table)}, seq bigint, at bigint, n_tokens bigint, offset bigint, ids array<int>")
+    return by_batches(table, run, f"shard int, doc_id {_kind(table)}, seq bigint, at bigint, n_tokens bigint, offset bigint, ids array<int>")
 
 
 def _times(a: int, b: int) -> int:
@@ -258,7 +259,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
         return parts.map(lambda p: p[0]["crc"] if len(p) == 1 else crc32_joined([x["crc"] for x in p], [4 * x["length"] for x in p]))
 
     table = spark.read.parquet(path)
-    parts = table.mapInArrow(run, f"shard int, doc_id {_kind(table)}, seq bigint, at bigint, n_tokens bigint, offset bigint, length bigint, crc bigint")
+    parts = by_batches(table, run, f"shard int, doc_id {_kind(table)}, seq bigint, at bigint, n_tokens bigint, offset bigint, length bigint, crc bigint")
     whole = parts.groupBy("shard", "seq", "doc_id", "at", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("offset", "length", "crc"))).alias("parts"))
     # One row for each shard: as many as tasks wrote.
     totals = table.groupBy("shard").agg(F.sum("n_ids").alias("ids"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ascii_lower, written
+from graphloom.llm.common import ascii_lower, by_batches, written
 
 #: Blocks of a filter that is broadcast, at most (64 MB); four URLs go to one.
 MAX_BLOCKS = 1 << 23
@@ -100,7 +100,7 @@ def passes(df: DataFrame, block: Column, bits: Column, filled: np.ndarray) -> Da
             want = b.column(2).to_numpy()
             yield b.select([0]).filter(pa.array(blocks[b.column(1).to_numpy()] & want == want))
 
-    return df.select("key", block.alias("block"), bits.alias("bits")).mapInArrow(run, "key string")
+    return by_batches(df.select("key", block.alias("block"), bits.alias("bits")), run, "key string")
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
