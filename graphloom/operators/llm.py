@@ -153,13 +153,21 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t or ""))
 
 
-def _plain(text: Column) -> Column:
+def plain(text: Column) -> Column:
+    """A text up to compatible characters, white space and case."""
     return F.lower(strip(F.regexp_replace(nfkc(compact_text(text)), rf"(?U){SPACE}+", " ")))
 
 
-def supported(evidence: Column, text: Column) -> Column:
-    """Whether a passage stands in a text, up to compatible characters, white space and case."""
-    return (_plain(evidence) != "") & F.contains(_plain(text), _plain(evidence))
+def supported(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Rows whose evidence_span stands in their chunk's content, with the chunk's columns; evidence on other media is trusted.
+
+    Each chunk is normalised once, before its records meet it, and each distinct passage
+    of a row once.
+    """
+    read = chunks.withColumn("_content", plain(F.col("content")))
+    met = rows.withColumn("_evidence", plain(F.col("evidence_span"))).join(read, ["document_id", "chunk_id"])
+    stands = (F.col("_evidence") != "") & F.contains("_content", F.col("_evidence"))
+    return met.where((F.col("node_type") != "text") | stands).drop("_content", "_evidence")
 
 
 def canonical_type(value: Column, types: tuple[str, ...]) -> Column:
@@ -178,8 +186,7 @@ def llm_entities(chunks: DataFrame, answers: DataFrame, ontology: Ontology = Ont
     f = F.col("fields")
     parsed = records(answers).where((F.size(f) == 5) & (normalize_key(F.get(f, 0)) == "entity"))
     named = parsed.select("document_id", "chunk_id", F.col("record").alias("pos"), F.get(f, 1).alias("name"), canonical_type(F.get(f, 2), ontology.entity_types).alias("entity_type"), F.get(f, 3).alias("description"), F.get(f, 4).alias("evidence_span"))
-    met = named.where("name <> '' AND entity_type IS NOT NULL").join(chunks, ["document_id", "chunk_id"])
-    kept = met.where((F.col("node_type") != "text") | supported(F.col("evidence_span"), F.col("content")))
+    kept = supported(named.where("name <> '' AND entity_type IS NOT NULL"), chunks)
     return kept.withColumn("id", stable_id("document_id", "entity_type", normalize_key("name"), prefix="ent-"))
 
 
@@ -215,8 +222,7 @@ def llm_relations(chunks: DataFrame, entities: DataFrame, answers: DataFrame, on
     last = entities.groupBy("document_id", "chunk_id", normalize_key("name").alias("key")).agg(F.max_by("id", "pos").alias("end"))
     for end in ("src", "tgt"):
         rows = rows.join(last.select("document_id", "chunk_id", F.col("key").alias(f"{end}_key"), F.col("end").alias(end)), ["document_id", "chunk_id", f"{end}_key"])
-    met = rows.where("src <> tgt AND relation_type IS NOT NULL AND evidence_span <> ''").join(chunks, ["document_id", "chunk_id"])
-    kept = met.where((F.col("node_type") != "text") | supported(F.col("evidence_span"), F.col("content")))
+    kept = supported(rows.where("src <> tgt AND relation_type IS NOT NULL AND evidence_span <> ''"), chunks)
     return kept.select(
         "document_id", F.array(F.lit(1), "idx", "piece_idx", F.lit(1), "record").alias("seq"), stable_id("document_id", "src", "tgt", "relation_type", "chunk_id", prefix="edge-").alias("id"),
         "src", "tgt", "relation_type", "description", F.lit("extracted").alias("edge_source"), "evidence_span", F.lit("grounded").alias("evidence_status"),

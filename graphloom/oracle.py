@@ -7,7 +7,7 @@ statement selects from it. The corpus is ASCII, where the engines' patterns agre
 from __future__ import annotations
 
 from graphloom.functions.text import PALETTE
-from graphloom.plans.schema import ENTITY_TYPES, RELATION_TYPES, STRUCTURAL_RELATION_TYPES
+from graphloom.plans.schema import ENTITY_TYPES, RELATION_TYPES, STRUCTURAL_RELATION_TYPES, Ontology
 
 
 def _strip(x: str) -> str:
@@ -69,16 +69,22 @@ def _guarded(text: str) -> str:
     """Rows (.., entity_type, name) of matches in multilingual text, where a word ends at any letter of any script.
 
     Each character between words is doubled, so that neighbouring matches have one each.
+    ASCII text, where the engines agree on the ends of words, is read as it is.
     """
     doubled = rf"regexp_replace({text}, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g')"
     word = r"[\p{L}\p{N}_]"
     found = []
     for kind, p in _PATTERNS:
         inner = p.replace(r"\b", "").replace("(?i)", "").replace("|%", "")
-        found.append((kind, "" if kind == "capacity_metric" else "(?i)", f"({inner})(?:$|[^{word[1:-1]}])"))
+        found.append((kind, p, "" if kind == "capacity_metric" else "(?i)", f"({inner})(?:$|[^{word[1:-1]}])"))
     # A per cent sign ends a word only before a word character.
-    found.append(("performance_metric", "", rf"(\d+(?:\.\d+)?\s*%){word}"))
-    each = (f"{{'entity_type': '{kind}', 'names': regexp_extract_all({doubled}, '{flag}(?:^|[^{word[1:-1]}]){p}', 1)}}" for kind, flag, p in found)
+    found.append(("performance_metric", "", "", rf"(\d+(?:\.\d+)?\s*%){word}"))
+    plain = lambda p: f"[trim(x) for x in regexp_extract_all({text}, '{p}')]" if p else "[]"
+    each = (
+        rf"{{'entity_type': '{kind}', 'names': CASE WHEN regexp_matches({text}, '^[\x00-\x7F]*$') THEN {plain(whole)}"
+        rf" ELSE regexp_extract_all({doubled}, '{flag}(?:^|[^{word[1:-1]}]){p}', 1) END}}"
+        for kind, whole, flag, p in found
+    )
     return "[" + ", ".join(each) + "]"
 
 
@@ -228,6 +234,8 @@ def statements(content: str, answer: str, types: list[str], relations: list[str]
     text_docs = f"""SELECT {_id('doc-', 'doc_id', "'documents/' || doc_id")} AS document_id, coalesce(text, '') AS content FROM documents"""
     items = lambda nodes, edges: f"SELECT document_id, id, 'node' AS item, reasons <> '' AS is_review FROM ({nodes}) UNION ALL SELECT document_id, id, 'edge', reasons <> '' FROM ({edges})"
     ends = "EXISTS (FROM vn WHERE vn.document_id = e.document_id AND vn.id = e.src) AND EXISTS (FROM vn WHERE vn.document_id = e.document_id AND vn.id = e.tgt)"
+    both = f"""SELECT 'part-' || p_partkey AS document_name, 'parts/part-' || p_partkey AS source_path, {content} AS content FROM part
+        UNION ALL SELECT doc_id::VARCHAR, 'documents/' || doc_id, coalesce(text, '') FROM documents"""
     palette = ", ".join(f"'{c}'" for c in PALETTE)
     return {
         "title_levels": chain + f"SELECT document_id, line_no, line AS title, {_level('line')} AS level FROM parts WHERE part = 'head' AND kind = 'title'",
@@ -257,11 +265,12 @@ def statements(content: str, answer: str, types: list[str], relations: list[str]
             {_id('x-', 'p_partkey', 'p_type')} AS id, ([{palette}])[({letters} % {len(PALETTE)} + 1)::INT] AS color FROM part""",
         "entity_mentions": chain + "SELECT document_id, chunk_id, pos, entity_type, name, evidence FROM mentions",
         "component_words": f"""
-            WITH m AS (SELECT doc_id, unnest({_guarded("coalesce(text, '')")}) AS m FROM documents), n AS (SELECT doc_id, m.entity_type AS entity_type, unnest(m.names) AS name FROM m)
-            SELECT entity_type, lower(name) AS name, count(DISTINCT doc_id) AS n_docs FROM n GROUP BY entity_type, lower(name)""",
-        "entity_counts": _corpus("", "SELECT doc_id::VARCHAR AS document_name, 'documents/' || doc_id AS source_path, coalesce(text, '') AS content FROM documents")
-        + rf""", w AS (SELECT document_id, idx, content, unnest(generate_series(0, greatest(length(content) - 1, 0), 1080)) AS s FROM tree WHERE node_type = 'text'),
-            p AS (SELECT document_id, idx, s, CASE WHEN length(content) <= 1200 THEN content ELSE substr(content, s + 1, 1200) END AS piece FROM w WHERE s = 0 OR (length(content) > 1200 AND s + 120 < length(content))),
+            WITH t AS ({both}), m AS (SELECT document_name, source_path, unnest({_guarded("content")}) AS m FROM t),
+            n AS (SELECT document_name, source_path, m.entity_type AS entity_type, unnest(m.names) AS name FROM m)
+            SELECT entity_type, lower(name) AS name, count(DISTINCT (document_name, source_path)) AS n_docs FROM n GROUP BY entity_type, lower(name)""",
+        "entity_counts": _corpus("", both)
+        + rf""", w AS (SELECT document_id, idx, node_type, content, unnest(CASE WHEN node_type = 'text' THEN generate_series(0, greatest(length(content) - 1, 0), 1080) ELSE [0] END) AS s FROM chunks),
+            p AS (SELECT document_id, idx, s, CASE WHEN node_type <> 'text' OR length(content) <= 1200 THEN content ELSE substr(content, s + 1, 1200) END AS piece FROM w WHERE s = 0 OR (length(content) > 1200 AND s + 120 < length(content))),
             m AS (SELECT document_id, idx, s, unnest({_guarded("piece")}) AS m FROM p), n AS (SELECT document_id, idx, s, m.entity_type AS entity_type, unnest(m.names) AS name FROM m)
             SELECT entity_type, lower(name) AS entity, count(DISTINCT (document_id, idx, s)) AS n_chunks, count(DISTINCT document_id) AS n_documents FROM n GROUP BY entity_type, lower(name)""",
         "cooccurrence_edges": chain
@@ -283,7 +292,7 @@ def statements(content: str, answer: str, types: list[str], relations: list[str]
             {items('SELECT vn.* FROM vn SEMI JOIN shown USING (document_id, id)', 'FROM ve')}""",
         "node_search": chain
         + 'SELECT n.document_id, n.id, n.name, n.entity_type AS "entityType", coalesce(t.path, m.path) AS "treePath" FROM nodes n LEFT JOIN tree t ON t.document_id = n.document_id AND n.id = \'tree:\' || t.node_id'
-        " LEFT JOIN mentions m ON m.document_id = n.document_id AND n.kind = 'semantic' AND n.seq = [1, m.idx, 1, m.pos] WHERE contains(lower(n.name), 'ddr') ORDER BY n.document_id, n.seq LIMIT 20",
+        " LEFT JOIN mentions m ON m.document_id = n.document_id AND n.kind = 'semantic' AND n.seq = [1, m.idx, 1, m.pos] WHERE contains(lower(n.name), 'ddr') QUALIFY row_number() OVER (PARTITION BY n.document_id ORDER BY n.seq) <= 20",
         "node_neighborhood": chain
         + """, centre AS (SELECT document_id, id FROM nodes WHERE name = 'DRAM' AND kind = 'semantic'),
             near AS (SELECT e.* FROM edges e WHERE EXISTS (FROM centre c WHERE c.document_id = e.document_id AND c.id IN (e.src, e.tgt))),
@@ -293,6 +302,26 @@ def statements(content: str, answer: str, types: list[str], relations: list[str]
         "viewer_elements": chain
         + f"""SELECT document_id, id, name AS label, entity_type AS "entityType", kind || '-node modality-' || modality || CASE WHEN reasons <> '' THEN ' review-item' ELSE '' END AS classes,
             ([{palette}])[({letters.replace('p_type', 'entity_type')} % {len(PALETTE)} + 1)::INT] AS color, reasons <> '' AS review FROM judged_nodes""",
+        "viewer_edges": chain
+        + """SELECT document_id, id, src AS source, tgt AS target, relation_type AS label, edge_source AS "edgeSource", confidence,
+            CASE edge_source WHEN 'structural' THEN 'structural-edge' ELSE 'semantic-edge' END || CASE WHEN reasons <> '' THEN ' review-item' ELSE '' END AS classes, reasons <> '' AS review FROM judged_edges""",
+        "edge_neighborhood": chain
+        + """, near AS (FROM edges WHERE relation_type = 'part_of'), shown AS (SELECT document_id, src AS id FROM near UNION SELECT document_id, tgt FROM near)
+            SELECT document_id, id, 'node' AS item FROM nodes SEMI JOIN shown USING (document_id, id) UNION ALL SELECT document_id, id, 'edge' FROM near""",
+        "document_types": chain + "SELECT DISTINCT document_id, entity_type AS type, 'node' AS item FROM judged_nodes UNION ALL SELECT DISTINCT document_id, relation_type, 'edge' FROM judged_edges",
+        "active_graph": chain + "SELECT document_id, document_name, source_path FROM docs ORDER BY document_name, document_id LIMIT 1",
+        "ontology_types": "FROM (VALUES " + ", ".join(f"('{k}', '{t}')" for k, names in Ontology()._asdict().items() for t in names) + ") v(kind, type)",
+        "store_round_trip": chain
+        + f"""SELECT c.document_id, node_count AS stored_node_count, CASE WHEN regexp_matches(document_name, '[036]$') THEN 0 ELSE edge_count END AS stored_edge_count
+            FROM ({counts}) c JOIN docs USING (document_id) WHERE NOT ends_with(document_name, '0')""",
+        "export_round_trip": chain + "SELECT document_id, id, 'nodes' AS item, reasons FROM judged_nodes UNION ALL SELECT document_id, id, 'edges', reasons FROM judged_edges",
+        "llm_contains": f"""
+            WITH e AS (
+                SELECT p_partkey, 0 AS pos, p_name AS name, 'memory_product' AS entity_type FROM part
+                UNION ALL SELECT p_partkey, 2, 'Size ' || p_size, 'capacity_metric' FROM part UNION ALL SELECT p_partkey, 7, 'Wide ' || p_partkey, 'capacity_metric' FROM part),
+            t AS (SELECT *, 'doc-' || (p_partkey % 10) AS document_id, {_id('ent-', "'doc-' || (p_partkey % 10)", 'entity_type', _norm('name'))} AS tgt FROM e)
+            SELECT document_id, concat_ws('.', 1, p_partkey, 1, 0, pos) AS seq, {_id('edge-', 'document_id', "'tree:n'", 'tgt', "'contains'")} AS id, 'tree:n' AS src, tgt, 'contains' AS relation_type,
+                   'root/text contains mention of ' || name AS description, 0.9::DOUBLE AS confidence, 'grounded' AS evidence_status FROM t""",
         "llm_records": f"""
             WITH a AS (SELECT 'chk-' || p_partkey AS chunk_id, {answer} AS response FROM part),
             r AS (SELECT chunk_id, list_filter([{_strip('x')} for x in string_split(replace(response, '<|COMPLETE|>', '##'), '##')], lambda x: x <> '') AS rs FROM a),
@@ -302,7 +331,8 @@ def statements(content: str, answer: str, types: list[str], relations: list[str]
         "llm_entities": f"""
             WITH e AS (
                 SELECT p_partkey, 0 AS pos, p_name AS name, 'memory_product' AS entity_type, 'a ''part''' AS description, p_brand AS evidence_span FROM part
-                UNION ALL SELECT p_partkey, 2, 'Size ' || p_size, 'capacity_metric', 'y', 'PART ' || p_partkey FROM part)
+                UNION ALL SELECT p_partkey, 2, 'Size ' || p_size, 'capacity_metric', 'y', 'PART ' || p_partkey FROM part
+                UNION ALL SELECT p_partkey, 7, 'Wide ' || p_partkey, 'capacity_metric', 'z', 'ＰＡＲＴ　' || p_partkey FROM part)
             SELECT 'doc-' || (p_partkey % 10) AS document_id, 'chk-' || p_partkey AS chunk_id, pos, {_id('ent-', "'doc-' || (p_partkey % 10)", 'entity_type', _norm('name'))} AS id, name, entity_type, description, evidence_span FROM e""",
         "llm_relations": f"""
             WITH e AS (

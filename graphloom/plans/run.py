@@ -12,12 +12,16 @@ from graphloom.operators.blocks import components
 from graphloom.operators.chunks import chunks
 from graphloom.operators.tree import tree_nodes
 from graphloom.plans.build import Graph, build, finish
-from graphloom.plans.store import export_files, persist
+from graphloom.plans.store import export_files, export_json, persist
 from graphloom.plans.schema import Ontology
 from graphloom.sources.config import BuildConfig, load_config
 from graphloom.sources.documents import load_documents
 
 
+#: Documents that get files and summary lines of their own, at most.
+LISTED = 1000
+
+
 def build_with_model(documents, make_client, store: str, split_text: bool = False, split_paragraphs: bool = False, batch: int = llm.BATCH, ontology: Ontology = Ontology()) -> Graph:
     """The graphs by a language model; its raw answers are written under ``store`` first, each asked for once."""
     spark = documents.sparkSession
@@ -31,7 +35,11 @@ def build_with_model(documents, make_client, store: str, split_text: bool = Fals
 
 
 def run(spark: SparkSession, config: BuildConfig) -> list[str]:
-    """Builds, stores and exports what a config names; returns a summary line for each document."""
+    """Builds, stores and exports what a config names; returns a summary line for each document, up to ``LISTED``.
+
+    All graphs go to ``exports`` as lines of JSON. A collection of at most ``LISTED``
+    documents, as a viewer opens, also gets a graph.json each.
+    """
     documents = load_documents(spark, config.input_path)
     split = {"split_text": config.split_text_nodes, "split_paragraphs": config.split_text_to_paragraphs}
     if config.extractor == "llm":
@@ -41,9 +49,13 @@ def run(spark: SparkSession, config: BuildConfig) -> list[str]:
     else:
         graph = build(documents, **split)
     persist(graph, f"{config.working_dir}/store")
-    export_files(graph, config.working_dir)
-    named = graph.documents.select("document_id", "document_name").join(graph.stats, "document_id").orderBy("document_name")
-    return [f"{r.document_name}: {r.node_count} nodes, {r.edge_count} edges -> {config.working_dir}/{r.document_id}/exports/graph.json" for r in named.toLocalIterator()]
+    export_json(graph, f"{config.working_dir}/exports")
+    few = graph.documents.limit(LISTED + 1).count() <= LISTED
+    if few:
+        export_files(graph, config.working_dir)
+    named = graph.documents.select("document_id", "document_name").join(graph.stats, "document_id").orderBy("document_name").limit(LISTED)
+    at = lambda r: f"{config.working_dir}/{r.document_id}/exports/graph.json" if few else f"{config.working_dir}/exports"
+    return [f"{r.document_name}: {r.node_count} nodes, {r.edge_count} edges -> {at(r)}" for r in named.collect()]
 
 
 #: Options that change a config's fields, with their types; flags have none.

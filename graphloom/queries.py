@@ -7,6 +7,8 @@ repeated sections, tables with captions, images with notes and captions.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,10 @@ from graphloom.operators.structural import structural_edges, structural_nodes
 from graphloom.operators.tree import tree_nodes
 from graphloom.plans.build import Graph, build
 from graphloom.oracle import statements
-from graphloom.plans.store import entity_table, relation_table
-from graphloom.scratch import written
+from graphloom.plans.store import clear, entity_table, export_json, persist, relation_table, stored_stats
+from graphloom.scratch import shared_dir, written
 from graphloom.sources.documents import from_table
+from graphloom.sources.graphs import graph_table, read_graphs
 
 #: The Markdown of a part, as SQL that Spark and DuckDB read alike; {n} is a line feed.
 _CONTENT = """
@@ -59,8 +62,8 @@ def _graph(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: how often each entity is named in the texts of ``documents``, split into windows."""
-    documents = _texts(spark, sf_dir)
+    """The flagship: how often each entity is named in ``documents`` and the corpus, texts split into windows."""
+    documents = _texts(spark, sf_dir).unionByName(corpus(spark, sf_dir))
     found = mentions(chunks(tree_nodes(documents, components(documents)), split_text=True))
     return found.groupBy("entity_type", F.lower("name").alias("entity")).agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("document_id").alias("n_documents"))
 
@@ -144,9 +147,10 @@ def entity_mentions(spark, sf_dir):
 
 
 def component_words(spark, sf_dir):
-    """Documents by entity type and name, over the multilingual texts."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(matches(F.coalesce("text", F.lit("")))).alias("m"))
-    return rows.groupBy("m.entity_type", F.lower("m.name").alias("name")).agg(F.countDistinct("doc_id").alias("n_docs"))
+    """Documents by entity type and name, over the multilingual texts and the corpus as they are."""
+    documents = _texts(spark, sf_dir).unionByName(corpus(spark, sf_dir))
+    rows = documents.select("document_id", F.explode(matches(F.coalesce("content", F.lit("")))).alias("m"))
+    return rows.groupBy("m.entity_type", F.lower("m.name").alias("name")).agg(F.countDistinct("document_id").alias("n_docs"))
 
 
 def cooccurrence_edges(spark, sf_dir):
@@ -232,7 +236,7 @@ def review_subgraph(spark, sf_dir):
 
 
 def node_search(spark, sf_dir):
-    """The first twenty nodes named like a query."""
+    """The first twenty nodes of each document that are named like a query."""
     return gq.search(_graph(spark, sf_dir).nodes, "  DDR ")
 
 
@@ -255,11 +259,63 @@ def viewer_elements(spark, sf_dir):
     return gq.node_elements(_judged(spark, sf_dir).nodes).select("document_id", "id", "label", "entityType", "classes", "color", "review")
 
 
+def viewer_edges(spark, sf_dir):
+    """Edges with classes."""
+    return gq.edge_elements(_judged(spark, sf_dir).edges).select("document_id", "id", "source", "target", "label", "edgeSource", "confidence", "classes", "review")
+
+
+def edge_neighborhood(spark, sf_dir):
+    """The ends of every part_of edge."""
+    g = _graph(spark, sf_dir)
+    nodes, edges = gq.edge_ends(g.nodes, g.edges, F.col("relation_type") == "part_of")
+    return nodes.select("document_id", "id", F.lit("node").alias("item")).unionByName(edges.select("document_id", "id", F.lit("edge").alias("item")))
+
+
+def document_types(spark, sf_dir):
+    """The entity and relation types that each document has."""
+    g = _judged(spark, sf_dir)
+    name = lambda rows, column, item: gq.types(rows, column).select("document_id", F.col(column).alias("type"), F.lit(item).alias("item"))
+    return name(g.nodes, "entity_type", "node").unionByName(name(g.edges, "relation_type", "edge"))
+
+
+def active_graph(spark, sf_dir):
+    """The document that is shown first."""
+    return gq.active_document(corpus(spark, sf_dir)).select("document_id", "document_name", "source_path")
+
+
+def ontology_types(spark, sf_dir):
+    """The types of the default ontology."""
+    from graphloom.plans.schema import Ontology
+
+    return spark.createDataFrame([(k, t) for k, names in Ontology()._asdict().items() for t in names], "kind string, type string")
+
+
+def store_round_trip(spark, sf_dir):
+    """Rows of a store after the corpus was written twice, in between a third of it without its edges and a tenth not at all."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    g = _judged(spark, sf_dir)
+    persist(g, path)
+    third, tenth = F.col("document_name").rlike("[036]$"), F.col("document_name").endswith("0")
+    some = g.documents.where(third).select("document_id")
+    persist(g._replace(documents=some, nodes=g.nodes.join(some, "document_id", "left_semi"), edges=g.edges.limit(0)), path)
+    clear(g.documents.where(tenth), path)
+    return stored_stats(spark, path)
+
+
+def export_round_trip(spark, sf_dir):
+    """Nodes and edges of graphs that were exported as JSON and read again."""
+    path = f"{shared_dir(spark)}/exports-{uuid.uuid4().hex}"
+    export_json(_judged(spark, sf_dir), path)
+    graphs = read_graphs(spark, path, lines=True)
+    rows = lambda table: graph_table(graphs, table).select("document_id", "id", F.lit(table).alias("item"), F.array_join("review_reasons", ",").alias("reasons"))
+    return rows("nodes").unionByName(rows("edges"))
+
+
 #: An answer with good and bad records, made from a part; fields part at <|>.
 _ANSWER = """
     '("entity"<|>' || p_name || '<|>Memory Product<|>a ''part''<|>' || p_brand || ')##("entity"<|>"' || p_type || '"<|>material<|>x<|>missing text)##(entity<|>Size ' || p_size ||
     '<|>capacity-metric<|>y<|>  PART ' || p_partkey || ' )##junk##("entity"<|>few<|>fields)##("relationship"<|>' || p_name || '<|>size ' || p_size || '<|>has capacity<|>d<|>' || p_brand ||
-    '<|>' || CASE p_partkey % 4 WHEN 0 THEN 'high' WHEN 1 THEN '1.7' WHEN 2 THEN '-3' ELSE '0.25' END || ')##("relationship"<|>' || p_name || '<|>' || p_name || '<|>affects<|>d<|>' || p_brand || '<|>0.9)<|COMPLETE|>'
+    '<|>' || CASE p_partkey % 4 WHEN 0 THEN 'high' WHEN 1 THEN '1.7' WHEN 2 THEN '-3' ELSE '0.25' END || ')##("relationship"<|>' || p_name || '<|>' || p_name || '<|>affects<|>d<|>' || p_brand || '<|>0.9)##("entity"<|>Wide ' || p_partkey || '<|>capacity metric<|>z<|>ＰＡＲＴ　' || p_partkey || ')<|COMPLETE|>'
 """
 
 
@@ -288,6 +344,13 @@ def llm_entities(spark, sf_dir):
     return llm.llm_entities(pieces, answers).select("document_id", "chunk_id", "pos", "id", "name", "entity_type", "description", "evidence_span")
 
 
+def llm_contains(spark, sf_dir):
+    """Edges from chunks to the entities that the answers ground in them."""
+    pieces, answers = _llm(spark, sf_dir)
+    rows = llm.llm_mention_edges(llm.llm_entities(pieces, answers))
+    return rows.select("document_id", _seq("seq").alias("seq"), "id", "src", "tgt", "relation_type", "description", "confidence", "evidence_status")
+
+
 def llm_relations(spark, sf_dir):
     """Relations between entities of the same chunk."""
     pieces, answers = _llm(spark, sf_dir)
@@ -306,7 +369,8 @@ QUERIES = {
         title_levels, title_lines, line_blocks, document_components, table_blocks, image_captions, tree_paths, node_chunks, chunk_windows, chunk_paragraphs,
         scalar_functions, entity_mentions, component_words, cooccurrence_edges, structural_graph_nodes, structural_graph_edges, merged_nodes, merged_edges,
         validated_nodes, validated_edges, graph_counts, stored_graph, visible_subgraph, review_subgraph, node_search, node_neighborhood, type_inventory,
-        viewer_elements, llm_records, llm_entities, llm_relations, entity_counts,
+        viewer_elements, viewer_edges, edge_neighborhood, document_types, active_graph, ontology_types, store_round_trip, export_round_trip,
+        llm_records, llm_entities, llm_contains, llm_relations, entity_counts,
     )
 }
 

@@ -41,10 +41,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Removes a folder of any file system that Spark writes to."""
+def _at(spark: SparkSession, path: str):
+    """A path with its file system, of any kind that Spark writes to."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, files = _at(spark, path)
+    return files.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place, files = _at(spark, path)
+    files.delete(place, True)
+
+
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """Writes one small file."""
+    place, files = _at(spark, path)
+    out = files.create(place, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    """Copies one file without reading it into Python."""
+    (a, from_), (b, to) = _at(spark, source), _at(spark, target)
+    to.mkdirs(b.getParent())
+    spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(from_, a, to, b, False, spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def marker() -> int:

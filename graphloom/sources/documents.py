@@ -29,24 +29,34 @@ def _checked(path: str) -> str:
     return str(at)
 
 
-def _texts(spark: SparkSession, paths: list[str]) -> DataFrame:
+def plain_path(url: Column) -> Column:
+    """A local file's path without scheme and escapes; other files' URLs as they are."""
+    local = F.url_decode(F.replace(F.regexp_replace(url, r"\Afile:(//)?", ""), F.lit("+"), F.lit("%2B")))
+    return F.when(url.startswith("file:"), local).otherwise(url)
+
+
+def whole_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(source_path, content) of whole files."""
-    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("content"))
-    return rows.select(F.url_decode(F.replace(F.regexp_replace("url", r"\Afile:(//)?", ""), F.lit("+"), F.lit("%2B"))).alias("source_path"), "content")
+    rows = spark.read.text(paths, wholetext=True)
+    return rows.select(plain_path(F.col("_metadata.file_path")).alias("source_path"), F.col("value").alias("content"))
+
+
+def from_files(rows: DataFrame) -> DataFrame:
+    """Documents of whole Markdown files, from a batch or a stream; stems are names."""
+    at = plain_path(F.col("_metadata.file_path"))
+    return _with_id(rows.select(F.regexp_extract(at, r"([^/]*)\.md\z", 1).alias("document_name"), at.alias("source_path"), F.col("value").alias("content")))
 
 
 def read_markdown(spark: SparkSession, path: str, document_name: str | None = None) -> DataFrame:
     """One local Markdown file; the name is the file's stem unless given."""
     at = _checked(path)
-    rows = _texts(spark, [at]).select(F.lit(document_name or Path(at).stem).alias("document_name"), F.lit(at).alias("source_path"), "content")
+    rows = whole_texts(spark, [at]).select(F.lit(document_name or Path(at).stem).alias("document_name"), F.lit(at).alias("source_path"), "content")
     return _with_id(rows)
 
 
 def read_markdown_folder(spark: SparkSession, path: str) -> DataFrame:
     """All Markdown files below a path that Spark can read; their stems are their names."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
-    at = F.col("_metadata.file_path")
-    return _with_id(rows.select(F.regexp_extract(at, r"([^/]*)\.md\z", 1).alias("document_name"), at.alias("source_path"), F.col("value").alias("content")))
+    return from_files(spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +75,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     if not entries:
         return spark.createDataFrame([], "document_id string, document_name string, source_path string, content string")
     named = spark.createDataFrame([(name, _checked(target)) for name, target in entries.items()], "document_name string, source_path string")
-    return _with_id(named.join(_texts(spark, sorted({_checked(t) for t in entries.values()})), "source_path"))
+    return _with_id(named.join(whole_texts(spark, sorted({_checked(t) for t in entries.values()})), "source_path"))
 
 
 def load_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -12,9 +12,10 @@ from graphloom.operators import llm
 from graphloom.operators.metadata import meta
 from graphloom.plans.build import build
 from graphloom.plans.run import build_with_model, config_of, run
-from graphloom.plans.store import export_files, persist, publish, stored_stats
+from graphloom.plans.publish import publish
+from graphloom.plans.store import clear, export_files, export_json, persist, stored, stored_stats
 from graphloom.sources.config import BuildConfig, config_from
-from graphloom.sources.documents import load_documents, read_manifest, read_markdown
+from graphloom.sources.documents import load_documents, read_manifest, read_markdown, read_markdown_folder
 from graphloom.sources.graphs import discover_exports, graph_table, index_entries, local_graph_path, read_graphs
 from graphloom.streaming.ingest import document_stream, ingest
 
@@ -39,7 +40,7 @@ def test_command_line(spark, tmp_path):
     assert config_of(["--config", str(tmp_path / "c.json"), "--input", "y.md", "--llm-batch-size", "3"]) == BuildConfig("y.md", split_text_nodes=True, llm_model="m", llm_batch_size=3)
     (tmp_path / "a.md").write_text(TEXT)
     lines = run(spark, config_of(["--input", str(tmp_path / "a.md"), "--working-dir", str(tmp_path / "w"), "--split-text-to-paragraphs"]))
-    assert len(lines) == 1 and lines[0].startswith("a: 10 nodes, ") and discover_exports(str(tmp_path / "w"))
+    assert len(lines) == 1 and lines[0].startswith("a: 10 nodes, ") and discover_exports(spark, str(tmp_path / "w"))
 
 
 def test_markdown_and_manifest(spark, tmp_path):
@@ -47,6 +48,10 @@ def test_markdown_and_manifest(spark, tmp_path):
     at.write_text(TEXT)
     row = read_markdown(spark, str(at)).first()
     assert (row.document_name, row.source_path, row.content) == ("my note+1", str(at), TEXT) and row.document_id.startswith("doc-")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b c+é.md").write_text(TEXT)
+    whole = read_markdown_folder(spark, str(tmp_path / "in")).first()
+    assert whole == read_markdown(spark, str(tmp_path / "in" / "b c+é.md")).first()
     manifest = tmp_path / "m.json"
     manifest.write_text(json.dumps({"paper-a": str(at), "paper-b": str(at)}))
     rows = load_documents(spark, str(manifest)).collect()
@@ -70,18 +75,33 @@ def test_store_export_publish_and_read_back(spark, tmp_path):
     for r in stored_stats(spark, str(tmp_path / "store")).collect():
         assert (r.stored_node_count, r.stored_edge_count) == (stats[r.document_id].node_count, stats[r.document_id].edge_count)
     files = export_files(g, str(tmp_path / "work"))
-    assert len(files) == 2 and sorted(discover_exports(str(tmp_path / "work"))) == sorted(files)
+    assert len(files) == 2 and sorted(discover_exports(spark, str(tmp_path / "work"))) == sorted(files)
     graph = json.loads(open(files[0]).read())
     assert graph["tree"]["children"][0]["children"][1]["children"][0]["node_type"] == "text"
     assert graph["stats"]["node_count"] == len(graph["nodes"]) and graph["ontology"]["entity_types"][0] == "FORMULA"
-    assert publish(str(tmp_path / "work"), str(tmp_path / "public"))["graph_count"] == 2
+    assert publish(spark, str(tmp_path / "work"), str(tmp_path / "public"))["graph_count"] == 2
+    index = json.loads((tmp_path / "public" / "kg" / "index.json").read_text())
+    assert set(index) == {"a", "b"} and all((tmp_path / "public" / "kg" / e["graph_path"]).read_text() for e in index.values())
+    (tmp_path / "work" / "index.json").write_text(json.dumps({"x": {"export_path": files[0]}, "y": {"export_path": "none.json"}, "z": 3, "w": {"document_id": files[1].split("/")[-3]}}))
+    assert discover_exports(spark, str(tmp_path / "work")) == files
+    (tmp_path / "work" / "index.json").unlink()
+    assert discover_exports(spark, str(tmp_path / "work")) == sorted(files)
+    export_json(g, str(tmp_path / "lines"))
+    assert read_graphs(spark, str(tmp_path / "lines"), lines=True).count() == 2
+    empty = build(spark.createDataFrame([(r.document_id, r.document_name, r.source_path, "") for r in g.documents.collect()[:1]], g.documents.schema))
+    persist(empty, str(tmp_path / "store"))
+    left = {r.document_id: r.stored_edge_count for r in stored_stats(spark, str(tmp_path / "store")).collect()}
+    again = empty.documents.first().document_id
+    assert left[again] == 0 and left.keys() == stats.keys() and stored(spark, str(tmp_path / "store"), "entity").where(F.col("document_id") == again).count() == 1
+    clear(empty.documents, str(tmp_path / "store"))
+    assert {r.document_id for r in stored_stats(spark, str(tmp_path / "store")).collect()} == stats.keys() - {again}
     loaded = read_graphs(spark, files)
     assert graph_table(loaded, "nodes").count() == sum(s.node_count for s in stats.values())
     (tmp_path / "bad.json").write_text('{"document": {"document_id": "x"}, "nodes": []}')
     with pytest.raises(Exception, match="needs a document id"):
         read_graphs(spark, str(tmp_path / "bad.json")).collect()
     with pytest.raises(FileNotFoundError):
-        publish(str(tmp_path / "nothing"), str(tmp_path / "public"))
+        publish(spark, str(tmp_path / "nothing"), str(tmp_path / "public"))
 
 
 def test_index_paths():
