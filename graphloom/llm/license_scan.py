@@ -4,7 +4,9 @@ Rules are regexes over a text's words, joined by single spaces. A rule runs only
 one of its keywords stands in the text (an Aho-Corasick automaton finds them all in
 one pass). Each place found is an interval of words with the rule's priority; an
 interval that lies inside one of a higher priority, or of the same priority and longer,
-is suppressed. The rules come from license families, versions and phrase templates.
+is suppressed. Signatures of license bodies, headers, exceptions and notices are written
+by hand in ``license_signatures``; names with versions come from families and phrase
+templates here. Time goes with the length of a text and the number of its places.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ from itertools import product
 from typing import NamedTuple
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from graphloom.llm.common import by_batches
+from graphloom.llm.license_signatures import BODIES, EXCEPTIONS, NAMES, NOTICES
 
 #: Phrases whose every place counts, and their labels; fixed values.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -58,16 +62,6 @@ TEMPLATES = (
     "(?:licensed|released|distributed|published|available|shared|provided) under (?:the )?(?:terms of )?(?:the )?{name}",
     "spdx license identifier {name}",
 )
-#: Notices that name no license: (label, keyword, regex).
-NOTICES = (
-    ("reserved", "reserved", "all rights reserved"),
-    ("reserved", "reserved", r"(?:no|some) rights reserved"),
-    ("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)?"),
-    ("warranty", "warranty", "without warranty of any kind"),
-    ("warranty", "warranties", "warranties of merchantability"),
-    ("permission", "permission", "permission is hereby granted free of charge"),
-    ("redistribution", "redistribution", "redistribution and use in source and binary forms"),
-)
 #: Bytes of words to themselves, A-Z to a-z, all other ASCII to spaces.
 _TO_WORDS = bytes(i if i >= 128 or chr(i).isdigit() or chr(i).islower() else i + 32 if chr(i).isupper() else 32 for i in range(256))
 
@@ -103,14 +97,15 @@ def rules() -> list[Rule]:
         for v in versions:
             full = template.format(name=f"{name}(?: license)?(?: version| v)?{gap}{v}(?: only| or later)?")
             out.append(Rule(f"{label}-{v.replace(' ', '.')}", words, full, 10 * rank + 5))
-    out += [Rule(label, (word,), pattern, 1) for label, word, pattern in NOTICES]
+    for rows, priority in ((BODIES, 40), (EXCEPTIONS, 27), (NAMES, 12), (NOTICES, 1)):
+        out += [Rule(label, (words,) if isinstance(words, str) else words, pattern, priority) for label, words, pattern, _ in rows]
     return sorted(out, key=lambda r: (-r.priority, r.label, r.pattern))
 
 
 @functools.cache
 def _compiled() -> tuple[ahocorasick.Automaton, list[tuple[Rule, re.Pattern]]]:
     """The keyword automaton, which gives the numbers of the rules a keyword opens."""
-    numbered = [(r, re.compile(rf"(?<= ){r.pattern}(?= )")) for r in rules()]
+    numbered = [(r, re.compile(rf" (?:{r.pattern})(?= )" if "|" in r.pattern else rf" {r.pattern}(?= )")) for r in rules()]
     opens: dict[str, list[int]] = {}
     for i, (r, _) in enumerate(numbered):
         for word in r.keywords:
@@ -128,11 +123,22 @@ def suppressed(found: list[Found]) -> list[Found]:
     Stronger is a higher priority, then a longer interval, then the smaller label; of
     equal places one stays.
     """
-    kept: list[Found] = []
-    for f in sorted(found, key=lambda f: (-f.priority, f.start - f.end, f.start, f.label)):
-        if not any(k.start <= f.start and f.end <= k.end for k in kept):
-            kept.append(f)
-    return sorted(kept, key=lambda f: (f.start, f.end, f.label))
+    if not found:
+        return []
+    rows = sorted(found, key=lambda f: (-f.priority, f.start, -f.end, f.label))
+    priority, start, end = (np.array([getattr(f, k) for f in rows], dtype=np.int64) for k in ("priority", "start", "end"))
+    keep = np.ones(len(rows), dtype=bool)
+    starts = ends = np.empty(0, dtype=np.int64)  # of what is kept of higher priorities, by start
+    for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(priority)) + 1):
+        # In order of start, an interval is inside another if one before it ends no sooner.
+        before = np.maximum.accumulate(np.concatenate(([-1], end[at][:-1])))
+        higher = np.searchsorted(starts, start[at], side="right")
+        reach = np.concatenate(([-1], np.maximum.accumulate(ends))) if len(ends) else np.array([-1])
+        keep[at] = (before < end[at]) & (reach[higher] < end[at])
+        left = at[keep[at]]
+        order = np.argsort(np.concatenate([starts, start[left]]), kind="stable")
+        starts, ends = np.concatenate([starts, start[left]])[order], np.concatenate([ends, end[left]])[order]
+    return sorted((f for f, k in zip(rows, keep.tolist(), strict=True) if k), key=lambda f: (f.start, f.end, f.label))
 
 
 def _normal(text: str) -> str:
@@ -144,13 +150,12 @@ def detect(normal: str) -> list[Found]:
     """What the rules find in a normalised text."""
     automaton, numbered = _compiled()
     which = {i for _, hit in automaton.iter(normal) for i in hit}
-    found = []
-    for i in sorted(which):
-        rule, pattern = numbered[i]
-        for m in pattern.finditer(normal):
-            start = normal.count(" ", 0, m.start()) - 1
-            found.append(Found(rule.label, start, start + m[0].count(" ") + 1, rule.priority))
-    return suppressed(found)
+    spans = [(numbered[i][0], m.start(), m.end()) for i in sorted(which) for m in numbered[i][1].finditer(normal)]
+    if not spans:
+        return []
+    spaces = np.flatnonzero(np.frombuffer(normal.encode("utf-32-le"), dtype="<u4") == 32)
+    first, past = (np.searchsorted(spaces, [s[k] for s in spans]).tolist() for k in (1, 2))
+    return suppressed([Found(rule.label, a, z, rule.priority) for (rule, *_), a, z in zip(spans, first, past, strict=True)])
 
 
 def _places(normal: str, phrase: str) -> list[int]:
@@ -174,8 +179,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     ``base_starts`` has the first word of every place of a base phrase, ``found`` the
     detections left after suppression. Labels are distinct and sorted. A null text is an
-    empty one: no words, nothing found, score 0. Repeated rows come out repeated; other
-    columns are not used.
+    empty one: no words, nothing found, score 0. Texts of any length are scanned whole.
+    Repeated rows come out repeated, an empty table gives an empty result; other columns
+    are not used.
     """
 
     def scan(text: str | None) -> tuple:

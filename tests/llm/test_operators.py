@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import langid, toxicity
 from graphloom.llm.decontaminate import decontaminate
+from graphloom.llm.license_signatures import BODIES, EXCEPTIONS, NAMES, NOTICES
 from graphloom.llm.license_scan import BASE, Found, detect, license_scan, rules, suppressed, _compiled, _normal
 from graphloom.llm.line_dedup import line_dedup
 from graphloom.llm.quality import quality
@@ -120,6 +121,50 @@ def test_license_rules():
     assert suppressed([inner, outer]) == [outer] and suppressed([inner, outer._replace(priority=1)]) == [Found("b", 1, 6, 1), inner] and suppressed([inner, inner]) == [inner]
 
 
+def brute_found(normal):
+    """All rules over the whole text, and each place held against all others."""
+    spaces = [i for i, c in enumerate(normal) if c == " "]
+    all_ = set()
+    for r in rules():
+        for m in re.finditer(rf"(?<= )(?:{r.pattern})(?= )", normal):
+            start = sum(i < m.start() for i in spaces) - 1
+            all_.add(Found(r.label, start, start + m[0].count(" ") + 1, r.priority))
+    stays = lambda f: not any(g.start <= f.start and f.end <= g.end and (-g.priority, g.start - g.end, g.label) < (-f.priority, f.start - f.end, f.label) for g in all_)
+    return sorted((f for f in all_ if stays(f)), key=lambda f: (f.start, f.end, f.label))
+
+
+def test_each_signature_finds_its_passage():
+    for rows in (BODIES, EXCEPTIONS, NAMES, NOTICES):
+        for label, keyword, pattern, passage in rows:
+            normal = _normal(passage)
+            m = re.search(f" (?:{pattern})(?= )", normal)
+            assert m and any(f" {k} " in m[0] + " " for k in ([keyword] if isinstance(keyword, str) else keyword)), (label, passage)
+            found = detect(_normal(f"Some words before. {passage} And some after."))
+            assert any(f.label == label or f.priority > 1 for f in found), (label, passage, found)
+            assert brute_found(normal) == detect(normal), passage
+    assert len({p for rows in (BODIES, EXCEPTIONS, NAMES, NOTICES) for _, _, p, _ in rows}) > 150
+
+
+def test_license_labels_and_score_like_brute_force(spark):
+    rng = np.random.default_rng(15)
+    passages = [row[3] for rows in (BODIES, EXCEPTIONS, NAMES, NOTICES) for row in rows] + ["GPL-3.0", "SPDX-License-Identifier: MIT", "plain words of a text", "the license of the law", "CC BY-SA 4.0", "MIT License"]
+    texts = [" ".join(rng.choice(passages, int(n))) for n in rng.integers(0, 8, 40)]
+    for r in license_scan(frame(spark, list(enumerate(texts)))).collect():
+        want = brute_found(_normal(texts[r.doc_id]))
+        assert [tuple(f) for f in r.found] == [tuple(f) for f in want], texts[r.doc_id]
+        assert r.labels == sorted(set(r.base_labels) | {f.label for f in want})
+        best = max([0.5 + min(f.priority, 30) / 60 for f in want] + [0.5 if r.base_starts else 0.0])
+        assert r.score == best
+
+
+def test_megabytes_of_notices_take_seconds():
+    text = " ".join(row[3] for rows in (BODIES, NOTICES) for row in rows)
+    text = (text + "\n") * (5_000_000 // len(text))
+    began = time.perf_counter()
+    found = detect(_normal(text))
+    assert time.perf_counter() - began < 20 and len(found) > 50_000
+
+
 def spelled(parsed, most):
     """A text that a pattern matches, with the most or the fewest of what may be left out."""
     out = ""
@@ -135,6 +180,8 @@ def spelled(parsed, most):
                 out += spelled(x[1][0 if most else -1], most)
             case "MAX_REPEAT":
                 out += spelled(x[2], most) * (x[1] if most else x[0])
+            case "NOT_LITERAL":
+                out += "x"
             case _:
                 raise ValueError(op)
     return out
