@@ -11,6 +11,7 @@ import base64
 import json
 import mimetypes
 import os
+import time
 import unicodedata
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -104,12 +105,16 @@ def data_url(path: str | None) -> str | None:
     return f"data:{mimetypes.guess_type(path)[0] or 'application/octet-stream'};base64,{encoded}"
 
 
-def ask(prompts: DataFrame, make_client: Callable[[], Client], batch: int = BATCH) -> DataFrame:
+def ask(prompts: DataFrame, make_client: Callable[[], Client], batch: int = BATCH, tasks: int | None = None, per_second: float | None = None) -> DataFrame:
     """(document_id, chunk_id, response, error) of (document_id, chunk_id, prompt, image_path) rows.
 
     ``make_client`` runs in each task. A failed prompt has an error and an empty
-    response, and does not touch the others.
+    response, and does not touch the others. With ``tasks`` the prompts are dealt evenly
+    over so many, and at most tasks x batch run at a time; ``per_second`` then bounds the
+    rate of all tasks together.
     """
+    if per_second is not None and tasks is None:
+        raise ValueError("a rate needs a number of tasks")
 
     async def one(client: Client, prompt: str, image: str | None) -> tuple[str, str | None]:
         try:
@@ -125,10 +130,14 @@ def ask(prompts: DataFrame, make_client: Callable[[], Client], batch: int = BATC
         for rows in batches:
             for at in range(0, len(rows), max(1, batch)):
                 part = rows.iloc[at : at + max(1, batch)]
+                began = time.monotonic()
                 answers = asyncio.run(all_of(client, part))
+                if per_second is not None:
+                    time.sleep(max(0.0, len(part) * tasks / per_second - (time.monotonic() - began)))
                 yield part[["document_id", "chunk_id"]].assign(response=[a for a, _ in answers], error=[e for _, e in answers])
 
     columns = prompts.select("document_id", "chunk_id", "prompt", "image_path")
+    columns = columns.repartition(tasks) if tasks else columns
     return columns.mapInPandas(run, "document_id string, chunk_id string, response string, error string")
 
 
@@ -150,7 +159,7 @@ def records(answers: DataFrame) -> DataFrame:
 @F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility composition, which SQL does not have."""
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t or ""))
+    return texts.map(lambda t: t if t and t.isascii() else unicodedata.normalize("NFKC", t or ""))
 
 
 def plain(text: Column) -> Column:

@@ -7,6 +7,7 @@ all possible ancestors of every row, and its path is put together inside the row
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,18 +44,25 @@ def _parents(rows: DataFrame) -> DataFrame:
 
 
 def _exact_keys(clashing: DataFrame) -> DataFrame:
-    """(document_id, idx, exact): keys given one by one, for parents where a slug looks like a numbered one."""
-    rows = clashing.groupBy("document_id", "parent_id").agg(F.sort_array(F.collect_list(F.struct("idx", "slug"))).alias("rows"))
-    start = F.array().cast("array<string>")
-
-    def give(keys: Column, row: Column) -> Column:
-        numbered = F.transform(F.sequence(F.lit(1), F.size(keys) + 1), lambda i: F.concat(row["slug"], F.lit("_"), i))
-        free = F.get(F.filter(numbered, lambda k: ~F.array_contains(keys, k)), 0)
-        return F.concat(keys, F.array(F.when(F.array_contains(keys, row["slug"]), free).otherwise(row["slug"])))
-
-    given = rows.withColumn("keys", F.aggregate("rows", start, give))
-    pairs = given.select("document_id", "rows", F.posexplode("keys").alias("nth", "exact"))
-    return pairs.select("document_id", F.get("rows", F.col("nth"))["idx"].alias("idx"), "exact")
+    """(document_id, idx, exact): keys given one by one, for parents where a slug looks like a numbered one.
+
+    What one child takes depends on all before it, which no built-in function says in
+    linear time; such parents are few.
+    """
+
+    def give(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, used, tried, keys = rows.sort_values("idx"), set(), {}, []
+        for slug in rows["slug"]:
+            key = slug
+            while key in used:  # numbers once taken stay taken, so the search goes on from the last one
+                tried[slug] = tried.get(slug, 0) + 1
+                key = f"{slug}_{tried[slug]}"
+            used.add(key)
+            keys.append(key)
+        return rows[["document_id", "idx"]].assign(exact=keys)
+
+    columns = clashing.select("document_id", "parent_id", "idx", "slug")
+    return columns.groupBy("document_id", "parent_id").applyInPandas(give, "document_id string, idx int, exact string")
 
 
 def sibling_keys(rows: DataFrame) -> DataFrame:

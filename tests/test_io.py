@@ -2,6 +2,7 @@
 
 import json
 import sys
+import time
 
 import pytest
 from pyspark import cloudpickle
@@ -159,6 +160,11 @@ def test_images_reach_the_model(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(b"png")
     rows = spark.createDataFrame([("d", "c", "List the technical entities", str(tmp_path / "a.png"))], "document_id string, chunk_id string, prompt string, image_path string")
     assert llm.ask(rows, Fake).first().error is None
+    many = spark.createDataFrame([("d", f"c{i}", "x", None) for i in range(12)], rows.schema)
+    began = time.monotonic()
+    assert llm.ask(many, Fake, batch=2, tasks=2, per_second=12).count() == 12 and time.monotonic() - began > 0.5
+    with pytest.raises(ValueError):
+        llm.ask(many, Fake, per_second=1)
     assert llm.data_url(str(tmp_path / "none.png")) is None
     with pytest.raises(ValueError):
         llm.ChatClient("m")
