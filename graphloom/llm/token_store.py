@@ -20,6 +20,7 @@ from typing import TYPE_CHECKING
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -92,7 +93,13 @@ class Encoder:
         self._cut = re.compile("|".join(map(re.escape, sorted(self._added, key=len, reverse=True))))
 
     def _of_words(self, words: pa.Array) -> Ids:
-        found = [[t.id for t in self._merge(_shown(w))] for w in words.to_pylist()]
+        # Of printable ASCII only the space has another character.
+        shown = pc.replace_substring(words, " ", _AS_CHARACTERS[32]).to_pylist()
+        others = pc.invert(pc.match_substring_regex(words, "^ ?[!-~]+$")).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(others).tolist():
+            shown[i] = words[i].as_py().encode().decode("latin-1").translate(_AS_CHARACTERS)
+        merge = self._merge
+        found = [[t.id for t in merge(w)] for w in shown]
         sizes = np.array(list(map(len, found)), dtype=np.int64)
         return Ids(np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())), sizes)
 
@@ -122,13 +129,6 @@ def _encoder(path: str, pattern: str, added: bool) -> Encoder:
     return Encoder(path, pattern, added)
 
 
-def _shown(word: str) -> str:
-    """A word as the tokenizer's model reads it, one character for each byte."""
-    if word.isascii() and (rest := word[word[0] == " " :]).isalpha():
-        return _AS_CHARACTERS[32] + rest if len(rest) < len(word) else word
-    return word.encode().decode("latin-1").translate(_AS_CHARACTERS)
-
-
 def _encode_shard(path: str, pattern: str, end: int, block: int, kind: str, added: bool, names: list[str]):
     closing = np.array([end], dtype=np.uint32)
 
