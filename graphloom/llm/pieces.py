@@ -56,10 +56,10 @@ def uneven(piece: str) -> bool:
 
 
 class TextEncoder:
-    """Ids of texts, from a function that encodes new distinct words."""
+    """Ids of texts, from a function that encodes new distinct words; with ``lead`` each text gets a space in front."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode_words: Callable[[pa.Array], Ids], kept_bytes: int = KEPT_BYTES):
-        self._split, self._encode_words, self._kept_bytes = split, encode_words, kept_bytes
+    def __init__(self, split: Callable[[str], list[str]], encode_words: Callable[[pa.Array], Ids], kept_bytes: int = KEPT_BYTES, lead: bool = False):
+        self._split, self._encode_words, self._kept_bytes, self._lead = split, encode_words, kept_bytes, " " if lead else ""
         self._forget()
 
     def _forget(self) -> None:
@@ -100,7 +100,7 @@ class TextEncoder:
 
         found = [() if uneven(piece) else self._split(" " + piece) for piece in rest]
         # A text's first part is its own: what stands before the first cut, or all of it.
-        found += [self._split(text if w else text.partition(" ")[0]) for text, w in zip(texts, whole.tolist(), strict=True)]
+        found += [self._split(self._lead + (text if w else text.partition(" ")[0])) for text, w in zip(texts, whole.tolist(), strict=True)]
         counts = np.ones(n + len(texts), dtype=np.int64)
         counts[len(plain) :] = np.fromiter(map(len, found), np.int64, len(found))
         others = pa.array([w for words in found for w in words], pa.large_string())

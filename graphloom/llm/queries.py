@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import bpe_round_trip
-from graphloom.llm.common import shared_dir
+from graphloom.llm.common import shared_dir, written
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.langid import predict as predict_langid
 from graphloom.llm.langid import sample as sample_langid
@@ -18,6 +18,7 @@ from graphloom.llm.license_scan import license_scan
 from graphloom.llm.line_dedup import line_dedup
 from graphloom.llm.quality import quality
 from graphloom.llm.simhash import simhash_groups
+from graphloom.llm.token_align import align, summed
 from graphloom.llm.token_store import token_digests, write_tokens
 from graphloom.llm.toxicity import toxicity
 from graphloom.llm.url_filter import host_of, url_filter
@@ -111,6 +112,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents")).drop("lang", "source")
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers, with each link's count over all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    aligned = align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+    return summed(written(aligned.drop("groups"), "aligned"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_url_filter": op2_url_filter,
@@ -122,6 +130,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
+    "op11_token_align": op11_token_align,
 }
 
 _SPACE = r"[\x20\x09-\x0D]"

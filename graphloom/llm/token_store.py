@@ -76,16 +76,27 @@ _HIDDEN = [i for i in range(256) if i not in _SHOWN]
 _AS_CHARACTERS = {i: chr(256 + _HIDDEN.index(i)) for i in _HIDDEN}
 
 
+def token_bytes(tokenizer: Tokenizer) -> dict[int, bytes]:
+    """The bytes that each token of a byte-level tokenizer stands for."""
+    of = {chr(i): i for i in _SHOWN} | {c: i for i, c in _AS_CHARACTERS.items()}
+    added = tokenizer.get_added_tokens_decoder()
+    plain = {i: bytes(of[c] for c in token) for token, i in tokenizer.get_vocab().items() if i not in added}
+    return plain | {i: t.content.encode() for i, t in added.items()}
+
+
 class Encoder:
-    """Ids of texts by a tokenizer file; with ``added`` its added tokens are cut out first, as the library does by default."""
+    """Ids of texts by a tokenizer file; with ``added`` its added tokens are cut out first, as the library does by default.
+
+    With ``lead`` a text gets a space in front.
+    """
 
-    def __init__(self, path: str, pattern: str, added: bool):
+    def __init__(self, path: str, pattern: str, added: bool, lead: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         self._merge = tokenizer.model.tokenize
-        self._texts = TextEncoder(regex.compile(pattern).findall, self._of_words)
+        self._texts = TextEncoder(regex.compile(pattern).findall, self._of_words, lead=lead)
         self._added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items() if t.content} if added else {}
         for i, t in tokenizer.get_added_tokens_decoder().items() if added else ():
             if t.single_word or t.lstrip or t.rstrip or t.normalized and tokenizer.normalizer:
