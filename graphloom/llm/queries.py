@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import bpe_round_trip
-from graphloom.llm.common import shared_dir, written
+from graphloom.llm.common import TOKEN, shared_dir, words_of, written
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.langid import predict as predict_langid
 from graphloom.llm.langid import sample as sample_langid
 from graphloom.llm.langid import train as train_langid
 from graphloom.llm.license_scan import license_scan
 from graphloom.llm.line_dedup import line_dedup
+from graphloom.llm.periodic_runs import periodic_runs
 from graphloom.llm.quality import quality
 from graphloom.llm.simhash import simhash_groups
 from graphloom.llm.token_align import align, summed
@@ -119,6 +120,30 @@ def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summed(written(aligned.drop("groups"), "aligned"))
 
 
+def _with_cycles(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where a tenth of the rows repeats some of its words to the end: from word a on, the p words there."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, n = F.floor(h / 10), F.size("words")
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    times = F.ceil((n - a) / p).cast("int")
+    cycle = F.slice(F.flatten(F.array_repeat(F.slice("words", a + 1, p), times)), 1, n - a)
+    chosen = docs.withColumn("words", F.when(h % 10 == 0, words_of(F.col("text"), TOKEN)))
+    return chosen.select("doc_id", F.when(n > 0, F.array_join(F.concat(F.slice("words", 1, a), cycle), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in each document, the most often repeated one, and digests of all runs and of the text without repetitions."""
+    out = periodic_runs(_with_cycles(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    more = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.aggregate("runs", none, lambda best, r: F.when(more(best, r), r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    rows = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long")
+    return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_url_filter": op2_url_filter,
@@ -131,6 +156,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
     "op11_token_align": op11_token_align,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
