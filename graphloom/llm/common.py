@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.scratch import shared_dir, written
 
-__all__ = ["SPACES", "TOKEN", "WORD", "ascii_lower", "ascii_words", "bounded_sample", "by_batches", "join_counted", "shared_dir", "words_of", "written"]
+__all__ = ["SPACES", "TOKEN", "WORD", "ascii_lower", "ascii_words", "batch_words", "bounded_sample", "by_batches", "join_counted", "shared_dir", "words_of", "written"]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters, digits and everything beyond ASCII make words; for lower-cased text.
@@ -49,6 +52,15 @@ def words_of(text: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({pattern})"), F.lit(1))
 
 
+def batch_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Inside a task: all words (matches of ``TOKEN``) of some texts, and where each text's words end; null has none."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    flat, cuts = lists.flatten(), lists.offsets.to_numpy()
+    is_word = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    before = np.concatenate(([0], np.cumsum(is_word)))
+    return flat.filter(pa.array(is_word)), before[cuts[1:] - cuts[0]]
+
+
 def by_batches(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` over batches of a few megabytes.
 

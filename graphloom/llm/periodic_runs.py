@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from graphloom.llm.common import by_batches
+from graphloom.llm.common import batch_words, by_batches
 
 LEAST, TIMES = 24, 3
 #: An odd number and what undoes multiplying by it, modulo 2^64.
@@ -154,17 +154,8 @@ def _is_run(codes: np.ndarray, s: int, e: int, q: int, begin: int, end: int) ->
     return not grows and np.array_equal(codes[s : e - q], codes[s + q : e])
 
 
-def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words of some texts, and where each text's words end."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-    flat, cuts = lists.flatten(), lists.offsets.to_numpy()
-    is_word = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    before = np.concatenate(([0], np.cumsum(is_word)))
-    return flat.filter(pa.array(is_word)), before[cuts[1:] - cuts[0]]
-
-
 def _of_batch(doc_ids: pa.Array, texts: pa.Array, least: int, times: int, names: list[str]) -> pa.RecordBatch:
-    flat, ends = _words(texts)
+    flat, ends = batch_words(texts)
     words = Hashed(flat.dictionary_encode().indices.to_numpy().astype(np.int64))
     k = overlap(least, times)
     begins = np.concatenate(([0], ends[:-1]))

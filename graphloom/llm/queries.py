@@ -19,6 +19,7 @@ from graphloom.llm.line_dedup import line_dedup
 from graphloom.llm.periodic_runs import periodic_runs
 from graphloom.llm.quality import quality
 from graphloom.llm.simhash import simhash_groups
+from graphloom.llm.sketch import containment, following, likeness, sketched, spelled
 from graphloom.llm.token_align import align, summed
 from graphloom.llm.token_store import token_digests, write_tokens
 from graphloom.llm.toxicity import toxicity
@@ -120,6 +121,21 @@ def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summed(written(aligned.drop("groups"), "aligned"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of each document and of itself with its last quarter taken from the next one, and how alike they are."""
+    n = F.char_length("text")
+    cut = F.floor(n / 4).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
+    rows = following(_table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("edited", edited)
+    rows = rows.withColumns({"n_chars": n.cast("long"), "edited_sha256": F.sha2("edited", 256)})
+    out = sketched(rows, {"text": "own", "edited": "near", "next_text": "next"})
+    own, near, next_ = F.col("own"), F.col("near"), F.col("next")
+    return out.select(
+        "doc_id", "n_chars", "edited_sha256", spelled(own).alias("fingerprint"), spelled(near).alias("edited_fingerprint"), likeness(own, near).alias("near_edited"),
+        likeness(own, next_).alias("near_next"), containment(own, near).alias("in_edited"), containment(own, next_).alias("in_next"),
+    )
+
+
 def _with_cycles(docs: DataFrame) -> DataFrame:
     """(doc_id, text) where a tenth of the rows repeats some of its words to the end: from word a on, the p words there."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -156,6 +172,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
     "op11_token_align": op11_token_align,
+    "op12_fingerprints": op12_fingerprints,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
