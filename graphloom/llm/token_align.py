@@ -41,6 +41,8 @@ from graphloom.llm.token_store import Encoder, token_bytes
 BLOCK = 16_384
 #: Pairs of ids whose counts are broadcast, at most (24 bytes each).
 HOT = 1_000_000
+#: Characters of text that are encoded together, and bytes of ids that are swept together.
+TEXT_CHARS, SWEPT_BYTES = 1_000_000, 500_000
 _A, _B, _NO_TOKENS = 0, 1, 2
 _LINK = "array<struct<a:int,b:int,n:int>>"
 
@@ -148,7 +150,7 @@ def token_events(docs: DataFrame, a_path: str, pattern: str, b_path: str, block:
         for batch in batches:
             coders = coders or [(c, _lengths(c.bytes), _kind(c.bytes)) for c in _coders(a_path, pattern, b_path)]
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in runs(texts):
+            for lo, hi in runs(texts, TEXT_CHARS):
                 part = texts[lo:hi]
                 found = [c.encode(part) for c, _, _ in coders]
                 bad = _starts(found[_B].flat == coders[_B][0].bad)
@@ -306,10 +308,13 @@ def _sweep(a_path: str, b_path: str, names: list[str], texts: bool):
             if machine is None:
                 tokens = _vocabularies(a_path, b_path)
                 machine, kind = Machine(Sweep(*tokens), [_kind(t) for t in tokens], texts), batch.column(0).type
-            machine.take(batch)
-            if machine.waits():
-                rows, state = machine.swept(state, kind, names)
-                yield rows
+            share = np.cumsum(pc.binary_length(batch.column(4)).to_numpy(zero_copy_only=False)) // SWEPT_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                machine.take(batch.slice(lo, hi - lo))
+                if machine.waits():
+                    rows, state = machine.swept(state, kind, names)
+                    yield rows
         if machine is not None:
             machine.finish()
             yield machine.swept(state, kind, names)[0]
