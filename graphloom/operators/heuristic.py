@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom.functions.text import SPACE, compact_text, normalize_key, stable_id
 from graphloom.operators.metadata import meta, with_fields
@@ -32,6 +31,8 @@ RELATIONS = {
     "interface_standard": "uses_protocol",
     "component": "part_of",
 }
+#: Only texts that one of the patterns finds are read by each.
+_GATE = "|".join(rf"(?:{p})" for p in PATTERNS.values())
 PAIRED = 8  # entities of a chunk that form pairs
 EVIDENCE = 500
 
@@ -40,29 +41,39 @@ def matches(text: Column | str) -> Column:
     """All matches of a text as (entity_type, name), in the order of the types, then of places."""
     text = F.col(text) if isinstance(text, str) else text
     of = lambda kind, pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(kind).alias("entity_type"), compact_text(m).alias("name")))
-    return F.flatten(F.array(*(of(k, p) for k, p in PATTERNS.items())))
+    all_ = F.flatten(F.array(*(of(k, p) for k, p in PATTERNS.items())))
+    return F.when(text.rlike(_GATE), all_).otherwise(F.slice(all_, 1, 0))
 
 
-def evidence_sentence(text: Column | str, name: Column | str) -> Column:
-    """The first sentence that holds a name in any case, else the whole text; compact, 500 characters at most."""
-    text, name = (F.col(x) if isinstance(x, str) else x for x in (text, name))
-    sentences = F.split(text, rf"(?U)(?<=[。.!?]){SPACE}+|\n+", -1)
-    first = F.get(F.filter(sentences, lambda s: F.contains(F.lower(s), F.lower(name))), 0)
-    return F.substring(compact_text(F.coalesce(first, text)), 1, EVIDENCE)
+def _sentences(text: Column) -> Column:
+    return F.split(text, rf"(?U)(?<=[。.!?]){SPACE}+|\n+", -1)
 
 
 def mentions(chunks: DataFrame) -> DataFrame:
-    """The chunks' columns with (text, pos, entity_type, name): distinct entities of each chunk.
+    """The chunks' columns with (text, pos, entity_type, name, evidence): distinct entities of each chunk.
 
-    An entity stands at its first match and is written as its last one.
+    An entity stands at its first match and is written as its last one; its evidence is
+    the first sentence that holds its name in any case, else the whole text, compact and
+    of 500 characters at most. All of it is found inside the chunk's row: matches stand
+    sorted by key and place, so that neighbours tell where a key begins and ends.
     """
     texts = chunks.withColumn("text", compact_text("content")).where("text <> ''")
-    found = texts.select("document_id", "chunk_id", "idx", "piece_idx", F.posexplode(matches("text")).alias("nth", "m"))
-    key = normalize_key(F.concat("m.entity_type", F.lit(":"), "m.name"))
-    groups = found.groupBy("document_id", "idx", "piece_idx", "chunk_id", key.alias("key")).agg(F.min("nth").alias("first"), F.max_by("m", "nth").alias("m"))
-    in_chunk = Window.partitionBy("document_id", "idx", "piece_idx").orderBy("first")
-    placed = groups.select("document_id", "idx", "piece_idx", F.row_number().over(in_chunk).alias("pos"), "m.entity_type", "m.name")
-    return texts.join(placed, ["document_id", "idx", "piece_idx"])
+    found = texts.withColumn("matches", matches("text")).where(F.size("matches") > 0)
+    keyed = F.transform("matches", lambda m, i: F.struct(normalize_key(F.concat(m["entity_type"], F.lit(":"), m["name"])).alias("key"), i.alias("nth"), m.alias("m")))
+    sorted_ = found.withColumn("sorted", F.array_sort(keyed))
+    key_at = lambda i: F.get("sorted", i)["key"]
+    first = F.filter("sorted", lambda m, i: (i == 0) | (key_at(i - 1) != m["key"]))
+    last = F.filter("sorted", lambda m, i: (i == F.size("sorted") - 1) | (key_at(i + 1) != m["key"]))
+    each = F.array_sort(F.zip_with(first, last, lambda a, z: F.struct(a["nth"].alias("first"), z["m"].alias("m"))))
+    lower = F.transform(_sentences(F.col("text")), lambda s: F.struct(F.lower(s).alias("lower"), s.alias("s")))
+    rows = sorted_.withColumns({"entities": each, "sentences": lower}).drop("matches", "sorted")
+
+    def evidence(name: Column) -> Column:
+        stands = F.get(F.filter("sentences", lambda s: F.contains(s["lower"], F.lower(name))), 0)["s"]
+        return F.substring(compact_text(F.coalesce(stands, F.col("text"))), 1, EVIDENCE)
+
+    told = F.transform("entities", lambda e, i: F.struct((i + 1).alias("pos"), e["m"]["entity_type"].alias("entity_type"), e["m"]["name"].alias("name"), evidence(e["m"]["name"]).alias("evidence")))
+    return rows.withColumn("told", told).drop("entities", "sentences").select("*", F.inline("told")).drop("told")
 
 
 def _entity_id() -> Column:
@@ -71,7 +82,7 @@ def _entity_id() -> Column:
 
 def entity_nodes(found: DataFrame) -> DataFrame:
     """One semantic node for each mention."""
-    evidence = evidence_sentence("text", "name")
+    evidence = F.col("evidence")
     return found.select(
         "document_id", F.array(F.lit(1), "idx", "piece_idx", "pos").alias("seq"), _entity_id().alias("id"), "name", "entity_type",
         F.concat("name", F.lit(" mentioned in "), "tree_path").alias("description"), F.lit("semantic").alias("kind"), evidence.alias("evidence_span"),
@@ -83,8 +94,7 @@ def entity_nodes(found: DataFrame) -> DataFrame:
 
 def mention_edges(found: DataFrame) -> DataFrame:
     """contains from the tree node of each mention to its entity."""
-    evidence = evidence_sentence("text", "name")
-    rows = found.select("*", kg_id("node_id").alias("src"), _entity_id().alias("tgt"), evidence.alias("evidence_span"))
+    rows = found.select("*", kg_id("node_id").alias("src"), _entity_id().alias("tgt"), F.col("evidence").alias("evidence_span"))
     return rows.select(
         "document_id", F.array(F.lit(1), "idx", "piece_idx", F.lit(0), "pos").alias("seq"), stable_id("document_id", "src", "tgt", F.lit("contains"), prefix="edge-").alias("id"),
         "src", "tgt", F.lit("contains").alias("relation_type"), F.concat("tree_path", F.lit(" contains mention of "), "name").alias("description"),

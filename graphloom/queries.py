@@ -17,7 +17,7 @@ from graphloom.operators import graph_query as gq
 from graphloom.operators import llm
 from graphloom.operators.blocks import classified, components, is_title, lines_of, title_level
 from graphloom.operators.chunks import chunks
-from graphloom.operators.heuristic import entity_nodes, evidence_sentence, matches, mention_edges, mentions, pair_edges
+from graphloom.operators.heuristic import entity_nodes, matches, mention_edges, mentions, pair_edges
 from graphloom.operators.normalize import cluster_nodes, merge_edges
 from graphloom.operators.structural import structural_edges, structural_nodes
 from graphloom.operators.tree import tree_nodes
@@ -143,7 +143,7 @@ def scalar_functions(spark, sf_dir):
 def entity_mentions(spark, sf_dir):
     """Distinct entities of each chunk, in order."""
     rows = mentions(chunks(_tree(spark, sf_dir)))
-    return rows.select("document_id", "chunk_id", "pos", "entity_type", "name", evidence_sentence("text", "name").alias("evidence"))
+    return rows.select("document_id", "chunk_id", "pos", "entity_type", "name", "evidence")
 
 
 def component_words(spark, sf_dir):

@@ -4,10 +4,45 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
+
+class Owned:
+    """The paths that a piece of work took in the shared folder, by label."""
+
+    def __init__(self) -> None:
+        self._paths: list[tuple[str, str]] = []
+
+    def add(self, label: str, path: str) -> None:
+        self._paths.append((label, path))
+
+    def clear(self, spark: SparkSession, but: str | None = None) -> None:
+        """Removes what was written, but for one label. Frames that read it can't be computed any more."""
+        gone = [path for label, path in self._paths if label != but]
+        self._paths = [x for x in self._paths if x[0] == but]
+        for path in gone:
+            remove(spark, path)
+
+
+_owners: ContextVar[tuple[Owned, ...]] = ContextVar("owners", default=())
+
+
+@contextmanager
+def owned() -> Iterator[Owned]:
+    """Collects what is written inside the block, in this thread alone; whoever opened the block may clear it.
+
+    Blocks nest: an outer one owns what the inner ones do.
+    """
+    tables = Owned()
+    token = _owners.set((*_owners.get(), tables))
+    try:
+        yield tables
+    finally:
+        _owners.reset(token)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,17 +63,23 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def place(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for tables in _owners.get():
+        tables.add(label, path)
+    return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
     """Writes a table into the shared folder and returns it as read from there.
 
     This cuts the lineage: a lost executor costs no recomputation of what stands
-    before. ``clear`` removes the tables once results are stored.
+    before. A block of ``owned`` around it can remove the table once results are stored.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, label)
     df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _at(spark: SparkSession, path: str):
@@ -65,25 +106,21 @@ def put(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+def claim(spark: SparkSession, path: str) -> bool:
+    """Creates an empty file; False if there is one, so that of several writers one alone gets True."""
+    at, files = _at(spark, path)
+    files.mkdirs(at.getParent())
+    return files.createNewFile(at)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What stands in a folder; nothing if there is none."""
+    at, files = _at(spark, path)
+    return [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
+
+
 def copy(spark: SparkSession, source: str, target: str) -> None:
     """Copies one file without reading it into Python."""
     (a, from_), (b, to) = _at(spark, source), _at(spark, target)
     to.mkdirs(b.getParent())
     spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(from_, a, to, b, False, spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def marker() -> int:
-    """How many tables were written so far; see ``clear``."""
-    return len(_written)
-
-
-def clear(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Removes the intermediate tables written after a marker, but for the last ``keep``.
-
-    Frames that read them can't be computed any more, so this is for after their
-    results are stored.
-    """
-    gone = _written[since : len(_written) - keep]
-    del _written[since : len(_written) - keep]
-    for path in gone:
-        remove(spark, path)

@@ -8,9 +8,11 @@ from graphloom.operators.blocks import components, resolve_path, title_level
 from graphloom.operators.chunks import chunks
 from graphloom.operators.normalize import cluster_nodes, merge_edges
 from graphloom.operators.structural import structural_edges, structural_nodes
-from graphloom.operators.tree import tree_nodes
+from graphloom.operators.heuristic import mentions
+from graphloom.operators.tree import sibling_keys, tree_nodes
 from graphloom.operators.validate import graph_stats, judge_edges, judge_nodes
 from graphloom.plans.build import build
+from graphloom.scratch import written
 
 DOCUMENT = "document_id string, document_name string, source_path string, content string"
 GOLDEN = """# LPDDR5X Note
@@ -158,3 +160,69 @@ def test_structural_graph(spark):
     assert structural_nodes(tree).count() == 5
     kinds = structural_edges(tree).groupBy("relation_type").count().collect()
     assert {r.relation_type: r["count"] for r in kinds} == {"parent_of": 4, "contains": 4, "next_sibling": 1}
+
+
+def plain_keys(slugs):
+    used, keys = set(), []
+    for slug in slugs:
+        key, n = slug, 0
+        while key in used:
+            n += 1
+            key = f"{slug}_{n}"
+        used.add(key)
+        keys.append(key)
+    return keys
+
+
+def test_sibling_keys_like_one_by_one(spark):
+    import random
+
+    random.seed(4)
+    kinds = ["a", "a_1", "a_2", "a_3", "a_1_1", "a_1_2", "a_2_1", "a_1_1_1", "b", "b_01", "b_0", "b_1", "_1", "c_99999999999999999999"]
+    lists = [["a", "a_1", "a", "a"], ["a_1", "a", "a", "a"], ["a", "a", "a_1", "a_1", "a_1_1"], ["a_1_1", "a_1", "a", "a", "a_1"], []]
+    lists += [[random.choice(kinds) for _ in range(random.randint(1, 30))] for _ in range(150)] + [["x"] * 20_000 + ["x_3", "y"] + ["x"] * 50]
+    rows = [(f"d{i % 7}", f"p{i}", 10_000 * i + j if i < len(lists) - 1 else 10**7 + j, s) for i, slugs in enumerate(lists) for j, s in enumerate(slugs)]
+    frame = written(spark.createDataFrame(rows, "document_id string, parent_id string, idx int, slug string"), "slugs")
+    got = {}
+    for r in sibling_keys(frame).orderBy("idx").collect():
+        got.setdefault(int(r.parent_id[1:]), []).append(r.key)
+    assert got == {i: plain_keys(s) for i, s in enumerate(lists[:-1]) if s} | {len(lists) - 1: [*(["x"] + [f"x_{k}" for k in range(1, 20_000)]), "x_3_1", "y", *(f"x_{k}" for k in range(20_000, 20_050))]}
+
+
+def test_a_document_is_parsed_once_and_without_python(spark, tmp_path):
+    docs(spark, *[GOLDEN, "# x\n# x_1\n# x\ntext of the die"] * 3).write.parquet(str(tmp_path / "docs"))
+    documents = spark.read.parquet(str(tmp_path / "docs"))
+    tree = tree_nodes(documents, components(documents))
+    for rows in (tree, mentions(chunks(tree))):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+        assert plan.count(str(tmp_path)) <= 1  # the root rows; lines come from what was written
+
+
+def test_only_the_owner_removes_tables(spark):
+    import threading
+
+    from graphloom.scratch import owned
+
+    kept = []
+
+    def other():
+        with owned() as mine:
+            kept.append((written(spark.range(5), "other"), mine))
+
+    with owned() as tables:
+        first = written(spark.range(3), "first")
+        with owned() as inner:
+            second = written(spark.range(4), "second")
+            third = written(spark.range(6), "third")
+        thread = threading.Thread(target=other)
+        thread.start()
+        thread.join()
+    inner.clear(spark, but="third")
+    assert third.count() == 6 and first.count() == 3 and kept[0][0].count() == 5
+    for frame, owner in ((second, None), (first, tables), (third, None)):
+        if owner:
+            owner.clear(spark)
+        with pytest.raises(Exception, match="(?i)exist"):
+            frame.count()
+    assert kept[0][0].count() == 5
