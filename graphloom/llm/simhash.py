@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.common import by_batches, join_counted, written
-from graphloom.scratch import clear, marker
+from graphloom.scratch import owned
 
 SHINGLE = 4
 RADIUS = 4
@@ -236,26 +236,29 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each linked node reaches.
 
     Each round takes the smallest label among a node's neighbours, then the label's
-    own label. Rounds are written to the shared folder, the one before is removed, and
-    they end when none changes. Nodes with many neighbours, and labels that many nodes
+    own label. Rounds are written to the shared folder, the one before is removed (and
+    nothing that others wrote), and they end when none changes. Nodes with many neighbours, and labels that many nodes
     have, are broadcast: they are a thousand at most.
     """
-    spark = links.sparkSession
+    spark, before = links.sparkSession, None
     both = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     both = written(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
     degrees = both.groupBy("src").agg(F.min("dst").alias("low"), F.count(F.lit(1)).alias("n"))
     labels = written(degrees.select(F.col("src").alias("node"), F.least("src", "low").alias("label"), "n"), "labels")
     while True:
-        start = marker()
-        seen = join_counted(both, labels.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.min("label").alias("low"))
-        lower = labels.join(seen, F.col("node") == F.col("src")).select("node", F.col("label").alias("was"), F.least("label", "low").alias("label"), "n")
-        lower = written(lower, "lower")
-        roots = lower.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-        roots = written(roots.join(lower.select(F.col("node").alias("label"), F.col("label").alias("up")), "label"), "roots")
-        jumped = join_counted(lower.withColumnRenamed("n", "degree"), roots, "label").withColumnRenamed("degree", "n")
-        nexts = written(jumped.select("node", "was", F.least("label", "up").alias("label"), "n"), "labels")
+        with owned() as tables:
+            seen = join_counted(both, labels.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.min("label").alias("low"))
+            lower = labels.join(seen, F.col("node") == F.col("src")).select("node", F.col("label").alias("was"), F.least("label", "low").alias("label"), "n")
+            lower = written(lower, "lower")
+            roots = lower.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+            roots = written(roots.join(lower.select(F.col("node").alias("label"), F.col("label").alias("up")), "label"), "roots")
+            jumped = join_counted(lower.withColumnRenamed("n", "degree"), roots, "label").withColumnRenamed("degree", "n")
+            nexts = written(jumped.select("node", "was", F.least("label", "up").alias("label"), "n"), "labels")
         labels = nexts.select("node", "label", "n")
-        clear(spark, start, keep=1)
+        tables.clear(spark, but="labels")
+        if before is not None:
+            before.clear(spark)
+        before = tables
         if nexts.where(F.col("was") != F.col("label")).isEmpty():
             return labels.drop("n")
 
