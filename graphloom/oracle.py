@@ -314,6 +314,10 @@ def statements(content: str, answer: str, types: list[str], relations: list[str]
         "store_round_trip": chain
         + f"""SELECT c.document_id, node_count AS stored_node_count, CASE WHEN regexp_matches(document_name, '[036]$') THEN 0 ELSE edge_count END AS stored_edge_count
             FROM ({counts}) c JOIN docs USING (document_id) WHERE NOT ends_with(document_name, '0')""",
+        "compacted_store": chain
+        + f"""SELECT c.document_id, node_count AS stored_node_count, CASE WHEN regexp_matches(document_name, '[036]$') THEN 0 ELSE edge_count END AS stored_edge_count
+            FROM ({counts}) c JOIN docs USING (document_id) WHERE NOT regexp_matches(document_name, '[012]$')""",
+        "streamed_store": chain + "SELECT document_id, id, 'node' AS item FROM nodes UNION ALL SELECT document_id, id, 'edge' FROM edges",
         "export_round_trip": chain + "SELECT document_id, id, 'nodes' AS item, reasons FROM judged_nodes UNION ALL SELECT document_id, id, 'edges', reasons FROM judged_edges",
         "llm_contains": f"""
             WITH e AS (

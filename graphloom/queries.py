@@ -7,8 +7,6 @@ repeated sections, tables with captions, images with notes and captions.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +21,11 @@ from graphloom.operators.structural import structural_edges, structural_nodes
 from graphloom.operators.tree import tree_nodes
 from graphloom.plans.build import Graph, build
 from graphloom.oracle import statements
-from graphloom.plans.store import clear, entity_table, export_json, persist, relation_table, stored_stats
-from graphloom.scratch import shared_dir, written
+from graphloom.plans.store import Log, clear, compact, entity_table, export_json, persist, relation_table, stored, stored_stats
+from graphloom.scratch import place, written
 from graphloom.sources.documents import from_table
 from graphloom.sources.graphs import graph_table, read_graphs
+from graphloom.streaming.ingest import store_batch
 
 #: The Markdown of a part, as SQL that Spark and DuckDB read alike; {n} is a line feed.
 _CONTENT = """
@@ -292,7 +291,7 @@ def ontology_types(spark, sf_dir):
 
 def store_round_trip(spark, sf_dir):
     """Rows of a store after the corpus was written twice, in between a third of it without its edges and a tenth not at all."""
-    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    path = place(spark, "store")
     g = _judged(spark, sf_dir)
     persist(g, path)
     third, tenth = F.col("document_name").rlike("[036]$"), F.col("document_name").endswith("0")
@@ -302,9 +301,48 @@ def store_round_trip(spark, sf_dir):
     return stored_stats(spark, path)
 
 
+def _chosen(g: Graph, keep: Column) -> Graph:
+    """A graph's rows of some documents."""
+    some = g.documents.where(keep)
+    ids = some.select("document_id")
+    return g._replace(documents=some, nodes=g.nodes.join(ids, "document_id", "left_semi"), edges=g.edges.join(ids, "document_id", "left_semi"))
+
+
+def compacted_store(spark, sf_dir):
+    """Rows of a store with two writers at a time, a clear and two compactions: the first while a writer is at work."""
+    path = place(spark, "store")
+    g = _judged(spark, sf_dir)
+    third, tenth = F.col("document_name").rlike("[036]$"), F.col("document_name").endswith("0")
+    persist(g, path)
+    log = Log(spark, path)
+    slow = 2 * log.claim()  # a writer that ends late, but came before the next one
+    persist(_chosen(g, third)._replace(edges=g.edges.limit(0)), path)
+    clear(g.documents.where(tenth), path)
+    compact(spark, path)
+    late = _chosen(g, F.col("document_name").rlike("[12]$"))
+    for table, rows in {"entity": entity_table(late.valid("nodes")).limit(0), "relation": stored(spark, path, "relation").limit(0), "document": late.documents.select("document_id", F.lit("x").alias("content_sha256"))}.items():
+        rows.write.parquet(f"{path}/{table}/batch={slow}")
+    log.done(slow, {})
+    compact(spark, path)
+    return stored_stats(spark, path)
+
+
+def streamed_store(spark, sf_dir):
+    """Rows of a store fed by three micro-batches: one of them comes twice, and the last brings changed and unchanged files again."""
+    path = place(spark, "store")
+    documents = written(corpus(spark, sf_dir), "corpus")
+    last = lambda digits: documents.where(F.col("document_name").rlike(f"[{digits}]$"))
+    old = last("56").withColumn("content", F.concat(F.lit("# Old\n\nSRAM in an old text of "), "document_name"))
+    store_batch(last("01234"), 0, path, "corpus")
+    store_batch(old, 1, path, "corpus")
+    store_batch(last("01234").withColumn("content", F.lit("# Wrong")), 1, path, "corpus")  # a replay, skipped whatever it brings
+    store_batch(last("3456789"), 2, path, "corpus")
+    return stored(spark, path, "entity").select("document_id", "id", F.lit("node").alias("item")).unionByName(stored(spark, path, "relation").select("document_id", "id", F.lit("edge").alias("item")))
+
+
 def export_round_trip(spark, sf_dir):
     """Nodes and edges of graphs that were exported as JSON and read again."""
-    path = f"{shared_dir(spark)}/exports-{uuid.uuid4().hex}"
+    path = place(spark, "exports")
     export_json(_judged(spark, sf_dir), path)
     graphs = read_graphs(spark, path, lines=True)
     rows = lambda table: graph_table(graphs, table).select("document_id", "id", F.lit(table).alias("item"), F.array_join("review_reasons", ",").alias("reasons"))
@@ -369,7 +407,7 @@ QUERIES = {
         title_levels, title_lines, line_blocks, document_components, table_blocks, image_captions, tree_paths, node_chunks, chunk_windows, chunk_paragraphs,
         scalar_functions, entity_mentions, component_words, cooccurrence_edges, structural_graph_nodes, structural_graph_edges, merged_nodes, merged_edges,
         validated_nodes, validated_edges, graph_counts, stored_graph, visible_subgraph, review_subgraph, node_search, node_neighborhood, type_inventory,
-        viewer_elements, viewer_edges, edge_neighborhood, document_types, active_graph, ontology_types, store_round_trip, export_round_trip,
+        viewer_elements, viewer_edges, edge_neighborhood, document_types, active_graph, ontology_types, store_round_trip, compacted_store, streamed_store, export_round_trip,
         llm_records, llm_entities, llm_contains, llm_relations, entity_counts,
     )
 }

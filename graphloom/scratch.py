@@ -113,10 +113,20 @@ def claim(spark: SparkSession, path: str) -> bool:
     return files.createNewFile(at)
 
 
-def names(spark: SparkSession, path: str) -> list[str]:
-    """What stands in a folder; nothing if there is none."""
+def entries(spark: SparkSession, path: str) -> dict[str, float]:
+    """What stands in a folder, with the times of last change in seconds; nothing if there is none."""
     at, files = _at(spark, path)
-    return [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
+    return {x.getPath().getName(): x.getModificationTime() / 1000 for x in files.listStatus(at)} if files.exists(at) else {}
+
+
+def text_of(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    at, files = _at(spark, path)
+    stream = files.open(at)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
 
 
 def copy(spark: SparkSession, source: str, target: str) -> None:

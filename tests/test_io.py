@@ -14,16 +14,22 @@ from graphloom.operators.metadata import meta
 from graphloom.plans.build import build
 from graphloom.plans.run import build_with_model, config_of, run
 from graphloom.plans.publish import publish
-from graphloom.plans.store import clear, export_files, export_json, persist, stored, stored_stats
+from graphloom.plans.store import Log, clear, compact, export_files, export_json, persist, stored, stored_stats
+from graphloom.scratch import entries
 from graphloom.sources.config import BuildConfig, config_from
 from graphloom.sources.documents import load_documents, read_manifest, read_markdown, read_markdown_folder
 from graphloom.sources.graphs import discover_exports, graph_table, index_entries, local_graph_path, read_graphs
 from graphloom.streaming.ingest import document_stream, ingest
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks cannot import this module
+DOCUMENT = "document_id string, document_name string, source_path string, content string"
 TEXT = "# Chip\nLPDDR5X supports 8533 MT/s.\n\n## Die\nThe die uses ECC and silicon.\n"
 
 
+def markdown(spark, *texts):
+    return spark.createDataFrame([(f"doc-{i}", f"d{i}", f"/data/d{i}.md", t) for i, t in enumerate(texts)], DOCUMENT)
+
+
 def test_configs():
     full = config_from({"input": "a.md", "tree": {"split_text_nodes": True}, "extraction": {"extractor": "llm", "batch_size": "8"}, "llm": {"model": "m", "temperature": "0.5"}})
     assert full == BuildConfig("a.md", split_text_nodes=True, extractor="llm", llm_batch_size=8, llm_model="m", llm_temperature=0.5)
@@ -178,3 +184,44 @@ def test_stream_of_files(spark, tmp_path):
     query.awaitTermination(120)
     assert stored_stats(spark, str(tmp_path / "store")).first().stored_node_count > 5
     assert spark.range(1).select(meta().alias("m")).first().m.mentions is None
+
+
+def test_writers_at_a_time_and_compaction(spark, tmp_path):
+    import threading
+
+    path = str(tmp_path / "store")
+    g = build(markdown(spark, *[TEXT] * 4))
+    some = lambda *names: g._replace(documents=g.documents.where(F.col("document_name").isin(*names)), **{t: getattr(g, t).join(g.documents.where(F.col("document_name").isin(*names)).select("document_id"), "document_id", "left_semi") for t in ("nodes", "edges")})
+    persist(g, path)
+    threads = [threading.Thread(target=persist, args=(some(n), path)) for n in ("d0", "d1", "d2")]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    log = Log(spark, path)
+    assert log.batches() == [0, 2, 4, 6]
+    before = sorted(map(tuple, stored(spark, path, "entity").collect()))
+    assert log.claim() == 4  # never done
+    clear(g.documents.where("document_name = 'd3'"), path)
+    assert compact(spark, path) == 4 and log.batches() == [7, 10]
+    assert compact(spark, path, patience=0) == 2 and log.batches() == [11]
+    assert not [n for n in entries(spark, f"{path}/entity") if n != "batch=11"]
+    ids = {r.document_id for r in stored(spark, path, "document").collect()}
+    assert sorted(map(tuple, stored(spark, path, "entity").collect())) == [r for r in before if r[0] in ids] and len(ids) == 3
+    assert compact(spark, path) == 0
+    assert compact(spark, str(tmp_path / "none")) == 0 and stored(spark, str(tmp_path / "none"), "entity").count() == 0
+
+
+def test_a_stream_is_stored_once_and_only_changes_are_built(spark, tmp_path, monkeypatch):
+    from graphloom.streaming import ingest as module
+
+    path, built = str(tmp_path / "store"), []
+    monkeypatch.setattr(module, "build", lambda rows: built.append(sorted(r.document_name for r in rows.collect())) or build(rows))
+    batch = markdown(spark, TEXT, TEXT + "more DRAM\n", "# Other\n")
+    assert module.store_batch(batch, 0, path, "s") and not module.store_batch(batch.withColumn("content", F.lit("x")), 0, path, "s")
+    changed = batch.withColumn("content", F.when(F.col("document_name") == "d1", "# Changed\nSRAM\n").otherwise(F.col("content")))
+    assert module.store_batch(changed, 1, path, "s") and module.store_batch(batch.limit(0), 2, path, "s") and module.store_batch(batch.limit(1), 0, path, "other")
+    assert built == [["d0", "d1", "d2"], ["d1"], [], []]
+    compact(spark, path)
+    assert Log(spark, path).streams() == {"s": 2, "other": 0} and not module.store_batch(batch, 2, path, "s")
+    assert stored(spark, path, "entity").where("name = 'SRAM'").count() == 1 and stored(spark, path, "entity").where("name = 'DRAM'").count() == 0
