@@ -11,6 +11,7 @@ templates here. Time goes with the length of a text and the number of its places
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections.abc import Iterator
@@ -102,10 +103,30 @@ def rules() -> list[Rule]:
     return sorted(out, key=lambda r: (-r.priority, r.label, r.pattern))
 
 
+class Pattern:
+    """A rule's regex; its parts around ``…`` are found apart and paired by place, so that any words may stand between."""
+
+    def __init__(self, pattern: str):
+        self._parts = [re.compile(rf" (?:{x.strip()})(?= )" if "|" in x else rf" {x.strip()}(?= )") for x in pattern.split("…")]
+
+    def spans(self, text: str) -> Iterator[tuple[int, int]]:
+        """(start, end) of every place. The head of a pair is the last one before a tail, and pairs with its first tail."""
+        first, *others = ([m.span() for m in p.finditer(text)] for p in self._parts)
+        for tails in others:
+            ends, paired, used = [e for _, e in first], [], -1
+            for start, end in tails:
+                at = bisect.bisect_right(ends, start) - 1
+                if at > used:
+                    paired.append((first[at][0], end))
+                    used = at
+            first = paired
+        yield from first
+
+
 @functools.cache
-def _compiled() -> tuple[ahocorasick.Automaton, list[tuple[Rule, re.Pattern]]]:
+def _compiled() -> tuple[ahocorasick.Automaton, list[tuple[Rule, Pattern]]]:
     """The keyword automaton, which gives the numbers of the rules a keyword opens."""
-    numbered = [(r, re.compile(rf" (?:{r.pattern})(?= )" if "|" in r.pattern else rf" {r.pattern}(?= )")) for r in rules()]
+    numbered = [(r, Pattern(r.pattern)) for r in rules()]
     opens: dict[str, list[int]] = {}
     for i, (r, _) in enumerate(numbered):
         for word in r.keywords:
@@ -150,7 +171,7 @@ def detect(normal: str) -> list[Found]:
     """What the rules find in a normalised text."""
     automaton, numbered = _compiled()
     which = {i for _, hit in automaton.iter(normal) for i in hit}
-    spans = [(numbered[i][0], m.start(), m.end()) for i in sorted(which) for m in numbered[i][1].finditer(normal)]
+    spans = [(numbered[i][0], *span) for i in sorted(which) for span in numbered[i][1].spans(normal)]
     if not spans:
         return []
     spaces = np.flatnonzero(np.frombuffer(normal.encode("utf-32-le"), dtype="<u4") == 32)
