@@ -20,8 +20,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: ASCII white space splits words; everything else belongs to one.
 TOKEN = r"[^\x20\x09-\x0D]+"
-#: Labels that a model is fitted to at most: what a label needs is broadcast.
-MAX_LABELS = 400
+#: Up to so many labels, what is known of each is broadcast; of more it meets the rows by a shuffle.
+FEW_LABELS = 400
 #: A key with more than one in so many rows is hot.
 HOT_SHARE = 1000
 #: Of texts that a Python worker gets at once.
@@ -87,24 +87,23 @@ def join_counted(many: DataFrame, counted: DataFrame, key: str, share: int = HOT
     return many.join(hot, key).unionByName(rest.join(cold, key))
 
 
-def bounded_sample(docs: DataFrame, rows: DataFrame, label: str, most: int, labels: int = MAX_LABELS) -> DataFrame:
+def bounded_sample(docs: DataFrame, rows: DataFrame, label: str, most: int, few: int = FEW_LABELS) -> DataFrame:
     """(label, text) of at most ``most`` documents of each label among ``rows`` (doc_id, label), for fitting a model.
 
     The documents with the smallest hashes of their ids are taken; of rows that share an
     id, one text. Hashes are spread evenly, so all rows but about twice as many as needed
     are left out by their hash first, and what is gathered for a label is a bounded
-    array of hashes. Ids and counts by label are broadcast: most rows for each of
-    ``labels`` labels at most, over which this raises an error.
+    array of hashes. There may be any number of labels: up to ``few`` of them, counts and
+    ids are broadcast, beyond that only those of labels with many rows are.
     """
     place = F.xxhash64("doc_id")
-    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(labels + 1).toArrow()
-    if sizes.num_rows > labels:
-        raise ValueError(f"more than {labels} values of {label}")
-    sizes = docs.sparkSession.createDataFrame(sizes)
+    sizes = written(rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.col("n")), "sizes")
+    spread = F.broadcast if sizes.count() <= few else lambda frame: frame
     share = (F.shiftrightunsigned(place, 1).cast("double")) / float(1 << 63)
-    near = rows.join(F.broadcast(sizes), label).where(share * F.col("n") <= float(2 * most + 100)).select("doc_id", label, share.alias("place"))
+    sized = join_counted(rows, sizes, label)
+    near = sized.where(share * F.col("size") <= float(2 * most + 100)).select("doc_id", label, share.alias("place"))
     near = written(near.distinct(), "near")
     last = near.groupBy(label).agg(F.get(F.sort_array(F.collect_list("place")), most - 1).alias("last"))
-    ids = near.join(F.broadcast(last), label).where(F.col("last").isNull() | (F.col("place") <= F.col("last"))).select("doc_id", label)
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    ids = near.join(spread(last), label).where(F.col("last").isNull() | (F.col("place") <= F.col("last"))).select("doc_id", label)
+    found = docs.select("doc_id", "text").join(spread(ids), "doc_id")
     return found.groupBy("doc_id", label).agg(F.min_by("text", F.xxhash64("text")).alias("text")).select(label, "text")

@@ -1,11 +1,14 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training takes at most ``per_label`` rows of each of at most ``MAX_LABELS`` languages
-(the smallest by a hash of their id) with their whole texts. Tasks count hashed 1- to 3-grams, Spark sums the
+Training takes at most ``per_label`` rows of each language (the smallest by a hash of
+their id) with their whole texts. Tasks count hashed 1- to 3-grams, Spark sums the
 counts, and the log-probability matrix, one row for each bucket and one column for each
-language, is broadcast: buckets x languages floats, whatever the corpus. Scoring is
-numpy over batches of texts: all n-grams of a batch are hashed at once, their matrix
-rows are gathered and summed for each text.
+language, is broadcast in blocks of at most ``BLOCK`` languages: 64 MB each, whatever the
+corpus and the number of languages. Scoring is numpy over batches of texts: all n-grams
+of a batch are hashed at once, their matrix rows are gathered and summed for each text.
+With more than one block the documents pass them one after another, each with the best
+language so far and the sum of all likelihoods, and are written between the passes, so
+that a task and the driver hold one block at a time.
 """
 
 from __future__ import annotations
@@ -20,23 +23,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import bounded_sample, by_batches
+from graphloom.llm.common import bounded_sample, by_batches, written
 
 BUCKETS = 1 << 16
 GRAMS = (1, 2, 3)
 #: Rows of each language that are learned from, at most.
 PER_LABEL = 1500
+#: Languages whose matrix columns are broadcast together.
+BLOCK = 128
 UNKNOWN = "und"
 _CELLS = 1 << 20  # of gathered matrix rows at a time
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
 class Model(NamedTuple):
+    """The matrix of some languages."""
+
     labels: list[str]
     log_prob: np.ndarray  # bucket x label
     prior: np.ndarray
 
 
+class Counts:
+    """Counts of all languages by bucket, as a stored table, and the matrix of each block of languages."""
+
+    def __init__(self, table: DataFrame, labels: list[str], smoothing: float, block: int):
+        self._table, self._smoothing = table, smoothing
+        self._blocks = [labels[i : i + block] for i in range(0, len(labels), block)]
+
+    def models(self) -> Iterator[Model]:
+        """The blocks in order of their labels, each made when it is asked for."""
+        for labels in self._blocks:
+            rows = self._table.where(F.col("lang").between(labels[0], labels[-1])).toArrow()  # buckets x block rows at most
+            counts = np.full((BUCKETS, len(labels)), self._smoothing)
+            at = {x: i for i, x in enumerate(labels)}
+            counts[rows["bucket"].to_numpy(), [at[x] for x in rows["lang"].to_pylist()]] += rows["n"].to_numpy()
+            yield Model(labels, np.log(counts / counts.sum(axis=0)), np.zeros(len(labels)))
+
+
 @functools.cache
 def _letters() -> np.ndarray:
     """Whether each code point is a letter."""
@@ -71,30 +95,29 @@ def sample(docs: DataFrame, learn: Column, per_label: int = PER_LABEL) -> DataFr
     return bounded_sample(docs, rows, "lang", per_label)
 
 
-def train(rows: DataFrame, smoothing: float = 0.5) -> Model | None:
-    """The model of (lang, text) rows; None if there is no labelled text."""
+def train(rows: DataFrame, smoothing: float = 0.5, block: int = BLOCK) -> Counts | None:
+    """What (lang, text) rows tell of each language; None if there is no labelled text."""
+
+    def table(counts: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, at in counts.items():
+            used = np.flatnonzero(at)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(at[used])], names=["lang", "bucket", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if lang not in counts and len(counts) == BLOCK:
+                    yield from table(counts)
+                    counts.clear()
                 at = counts.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
                 for grams in _buckets(_points(f" {text or ''} ")):
                     at += np.bincount(grams, minlength=BUCKETS)
-        for lang, at in counts.items():
-            used = np.flatnonzero(at)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(at[used])], names=["lang", "bucket", "n"])
+        yield from table(counts)
 
-    counted = by_batches(rows, count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = counted.toArrow()  # at most buckets x languages rows: the model itself
-    labels = sorted(set(table["lang"].to_pylist()))
-    if not labels:
-        return None
-    counts = np.zeros((BUCKETS, len(labels)))
-    at = {x: i for i, x in enumerate(labels)}
-    counts[table["bucket"].to_numpy(), [at[x] for x in table["lang"].to_pylist()]] = table["n"].to_numpy()
-    counts += smoothing
-    return Model(labels, np.log(counts / counts.sum(axis=0)), np.zeros(len(labels)))
+    counted = written(by_batches(rows, count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "grams")
+    labels = [r["lang"] for r in counted.select("lang").distinct().orderBy("lang").collect()]  # names alone
+    return Counts(counted, labels, smoothing, block) if labels else None
 
 
 def _step(model: Model) -> int:
@@ -127,7 +150,7 @@ def _scored(model: Model, texts: list[str]) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+def predict(docs: DataFrame, model: Counts | None) -> DataFrame:
     """All columns with ``lang_pred`` and ``score``.
 
     ``score`` is the posterior of the predicted label, from 0 to 1. A null text or one
@@ -137,39 +160,46 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     the same. Of labels with equal posteriors the first in order is taken. An empty
     table gives an empty result.
     """
-    whole = docs.drop("lang_pred", "score")
-    place = whole.columns.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    whole = docs.drop("lang_pred", "score", "_best", "_all")
+    passed = whole.withColumns({"lang_pred": F.lit(UNKNOWN), "_best": F.lit(None).cast("double"), "_all": F.lit(None).cast("double")})
+    for i, block in enumerate(model.models() if model else ()):
+        passed = _passed(written(passed, "passed") if i else passed, block)
+    score = F.coalesce(F.exp(F.col("_best") - F.col("_all")), F.lit(0.0))
+    return passed.select(*whole.columns, "lang_pred", score.alias("score"))
+
+
+def _passed(rows: DataFrame, model: Model) -> DataFrame:
+    """The rows with their best label so far, its log-likelihood, and the logarithm of the sum of all likelihoods."""
+    place, n = rows.columns.index("text"), len(rows.columns) - 3
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            texts = b.column(place).to_pylist()
-            labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            for i, best, p in _posteriors(model, texts) if model else ():
-                labels[i], scores[i] = model.labels[best], p
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            labels, best, all_ = (b.column(n + k).to_pylist() for k in range(3))
+            for i, row in _likelihoods(model, b.column(place).to_pylist()):
+                top = int(row.argmax())
+                sum_ = float(row[top] + np.log(np.exp(row - row[top]).sum()))
+                if best[i] is None or row[top] > best[i]:
+                    labels[i], best[i] = model.labels[top], float(row[top])
+                all_[i] = sum_ if all_[i] is None else float(np.logaddexp(all_[i], sum_))
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(labels, pa.string()), pa.array(best, pa.float64()), pa.array(all_, pa.float64())], names=b.schema.names)
 
-    schema = T.StructType([*whole.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return by_batches(whole, run, schema)
+    return by_batches(rows, run, rows.schema)
 
 
-def _posteriors(model: Model, texts: list[str | None]) -> Iterator[tuple[int, int, float]]:
-    """(index, label, posterior) of the texts that have a letter."""
+def _likelihoods(model: Model, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+    """(index, log-likelihoods) of the texts that have a letter."""
     held, size, step = [], 0, _step(model)
 
-    def flush() -> Iterator[tuple[int, int, float]]:
-        for i, row in zip(held, _scored(model, [texts[i] for i in held]) + model.prior, strict=True):
-            e = np.exp(row - row.max())
-            yield i, int(row.argmax()), float(e.max() / e.sum())
+    def flush() -> Iterator[tuple[int, np.ndarray]]:
+        yield from zip(held, _scored(model, [texts[i] for i in held]) + model.prior, strict=True)
 
     for i, t in enumerate(texts):
         if not has_letter(t):
             continue
         if len(t) >= step:
-            row = _log_likelihood(model, t) + model.prior
-            e = np.exp(row - row.max())
-            yield i, int(row.argmax()), float(e.max() / e.sum())
+            yield i, _log_likelihood(model, t) + model.prior
             continue
         held.append(i)
         size += len(t)
