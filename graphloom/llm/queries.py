@@ -27,6 +27,8 @@ from graphloom.llm.url_filter import host_of, url_filter
 
 #: (verdict, host, path) of the rules that op2 applies.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: A title with words that end in runs of the same sign is that of a junk page; its URL goes on the list of blocked ones.
+JUNK_TITLE = r"<title>[^<]*(\*{3}|%{3}|#{3}|\${3})"
 #: Words of a host, between dots and hyphens, that put its pages on the list of blocked URLs.
 SPAM_HOST_WORDS = "(^|[.-])(casino|poker|bets|betting|pills|viagra|porn|spam|adserver|ads|track|tracker)([.-]|$)"
 
@@ -44,10 +46,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules first; then URLs whose canonical form is that of a page on a spam host are blocked."""
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.where(host_of(F.col("url")).rlike(SPAM_HOST_WORDS)).select("url")
-    return url_filter(pages, URL_RULES, listed).drop("url")
+    """Rules first; then URLs are blocked that are another spelling of a junk page's or of one on a spam host."""
+    pages = _table(spark, sf_dir, "pages")
+    bad = F.coalesce(host_of(F.col("url")).rlike(SPAM_HOST_WORDS) | F.coalesce("html", F.lit("")).rlike(JUNK_TITLE), F.lit(False))
+    return url_filter(pages.select("page_id", "url"), URL_RULES, pages.where(bad).select("url")).drop("url")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +202,7 @@ ORACLE_SQL = {
     "op2_url_filter": r"""
         WITH p AS (
             SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, coalesce(html, '') AS html
             FROM pages),
         parts AS (
             SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':\d*$', ''), '^(www|m)\.', '')
@@ -213,10 +215,10 @@ ORACLE_SQL = {
                                               ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
         judged AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS ruled
                    FROM c JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, d) GROUP BY page_id),
-        listed AS (SELECT DISTINCT canonical_url FROM c WHERE regexp_matches(host, '@SPAM@'))
+        listed AS (SELECT DISTINCT canonical_url FROM c WHERE regexp_matches(host, '@SPAM@') OR regexp_matches(html, '@JUNK@'))
         SELECT page_id, host, path, rule, canonical_url,
                coalesce(ruled, CASE WHEN canonical_url IN (FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
-        FROM c LEFT JOIN judged USING (page_id)""".replace("@SPAM@", SPAM_HOST_WORDS),
+        FROM c LEFT JOIN judged USING (page_id)""".replace("@SPAM@", SPAM_HOST_WORDS).replace("@JUNK@", JUNK_TITLE),
     "op4_line_dedup": rf"""
         WITH lines AS (
             SELECT doc_id, u.pos, u.line,

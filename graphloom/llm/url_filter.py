@@ -1,24 +1,25 @@
 """URL filters: host and path rules, and a list of URLs behind a blocked Bloom filter.
 
 Rules block or allow a host with its subdomains under a path; the longest rule wins.
-URLs that no rule judges are held against a list of canonical URLs. A blocked Bloom
-filter of the list (one 64-bit block a URL, its bits combined by ``bit_or`` per block)
-goes to all tasks and passes possible hits; an exact hash join with the list then
-removes false positives. A filter of more than ``MAX_BLOCKS`` blocks stays a table
-dealt by block, and keys meet their block in a join, so that its rate of false hits is
-the same for a list of any length.
+They are looked up by the parts of a host, so there may be many. URLs that no rule
+judges are held against a list of canonical URLs. A blocked Bloom filter of the list
+(one 64-bit block a URL, its bits combined by ``bit_or`` per block) goes to all tasks
+and passes possible hits; an exact hash join with the list then removes false positives.
+A filter of more than ``MAX_BLOCKS`` blocks stays a table dealt by block, and keys meet
+their block in a join, so that its rate of false hits is the same for a list of any
+length. Only pages with a possible hit are joined: pages of all other URLs, of none, and
+of listed URLs that very many pages have, stay where they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ascii_lower, by_batches, written
+from graphloom.llm.common import ascii_lower, join_counted, written
 
 #: Blocks of a filter that is broadcast, at most (64 MB); four URLs go to one.
 MAX_BLOCKS = 1 << 23
@@ -51,13 +52,26 @@ def canonical(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(host, path, tail))
 
 
-def _rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
-    """The longest fitting rule as (rule, verdict); null if none fits."""
-    fits = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, at, under in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), len(r[1]))):
-        here = ((host == at) | host.endswith(f".{at}")) & path.startswith(under)
-        fits = F.when(here, F.struct(F.lit(at + under).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(fits)
-    return fits
+class Rules:
+    """Rules by host; a URL's rule is the longest whose host is its host or a parent of it and whose path begins its path."""
+
+    def __init__(self, rules: list[tuple[str, str, str]]):
+        self._of: dict[str, list[tuple[str, str]]] = {}
+        last = {(at, under): verdict for verdict, at, under in rules}
+        for (at, under), verdict in sorted(last.items(), key=lambda r: -len(r[0][1])):
+            self._of.setdefault(at, []).append((under, verdict))
+
+    def find(self, host: str, path: str) -> dict[str, str] | None:
+        best, at = None, host
+        while True:  # a longer host goes before a shorter one if both rules are as long
+            for under, verdict in self._of.get(at, ()):
+                if path.startswith(under):
+                    if best is None or len(at) + len(under) > len(best["rule"]):
+                        best = {"rule": at + under, "verdict": verdict}
+                    break
+            _, dot, at = at.partition(".")
+            if not dot:
+                return best
 
 
 def _place(key: Column, blocks: int) -> tuple[Column, Column]:
@@ -83,51 +97,59 @@ def bloom_filter(listed: DataFrame, blocks: int) -> np.ndarray:
     return out
 
 
-def passes_by_block(df: DataFrame, filled: DataFrame, blocks: int) -> DataFrame:
-    """Keys that a filter may hold which stays a table; distinct keys, so that no URL of many pages is one task's."""
+def passes_by_block(keys: DataFrame, filled: DataFrame, blocks: int) -> DataFrame:
+    """Keys that a filter may hold which stays a table; keys are distinct, so that no URL of many pages is one task's."""
     block, bits = _place(F.col("key"), blocks)
-    want = df.select("key").distinct().select("key", block.alias("block"), bits.alias("want"))
+    want = keys.select("key", block.alias("block"), bits.alias("want"))
     return want.join(filled, "block").where(F.col("bits").bitwiseAND(F.col("want")) == F.col("want")).select("key")
 
 
-def passes(df: DataFrame, block: Column, bits: Column, filled: np.ndarray) -> DataFrame:
-    """Rows of (page, key) whose key the filter may hold."""
-    shared = df.sparkSession.sparkContext.broadcast(filled)
+def passes(keys: DataFrame, filled: np.ndarray) -> Column:
+    """Whether a filter that all tasks have may hold the ``key`` of a row."""
+    shared = keys.sparkSession.sparkContext.broadcast(filled)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = shared.value
-        for b in batches:
-            want = b.column(2).to_numpy()
-            yield b.select([0]).filter(pa.array(blocks[b.column(1).to_numpy()] & want == want))
+    @F.arrow_udf("boolean")
+    def hit(block: pa.Array, want: pa.Array) -> pa.Array:
+        bits = want.fill_null(0).to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[block.fill_null(0).to_numpy(zero_copy_only=False)] & bits == bits) & pc.is_valid(want).to_numpy(zero_copy_only=False))
 
-    return by_batches(df.select("key", block.alias("block"), bits.alias("bits")), run, "key string")
+    return hit(*_place(F.col("key"), len(filled)))
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """Adds ``host``, ``path``, ``rule``, ``verdict`` and ``canonical_url``.
 
-    ``rules`` are (verdict, host, path); ``listed`` has a column ``url``. A URL without a
-    fitting rule is blocked if its canonical form is listed, else allowed. A null URL or
-    one without ``://`` has an empty host and path, no canonical form, and is allowed
-    unless a rule fits the empty host. One row comes out for each row that goes in; an
-    input column named like an output is replaced. Nulls in the list are ignored, and
-    repeated URLs count once. URLs of any length are read whole; they are shuffled, not
-    sorted in a task.
+    ``rules`` are (verdict, host, path), of which the last counts for the same place;
+    ``listed`` has a column ``url``. A URL without a fitting rule is blocked if its
+    canonical form is listed, else allowed. A null URL or one without ``://`` has an empty
+    host and path, no canonical form, and is allowed unless a rule fits the empty host.
+    One row comes out for each row that goes in; an input column named like an output is
+    replaced. Nulls in the list are ignored, and repeated URLs count once. URLs of any
+    length are read whole. An empty table gives an empty one, an empty list blocks nothing.
     """
-    whole = pages.drop("host", "path", "rule", "verdict", "canonical_url", "_key", "_rule")
-    judged = whole.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "canonical_url": canonical(F.col("url"))})
-    judged = judged.withColumn("_rule", _rule(F.col("host"), F.col("path"), rules))
+    whole = pages.drop("host", "path", "rule", "verdict", "canonical_url", "key", "_rule", "_maybe", "_hit")
+    found = Rules(rules)
+
+    @F.arrow_udf("struct<rule:string,verdict:string>")
+    def rule_of(host: pa.Array, path: pa.Array) -> pa.Array:
+        kind = pa.struct([("rule", pa.string()), ("verdict", pa.string())])
+        return pa.array(map(found.find, host.to_pylist(), path.to_pylist()), kind)
+
+    judged = whole.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "key": canonical(F.col("url"))})
+    judged = judged.withColumn("_rule", rule_of("host", "path"))
 
     keys = written(listed.select(canonical(F.col("url")).alias("key")).where("key IS NOT NULL").distinct(), "listed")
     blocks = max(1, keys.count() // 4)
-    open_ = judged.where("_rule IS NULL AND canonical_url IS NOT NULL").select(F.col("canonical_url").alias("key"))
-    if blocks <= max_blocks:
-        maybe = passes(open_, *_place(F.col("key"), blocks), bloom_filter(keys, blocks)).distinct()
-    else:
-        maybe = passes_by_block(open_, filter_table(keys, blocks), blocks)
-    hits = maybe.join(keys, "key", "left_semi")
-    met = judged.join(hits.withColumnRenamed("key", "_key"), F.col("canonical_url") == F.col("_key"), "left")
-    method = F.when(F.col("_key").isNotNull(), "block").otherwise("allow")
-    return met.select(
-        *whole.columns, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), method).alias("verdict"), "canonical_url"
+    is_open = F.col("_rule").isNull() & F.col("key").isNotNull()
+    few = blocks <= max_blocks
+    met = judged.withColumn("_maybe", is_open & passes(judged, bloom_filter(keys, blocks)) if few else is_open)
+    asked = met.where("_maybe").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    listed_keys = keys if few else passes_by_block(asked, filter_table(keys, blocks), blocks).join(keys, "key", "left_semi")
+    # False hits are keys too: each asked key gets an answer, so that the join below loses no page.
+    answers = asked.join(listed_keys.withColumn("_hit", F.lit(True)), "key", "left").select("key", "n", F.coalesce("_hit", F.lit(False)).alias("_hit"))
+    joined = join_counted(met.where("_maybe"), written(answers, "answers"), "key")
+    out = joined.unionByName(met.where("NOT _maybe").withColumn("_hit", F.lit(False)))
+    method = F.when(F.col("_hit"), "block").otherwise("allow")
+    return out.select(
+        *whole.columns, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), method).alias("verdict"), F.col("key").alias("canonical_url")
     )

@@ -102,12 +102,13 @@ def test_urls(spark):
 
 def test_bloom_filter_has_no_false_negatives(spark):
     urls = spark.range(5000).select(canonical(F.concat(F.lit("http://h.x/"), F.col("id"))).alias("key"))
-    from graphloom.llm.url_filter import _place, passes
+    from graphloom.llm.url_filter import passes
 
     filled = bloom_filter(urls, 1250)
-    assert passes(urls, *_place(F.col("key"), 1250), filled).count() == 5000
+    assert urls.where(passes(urls, filled)).count() == 5000
     others = spark.range(5000, 15000).select(F.concat(F.lit("h.x/"), F.col("id")).alias("key"))
-    assert passes(others, *_place(F.col("key"), 1250), filled).count() < 1000
+    assert 0 < others.where(passes(others, filled)).count() < 1000
+    assert urls.select(F.lit(None).cast("string").alias("key")).where(passes(urls, filled)).count() == 0
 
 
 # licenses
@@ -121,14 +122,23 @@ def test_license_rules():
     assert suppressed([inner, outer]) == [outer] and suppressed([inner, outer._replace(priority=1)]) == [Found("b", 1, 6, 1), inner] and suppressed([inner, inner]) == [inner]
 
 
+def plain_spans(pattern, normal):
+    """Places of a pattern; of one with a gap, each head with the first tail behind it, if no other head stands between."""
+    heads, *tails = ([m.span() for m in re.finditer(rf"(?<= )(?:{x.strip()})(?= )", normal)] for x in pattern.split("…"))
+    if not tails:
+        return heads
+    first = [(h, min((t for t in tails[0] if t[0] > h[1]), default=None)) for h in heads]
+    return [(h[0], t[1]) for h, t in first if t and not any(h[1] < o[1] <= t[0] for o in heads)]
+
+
 def brute_found(normal):
     """All rules over the whole text, and each place held against all others."""
     spaces = [i for i, c in enumerate(normal) if c == " "]
     all_ = set()
     for r in rules():
-        for m in re.finditer(rf"(?<= )(?:{r.pattern})(?= )", normal):
-            start = sum(i < m.start() for i in spaces) - 1
-            all_.add(Found(r.label, start, start + m[0].count(" ") + 1, r.priority))
+        for a, z in plain_spans(r.pattern, normal):
+            start = sum(i < a for i in spaces) - 1
+            all_.add(Found(r.label, start, start + normal[a:z].count(" ") + 1, r.priority))
     stays = lambda f: not any(g.start <= f.start and f.end <= g.end and (-g.priority, g.start - g.end, g.label) < (-f.priority, f.start - f.end, f.label) for g in all_)
     return sorted((f for f in all_ if stays(f)), key=lambda f: (f.start, f.end, f.label))
 
@@ -137,14 +147,24 @@ def test_each_signature_finds_its_passage():
     for rows in (BODIES, EXCEPTIONS, NAMES, NOTICES):
         for label, keyword, pattern, passage in rows:
             normal = _normal(passage)
-            m = re.search(f" (?:{pattern})(?= )", normal)
-            assert m and any(f" {k} " in m[0] + " " for k in ([keyword] if isinstance(keyword, str) else keyword)), (label, passage)
+            spans = plain_spans(pattern, normal)
+            assert spans and any(f" {k} " in f" {normal[spans[0][0] : spans[0][1]]} " for k in ([keyword] if isinstance(keyword, str) else keyword)), (label, passage)
             found = detect(_normal(f"Some words before. {passage} And some after."))
             assert any(f.label == label or f.priority > 1 for f in found), (label, passage, found)
             assert brute_found(normal) == detect(normal), passage
     assert len({p for rows in (BODIES, EXCEPTIONS, NAMES, NOTICES) for _, _, p, _ in rows}) > 150
 
 
+def test_signatures_with_gaps_of_any_length():
+    for n in (1, 12, 13, 100, 5000):
+        holder = " ".join(["Holder" * 9] * n)
+        text = f"Neither the name of {holder} nor the names of its contributors may be used to endorse or promote products"
+        assert "bsd-3" in {f.label for f in detect(_normal(text))}, n
+    assert "bsd-3" not in {f.label for f in detect(_normal("nor the names of its contributors may be used to endorse or promote; neither the name of"))}
+    heads = "in no event shall x " * 3 + "be liable " * 2 + "in no event shall be liable"
+    assert [(f.start, f.end) for f in detect(_normal(heads)) if f.label == "liability"] == [(10, 17), (19, 25)]
+
+
 def test_license_labels_and_score_like_brute_force(spark):
     rng = np.random.default_rng(15)
     passages = [row[3] for rows in (BODIES, EXCEPTIONS, NAMES, NOTICES) for row in rows] + ["GPL-3.0", "SPDX-License-Identifier: MIT", "plain words of a text", "the license of the law", "CC BY-SA 4.0", "MIT License"]
@@ -191,8 +211,8 @@ def test_every_license_rule_passes_the_keywords():
     automaton, numbered = _compiled()
     for i, (rule, pattern) in enumerate(numbered):
         for most in (False, True):
-            text = f" {spelled(re._parser.parse(rule.pattern), most)} "
-            assert pattern.search(text) and any(i in hit for _, hit in automaton.iter(text)), (rule, text)
+            text = f" {spelled(re._parser.parse(rule.pattern.replace("… ", "")), most)} "
+            assert list(pattern.spans(text)) and any(i in hit for _, hit in automaton.iter(text)), (rule, text)
 
 
 def test_license_ids_and_short_names():
@@ -282,9 +302,20 @@ def test_languages(spark):
     assert langid.identify(docs.limit(0), F.lit(True)).count() == 0
 
 
+def plain_grams(text):
+    """Buckets of 1- to 3-grams, by plain integers."""
+    letters = [ord(c) if c.isalpha() else 32 for c in f" {text} ".lower()]
+    for n in (1, 2, 3):
+        for i in range(len(letters) - n + 1):
+            h = n
+            for k in range(n):
+                h = (h ^ letters[i + k]) * (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)[k] % 2**64
+            yield h >> 48
+
+
 def plain_naive_bayes(rows, text, smoothing=0.5):
     """Posteriors from n-grams counted one by one."""
-    grams = lambda t: [int(b) for g in langid._buckets(langid._points(f" {t} ")) for b in g]
+    grams = lambda t: list(plain_grams(t))
     counts = {}
     for lang, t in rows:
         at = counts.setdefault(lang, Counter())
@@ -317,10 +348,25 @@ def test_neighbours_and_length_do_not_change_a_score(monkeypatch):
         singles = np.array([langid._log_likelihood(model, t) for t in texts])
         assert np.allclose(langid._scored(model, texts), singles, rtol=1e-12, atol=1e-6)
     texts = [random_text(rng, 300) for _ in range(4)]
-    short = list(langid._posteriors(model, texts))
+    short = list(langid._likelihoods(model, texts))
     monkeypatch.setattr(langid, "_step", lambda _: 1024)  # now each text is over a step long
-    assert [(i, k) for i, k, _ in langid._posteriors(model, texts)] == [(i, k) for i, k, _ in short]
-    assert np.allclose([p for *_, p in langid._posteriors(model, texts)], [p for *_, p in short], atol=1e-6)
+    long = list(langid._likelihoods(model, texts))
+    assert [i for i, _ in long] == [i for i, _ in short] and np.allclose([x for _, x in long], [x for _, x in short], atol=1e-4)
+
+
+def test_any_number_of_languages(spark):
+    rng = np.random.default_rng(8)
+    learn = [(f"l{i % 450}", "".join(chr(0x400 + (i % 450 * 7 + int(k)) % 900) for k in rng.integers(0, 12, 30))) for i in range(900)]
+    docs = frame(spark, [(i, t, lang) for i, (lang, t) in enumerate(learn)], "doc_id bigint, text string, lang string")
+    few = learn[:40]
+    asked = frame(spark, [(i, t) for i, (_, t) in enumerate(few)] + [(99, "123")])
+    trained = langid.train(spark.createDataFrame(few, "lang string, text string"), block=7)
+    for r in langid.predict(asked, trained).collect():
+        want = plain_naive_bayes(few, few[r.doc_id][1]) if r.doc_id < 99 else {"und": 0.0}
+        best = max(sorted(want), key=want.get)
+        assert r.lang_pred == best and abs(r.score - want[best]) < 1e-6
+    got = langid.identify(docs, F.lit(True)).where("lang_pred = lang").count()
+    assert got > 700  # of 900, in 450 languages whose letters overlap
 
 
 # toxicity
@@ -336,6 +382,9 @@ def test_deobfuscation():
     for hidden, word in (("m0r0n", "moron"), ("st00pid", None), ("1diot", "idiot"), ("stuuuupid", "stupid"), ("c.l.o.w.n", "clown"), ("cl0wn!", "clown")):
         if word:
             assert word in toxicity.restored(hidden, tri), hidden
+    coffee = {m[i : i + 3]: -1.0 for m in ("^^coffee$",) for i in range(len(m) - 2)}
+    for hidden in ("ccoffee", "cooffee", "coffeee", "c0ffee", "ccooffffeeee"):
+        assert "coffee" in toxicity.restored(hidden, coffee), hidden
     assert toxicity.restored("stone", tri) == [] and toxicity.decode("moron", tri) == "moron"
 
 
