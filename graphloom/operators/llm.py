@@ -1,15 +1,14 @@
 """Extraction by a language model: ask, keep the raw answers, parse them as columns.
 
-Answers are asked for in tasks, a bounded number at a time, and belong in a table of
-their own before they are parsed: a retried task would pay for its answers again.
+Answers are asked for in tasks, a bounded number at a time, and kept in a table of their
+own by what was asked, so that no answer is paid for twice.
 """
 
 from __future__ import annotations
 
 import asyncio
-import base64
 import json
-import mimetypes
+import math
 import os
 import time
 import unicodedata
@@ -19,7 +18,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +26,8 @@ from graphloom.functions.text import SPACE, compact_text, normalize_key, stable_
 from graphloom.operators.metadata import meta, with_fields
 from graphloom.operators.structural import EDGE_COLUMNS, NODE_COLUMNS, kg_id
 from graphloom.plans.schema import Ontology
+from graphloom.scratch import exists, written
+from graphloom.sources.documents import plain_path
 
 BATCH = 16
 #: Delimiters of the answers; fixed values.
@@ -96,17 +97,32 @@ def relation_prompt(ontology: Ontology, names: Column) -> Column:
     )
 
 
-def data_url(path: str | None) -> str | None:
-    """A local image as a data URL; None if there is no such file."""
-    if not path or not os.path.isfile(path):
-        return None
-    with open(path, "rb") as image:
-        encoded = base64.b64encode(image.read()).decode("ascii")
-    return f"data:{mimetypes.guess_type(path)[0] or 'application/octet-stream'};base64,{encoded}"
+#: Media types by the ends of file names; fixed values.
+_MEDIA = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "svg": "image/svg+xml", "tif": "image/tiff", "tiff": "image/tiff"}
+
+
+def image_table(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """(image_path, image_data_url) of the pictures below some folders, of any file system that Spark reads."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(x for k in _MEDIA for x in (k, k.upper())) + "}").load(folders)
+    media = F.create_map(*(F.lit(x) for pair in _MEDIA.items() for x in pair))
+    kind = F.coalesce(F.try_element_at(media, F.lower(F.regexp_extract("path", r"\.(\w+)\z", 1))), F.lit("application/octet-stream"))
+    return files.select(plain_path(F.col("path")).alias("image_path"), F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64("content")).alias("image_data_url"))
+
+
+def with_images(prompts: DataFrame, images: DataFrame | None) -> DataFrame:
+    """The prompts with ``image_data_url``, and ``image_error`` where an image_path has no file; such prompts are asked without it."""
+    none = F.lit(None).cast("string")
+    if images is None:
+        met = prompts.withColumn("image_data_url", none)
+    else:
+        shown = prompts.where(F.col("image_path").isNotNull()).join(images.dropDuplicates(["image_path"]), "image_path", "left")
+        met = shown.unionByName(prompts.where(F.col("image_path").isNull()).withColumn("image_data_url", none))
+    missing = F.col("image_path").isNotNull() & (F.col("image_path") != "") & F.col("image_data_url").isNull()
+    return met.withColumn("image_error", F.when(missing, F.concat(F.lit("no image at "), "image_path")))
 
 
 def ask(prompts: DataFrame, make_client: Callable[[], Client], batch: int = BATCH, tasks: int | None = None, per_second: float | None = None) -> DataFrame:
-    """(document_id, chunk_id, response, error) of (document_id, chunk_id, prompt, image_path) rows.
+    """(document_id, chunk_id, response, error) of (document_id, chunk_id, prompt, image_data_url) rows.
 
     ``make_client`` runs in each task. A failed prompt has an error and an empty
     response, and does not touch the others. With ``tasks`` the prompts are dealt evenly
@@ -118,12 +134,12 @@ def ask(prompts: DataFrame, make_client: Callable[[], Client], batch: int = BATC
 
     async def one(client: Client, prompt: str, image: str | None) -> tuple[str, str | None]:
         try:
-            return await client.generate(prompt, image_data_url=data_url(image)), None
+            return await client.generate(prompt, image_data_url=image), None
         except Exception as e:  # whatever a client raises stays with its prompt
             return "", str(e)
 
     async def all_of(client: Client, rows: pd.DataFrame) -> list[tuple[str, str | None]]:
-        return await asyncio.gather(*(one(client, r.prompt, r.image_path) for r in rows.itertuples()))
+        return await asyncio.gather(*(one(client, r.prompt, r.image_data_url or None) for r in rows.itertuples()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
@@ -136,11 +152,48 @@ def ask(prompts: DataFrame, make_client: Callable[[], Client], batch: int = BATC
                     time.sleep(max(0.0, len(part) * tasks / per_second - (time.monotonic() - began)))
                 yield part[["document_id", "chunk_id"]].assign(response=[a for a, _ in answers], error=[e for _, e in answers])
 
-    columns = prompts.select("document_id", "chunk_id", "prompt", "image_path")
+    columns = prompts.select("document_id", "chunk_id", "prompt", "image_data_url")
     columns = columns.repartition(tasks) if tasks else columns
     return columns.mapInPandas(run, "document_id string, chunk_id string, response string, error string")
 
 
+#: Prompts of one job: what a run that fails may have to ask again.
+ROUND = 20_000
+_ANSWERS = "key string, response string, error string, attempt int"
+
+
+def answered(
+    prompts: DataFrame, make_client: Callable[[], Client], store: str, model: str = "", batch: int = BATCH, tasks: int | None = None, per_second: float | None = None,
+    retries: int = 2, round_size: int = ROUND,
+) -> DataFrame:
+    """(document_id, chunk_id, response, error, image_error) of ``with_images`` prompts, each distinct one asked once.
+
+    Answers are kept in the table ``store`` by the hash of prompt, image and model. Only
+    prompts without an answer are asked, ``round_size`` at a time: a run that fails keeps
+    all rounds before. Failed prompts are asked again up to ``retries`` times in a run; what
+    still fails has an empty response and its last error.
+    """
+    spark = prompts.sparkSession
+    key = F.sha2(F.concat_ws("\x00", F.lit(model), "prompt", F.coalesce("image_data_url", F.lit(""))), 256)
+    keyed = written(prompts.withColumn("key", key), "prompts")
+
+    def known() -> DataFrame:
+        return spark.read.schema(_ANSWERS).parquet(store) if exists(spark, store) else spark.createDataFrame([], _ANSWERS)
+
+    for attempt in range(1 + retries):
+        left = keyed.join(known().where("error IS NULL").select("key").distinct(), "key", "left_anti").dropDuplicates(["key"])
+        left = written(left.select(F.col("key").alias("document_id"), F.col("key").alias("chunk_id"), "prompt", "image_data_url"), "unanswered")
+        rounds = math.ceil(left.count() / round_size)
+        for i in range(rounds):
+            part = left.where(F.pmod(F.xxhash64("chunk_id"), F.lit(rounds)) == i)
+            found = ask(part, make_client, batch, tasks, per_second)
+            found.select(F.col("chunk_id").alias("key"), "response", "error", F.lit(attempt).alias("attempt")).write.mode("append").parquet(store)
+        if not rounds:
+            break
+    best = known().groupBy("key").agg(F.max_by(F.struct("response", "error"), F.struct(F.col("error").isNull(), "attempt", "response")).alias("a"))
+    return keyed.join(best, "key").select("document_id", "chunk_id", "a.response", "a.error", "image_error")
+
+
 def records(answers: DataFrame) -> DataFrame:
     """The answers' columns with (record, fields): each record's fields without wrapping quotes."""
     parts = F.split(compact_text("response"), r"##|<\|COMPLETE\|>", -1)

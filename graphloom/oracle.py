@@ -310,7 +310,28 @@ def statements(content: str, answer: str, types: list[str], relations: list[str]
             SELECT document_id, id, 'node' AS item FROM nodes SEMI JOIN shown USING (document_id, id) UNION ALL SELECT document_id, id, 'edge' FROM near""",
         "document_types": chain + "SELECT DISTINCT document_id, entity_type AS type, 'node' AS item FROM judged_nodes UNION ALL SELECT DISTINCT document_id, relation_type, 'edge' FROM judged_edges",
         "active_graph": chain + "SELECT document_id, document_name, source_path FROM docs ORDER BY document_name, document_id LIMIT 1",
-        "ontology_types": "FROM (VALUES " + ", ".join(f"('{k}', '{t}')" for k, names in Ontology()._asdict().items() for t in names) + ") v(kind, type)",
+        "ontology_types": chain
+        + ", known(item, type, structural) AS (VALUES " + ", ".join(f"('node', '{t}', false)" for t in Ontology().entity_types) + ", "
+        + ", ".join(f"('edge', '{t}', {str(t in Ontology().structural_relation_types).lower()})" for t in Ontology().relation_types)
+        + """), used AS (SELECT 'node' AS item, entity_type AS type, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT 'edge', relation_type, count(*) FROM edges GROUP BY ALL)
+            SELECT item, type, coalesce(n, 0) AS n, k.structural IS NOT NULL AS known, coalesce(k.structural, false) AS structural FROM used FULL JOIN known k USING (item, type)""",
+        "files_round_trip": f"""WITH d AS (SELECT 'part-' || p_partkey AS document_name, sha1({content}) AS content_sha1 FROM part)
+            SELECT document_name, 'folder' AS how, content_sha1, true AS same_id FROM d UNION ALL SELECT document_name, 'manifest', content_sha1, true FROM d WHERE ends_with(document_name, '0')""",
+        "nested_trees": chain
+        + """, d AS (SELECT document_id, idx, path, len(path) - len(replace(path, '/', '')) AS depth, lead(len(path) - len(replace(path, '/', ''))) OVER (PARTITION BY document_id ORDER BY idx) AS after FROM tree)
+            SELECT document_id, string_agg('<' || repeat('>', greatest(depth - coalesce(after, 0) + 1, 0)), '' ORDER BY idx) AS brackets, string_agg(path, '|' ORDER BY idx) AS paths FROM d GROUP BY document_id""",
+        "published_index": chain
+        + f"SELECT document_name AS name, document_id, document_id || '/graph.json' AS path, node_count::INT AS n_nodes, edge_count FROM ({counts}) JOIN docs USING (document_id)",
+        "graph_indexes": """
+            WITH n AS (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '0' END AS name, p_partkey::VARCHAR AS k, '/kg/' || p_partkey || '/' AS here FROM part)
+            SELECT p_partkey, name, CASE p_partkey % 7 WHEN 2 THEN 'd' WHEN 3 THEN 'd' || k END AS document_id,
+                   CASE p_partkey % 7 WHEN 0 THEN 'u' || k || '.json' WHEN 1 THEN 'http://h/' || k WHEN 2 THEN '../p' || k WHEN 3 THEN 'd' || k || '/graph.json' WHEN 4 THEN '/kg/' || k ELSE name || '/graph.json' END AS path,
+                   CASE p_partkey % 7 WHEN 0 THEN here || 'u' || k || '.json' WHEN 1 THEN 'http://h/' || k WHEN 2 THEN '/kg/p' || k WHEN 3 THEN '/kg/e' WHEN 4 THEN '/kg/' || k WHEN 5 THEN '/tmp/' || k ELSE here || name || '/exports/graph.json' END AS local_path
+            FROM n""",
+        "model_answers": """
+            WITH a AS (SELECT p_partkey, 'chk-' || p_partkey AS chunk_id, CASE WHEN p_partkey % 7 = 0 THEN 'no answer' END AS error, 'The ' || p_brand || '  part ' || p_partkey AS passage FROM part)
+            SELECT chunk_id, CASE WHEN error IS NULL THEN passage || '|English|' || CASE WHEN p_partkey % 20 = 0 THEN 'data:image/png;base64,' || to_base64(('png ' || p_partkey)::BLOB) ELSE 'None' END ELSE '' END AS response,
+                   error, p_partkey % 20 = 10 AS no_image FROM a""",
         "store_round_trip": chain
         + f"""SELECT c.document_id, node_count AS stored_node_count, CASE WHEN regexp_matches(document_name, '[036]$') THEN 0 ELSE edge_count END AS stored_edge_count
             FROM ({counts}) c JOIN docs USING (document_id) WHERE NOT ends_with(document_name, '0')""",

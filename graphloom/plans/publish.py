@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.scratch import copy, put
+from graphloom.plans.store import write_index
+from graphloom.scratch import absolute, exists, put_texts
 from graphloom.sources.documents import whole_texts
 from graphloom.sources.graphs import discover_exports
 
@@ -16,7 +16,7 @@ _ABOUT = "document_id string, document_name string, source_path string"
 
 
 def viewer_index(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(at, nth, document_id, document_name, source_path, graph_path) of graph files, in their order.
+    """(at, nth, document_id, document_name, source_path) of graph files, in their order.
 
     A file without an id takes the folder above its exports for one; without a name, its id.
     """
@@ -28,26 +28,36 @@ def viewer_index(spark: SparkSession, paths: list[str]) -> DataFrame:
     document_id = F.coalesce(F.nullif("said.document_id", F.lit("")), F.regexp_extract("at", r"([^/]+)/[^/]+/[^/]+\z", 1))
     return rows.select(
         "at", "nth", document_id.alias("document_id"), F.coalesce(F.nullif("said.document_name", F.lit("")), document_id).alias("document_name"),
-        F.coalesce("said.source_path", F.lit("")).alias("source_path"), F.concat(document_id, F.lit("/graph.json")).alias("graph_path"),
+        F.coalesce("said.source_path", F.lit("")).alias("source_path"),
     )
 
 
 def publish(spark: SparkSession, working_dir: str, public_dir: str) -> dict:
-    """Copies the graphs of a working folder below ``public_dir/kg`` and writes their index.
+    """Puts the graphs of a working folder below ``public_dir/kg`` and writes their index; files go from task to task.
 
-    A viewer loads all that is published, so this is for collections that one can hold;
-    files are copied as they are. Of graphs with the same name the last is listed.
+    A build that wrote an index table says what there is; other folders are looked
+    through, see ``discover_exports``. Of graphs with the same id the last is put, of those
+    with the same name the last is listed.
     """
-    paths = discover_exports(spark, working_dir)
-    if not paths:
-        raise FileNotFoundError(f"no graph exports under {working_dir}")
-    rows = viewer_index(spark, paths).orderBy("nth").collect()
-    for row in rows:
-        copy(spark, row["at"], f"{public_dir}/kg/{row['graph_path']}")
-    listed = {r["document_name"]: {k: r[k] for k in ("document_id", "document_name", "source_path", "graph_path")} for r in rows}
-    index = f"{public_dir}/kg/index.json"
-    put(spark, index, json.dumps(listed, ensure_ascii=False, indent=2) + "\n")
-    return {"graph_count": len(listed), "index_path": index}
+    root, kg = absolute(spark, working_dir), f"{absolute(spark, public_dir)}/kg"
+    if exists(spark, f"{root}/index"):
+        listed = spark.read.parquet(f"{root}/index")
+        rows = listed.select(F.col("export_path").alias("at"), F.lit(0).alias("nth"), "document_id", "document_name", "source_path")
+        texts = whole_texts(spark, [f"{root}/*/exports/graph.json"])
+    else:
+        paths = discover_exports(spark, working_dir)
+        if not paths:
+            raise FileNotFoundError(f"no graph exports under {working_dir}")
+        rows, texts = viewer_index(spark, paths), whole_texts(spark, paths)
+    rows = rows.withColumn("graph_path", F.concat("document_id", F.lit("/graph.json")))
+    last = rows.groupBy("document_id").agg(F.max_by(F.struct("at", "nth", "document_name", "source_path", "graph_path"), F.struct("nth", "at")).alias("row")).select("document_id", "row.*")
+    met = last.join(texts, F.col("at") == texts["source_path"])
+    put_texts(met.select(F.concat(F.lit(f"{kg}/"), "graph_path").alias("path"), F.col("content").alias("text")))
+    index = f"{kg}/index.json"
+    listed = rows.groupBy("document_name").agg(F.max_by(F.struct("document_id", "source_path", "graph_path"), F.struct("nth", "at")).alias("row"))
+    listed = listed.select("document_name", "row.*")
+    write_index(listed, index)
+    return {"graph_count": listed.count(), "index_path": index}
 
 
 if __name__ == "__main__":

@@ -7,6 +7,8 @@ repeated sections, tables with captions, images with notes and captions.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,15 +18,17 @@ from graphloom.operators import llm
 from graphloom.operators.blocks import classified, components, is_title, lines_of, title_level
 from graphloom.operators.chunks import chunks
 from graphloom.operators.heuristic import entity_nodes, matches, mention_edges, mentions, pair_edges
+from graphloom.operators.metadata import meta
 from graphloom.operators.normalize import cluster_nodes, merge_edges
 from graphloom.operators.structural import structural_edges, structural_nodes
 from graphloom.operators.tree import tree_nodes
 from graphloom.plans.build import Graph, build
 from graphloom.oracle import statements
-from graphloom.plans.store import Log, clear, compact, entity_table, export_json, persist, relation_table, stored, stored_stats
-from graphloom.scratch import place, written
-from graphloom.sources.documents import from_table
-from graphloom.sources.graphs import graph_table, read_graphs
+from graphloom.plans.publish import publish
+from graphloom.plans.store import Log, clear, compact, entity_table, export_files, export_json, payloads, persist, relation_table, stored, stored_stats, write_index
+from graphloom.scratch import absolute, place, put, put_texts, written
+from graphloom.sources.documents import from_table, read_manifest, read_markdown_folder
+from graphloom.sources.graphs import graph_table, index_entries, local_entries, read_graphs
 from graphloom.streaming.ingest import store_batch
 
 #: The Markdown of a part, as SQL that Spark and DuckDB read alike; {n} is a line feed.
@@ -283,10 +287,63 @@ def active_graph(spark, sf_dir):
 
 
 def ontology_types(spark, sf_dir):
-    """The types of the default ontology."""
+    """The types that the corpus uses, with how often, and those of the ontology that it does not use."""
     from graphloom.plans.schema import Ontology
 
-    return spark.createDataFrame([(k, t) for k, names in Ontology()._asdict().items() for t in names], "kind string, type string")
+    told = [("node", t, False) for t in Ontology().entity_types] + [("edge", t, t in Ontology().structural_relation_types) for t in Ontology().relation_types]
+    known = spark.createDataFrame(told, "item string, type string, structural boolean").withColumn("known", F.lit(True))
+    both = type_inventory(spark, sf_dir).join(known, ["item", "type"], "full")
+    return both.select("item", "type", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("structural", F.lit(False)).alias("structural"))
+
+
+def files_round_trip(spark, sf_dir):
+    """The corpus written as Markdown files, read as a folder and by a manifest of every tenth file."""
+    root = place(spark, "markdown")
+    documents = corpus(spark, sf_dir)
+    at = F.concat(F.lit(f"{absolute(spark, root)}/files/"), "document_name", F.lit(".md"))
+    put_texts(documents.select(at.alias("path"), F.col("content").alias("text")))
+    folder = read_markdown_folder(spark, f"{root}/files")
+    tenth = folder.where(F.col("document_name").endswith("0")).select("document_name", "document_id", "source_path")
+    write_index(tenth, f"{root}/index.json")
+    listed = index_entries(spark.read.text(f"{root}/index.json", wholetext=True).withColumnRenamed("value", "content"))
+    put(spark, f"{root}/manifest.json", json.dumps({r.document_name: r.source_path for r in tenth.collect()}))
+    manifest = read_manifest(spark, f"{absolute(spark, root)}/manifest.json").join(listed.select(F.col("name").alias("document_name")), "document_name", "left_semi")
+    rows = lambda found, how: found.select("document_name", F.lit(how).alias("how"), F.sha1("content").alias("content_sha1"), (F.col("document_id") == stable_id("document_name", "source_path", prefix="doc-")).alias("same_id"))
+    return rows(folder, "folder").unionByName(rows(manifest, "manifest"))
+
+
+def nested_trees(spark, sf_dir):
+    """The skeleton of each exported tree, and its paths as they come in the text."""
+    tree = F.get_json_object("payload", "$.tree")
+    rows = payloads(_graph(spark, sf_dir)).select("document_id", tree.alias("tree"))
+    skeleton = F.regexp_replace(F.regexp_replace("tree", r'"children":\[', "\x01"), r"\]\}", "\x02")
+    brackets = F.translate(F.regexp_replace(skeleton, "[^\x01\x02]", ""), "\x01\x02", "<>")
+    return rows.select("document_id", brackets.alias("brackets"), F.array_join(F.regexp_extract_all("tree", F.lit(r'"path":"([^"]*)"')), "|").alias("paths"))
+
+
+def published_index(spark, sf_dir):
+    """The index of the corpus's graphs after they were exported and published, and what the published files hold."""
+    at = place(spark, "public")
+    export_files(_judged(spark, sf_dir), f"{at}/work")
+    index = publish(spark, f"{at}/work", f"{at}/public")["index_path"]
+    listed = index_entries(spark.read.text(index, wholetext=True).withColumnRenamed("value", "content"))
+    graphs = read_graphs(spark, f"{at}/public/kg/*/graph.json").select("document.document_id", F.size("nodes").alias("n_nodes"), F.col("stats.edge_count").alias("edge_count"))
+    return listed.join(graphs, "document_id").select("name", "document_id", "path", "n_nodes", "edge_count")
+
+
+#: Indexes of one entry made from a part: each form that an entry may have.
+_INDEX = """
+    CASE WHEN p_partkey % 2 = 0 THEN '{"' || p_name || '": ' ELSE '[' END || CASE p_partkey % 7 WHEN 0 THEN '"u' || p_partkey || '.json"' WHEN 1 THEN '{"graph_url": "http://h/' || p_partkey || '", "graph_path": "p"}'
+    WHEN 2 THEN '{"graph_path": "../p' || p_partkey || '", "document_id": "d"}' WHEN 3 THEN '{"document_id": "d' || p_partkey || '", "export_path": "/kg/e"}' WHEN 4 THEN '{"export_path": "/kg/' || p_partkey || '"}'
+    WHEN 5 THEN '{"export_path": "/tmp/' || p_partkey || '", "graph_url": ""}' ELSE '{}' END || CASE WHEN p_partkey % 2 = 0 THEN '}' ELSE ']' END
+"""
+
+
+def graph_indexes(spark, sf_dir):
+    """Where the graphs of indexes made from ``part`` are, for a served index and for a local one."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat(F.lit("/kg/"), "p_partkey", F.lit("/index.json")).alias("index_path"), F.expr(_INDEX.strip()).alias("content"))
+    local = local_entries(rows).select("p_partkey", F.col("path").alias("local_path"))
+    return index_entries(rows).drop("index_path").join(local, "p_partkey")
 
 
 def store_round_trip(spark, sf_dir):
@@ -365,11 +422,34 @@ def _llm(spark, sf_dir):
         F.col("p_partkey").cast("int").alias("idx"), F.lit(1).alias("piece_idx"), F.lit("n").alias("node_id"), F.lit("text").alias("node_type"), F.lit("root/text").alias("tree_path"),
         F.concat(F.lit("The "), "p_brand", F.lit("  part "), "p_partkey").alias("content"), F.expr(_ANSWER.strip()).alias("response"),
     )
-    from graphloom.operators.metadata import meta
-
     return made.drop("response").withColumn("metadata", meta()), made.select("document_id", "chunk_id", "response")
 
 
+class _Reader:
+    """A model that gives the passage and the language it is asked for, and fails at every seventh part."""
+
+    async def generate(self, prompt, *, image_data_url=None):
+        passage = prompt.split("Passage:\n")[1]
+        if int(passage.rsplit(" ", 1)[1]) % 7 == 0:
+            raise RuntimeError("no answer")
+        return f"{passage}|{prompt.split('Answer in ')[1].split('.')[0]}|{image_data_url}"
+
+
+def model_answers(spark, sf_dir):
+    """Answers of a model to the prompts of chunks and of a picture for each tenth, asked in two runs of which the first breaks off."""
+    pieces = _llm(spark, sf_dir)[0]
+    store = place(spark, "answers")
+    root = absolute(spark, place(spark, "images"))
+    picture = F.when(F.col("idx") % 10 == 0, F.concat(F.lit(f"{root}/"), "idx", F.lit(".png")))
+    some = pieces.where("idx % 20 = 0")
+    put_texts(some.select(picture.alias("path"), F.concat(F.lit("png "), "idx").alias("text")))
+    prompts = llm.entity_prompts(pieces.withColumns({"node_type": F.when(picture.isNotNull(), "image").otherwise("text"), "metadata": meta(img_path=picture)}))
+    shown = llm.with_images(prompts, llm.image_table(spark, [root]))
+    llm.answered(shown.where("length(chunk_id) < 7"), _Reader, store, retries=0)
+    out = llm.answered(shown, _Reader, store, retries=1, round_size=150)
+    return out.select("chunk_id", "response", "error", F.col("image_error").isNotNull().alias("no_image"))
+
+
 def llm_records(spark, sf_dir):
     """Records and fields of model answers."""
     rows = llm.records(_llm(spark, sf_dir)[1])
@@ -407,7 +487,7 @@ QUERIES = {
         title_levels, title_lines, line_blocks, document_components, table_blocks, image_captions, tree_paths, node_chunks, chunk_windows, chunk_paragraphs,
         scalar_functions, entity_mentions, component_words, cooccurrence_edges, structural_graph_nodes, structural_graph_edges, merged_nodes, merged_edges,
         validated_nodes, validated_edges, graph_counts, stored_graph, visible_subgraph, review_subgraph, node_search, node_neighborhood, type_inventory,
-        viewer_elements, viewer_edges, edge_neighborhood, document_types, active_graph, ontology_types, store_round_trip, compacted_store, streamed_store, export_round_trip,
+        viewer_elements, viewer_edges, edge_neighborhood, document_types, active_graph, ontology_types, store_round_trip, compacted_store, streamed_store, export_round_trip, files_round_trip, nested_trees, published_index, graph_indexes, model_answers,
         llm_records, llm_entities, llm_contains, llm_relations, entity_counts,
     )
 }

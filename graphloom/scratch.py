@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Owned:
@@ -129,8 +134,42 @@ def text_of(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def copy(spark: SparkSession, source: str, target: str) -> None:
-    """Copies one file without reading it into Python."""
-    (a, from_), (b, to) = _at(spark, source), _at(spark, target)
-    to.mkdirs(b.getParent())
-    spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(from_, a, to, b, False, spark.sparkContext._jsc.hadoopConfiguration())
+def absolute(spark: SparkSession, path: str) -> str:
+    """A path as an absolute one: of local files without a scheme, of others as a URL."""
+    at, files = _at(spark, os.path.expanduser(path))
+    return re.sub(r"\Afile:(//)?(?=/)", "", str(files.makeQualified(at).toString())).rstrip("/")
+
+
+def promote(spark: SparkSession, folder: str, path: str) -> None:
+    """Makes the one part file of a folder that Spark wrote the file at a path."""
+    (part,) = (n for n in entries(spark, folder) if n.startswith("part-"))
+    at, files = _at(spark, path)
+    files.delete(at, False)
+    files.rename(_at(spark, f"{folder}/{part}")[0], at)
+    remove(spark, folder)
+    if path.startswith("/"):  # whoever edits a local file does not know of its checksum
+        name = at.getName()
+        with suppress(FileNotFoundError):
+            os.remove(os.path.join(os.path.dirname(path), f".{name}.crc"))
+
+
+def put_texts(rows: DataFrame) -> int:
+    """Writes each row's ``text`` as the file at its ``path`` (from ``absolute``), inside the tasks; how many there were.
+
+    A file appears whole or not at all, and a task that runs again writes the same files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                files, at = (pa.fs.LocalFileSystem(), path) if path.startswith("/") else pa.fs.FileSystem.from_uri(path)
+                files.create_dir(at.rpartition("/")[0], recursive=True)
+                part = f"{at}.{uuid.uuid4().hex}"
+                with files.open_output_stream(part) as out:
+                    out.write(text.encode())
+                files.move(part, at)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    done = rows.select("path", "text").mapInArrow(run, "n bigint")
+    return done.agg(F.sum("n")).first()[0] or 0
+

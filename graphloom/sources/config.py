@@ -21,6 +21,8 @@ class BuildConfig:
     llm_base_url: str | None = None
     llm_temperature: float | None = None
     llm_batch_size: int = 16
+    llm_tasks: int | None = None
+    llm_per_second: float | None = None
 
     def __post_init__(self) -> None:
         if self.graph_backend != "parquet":
@@ -31,6 +33,8 @@ class BuildConfig:
             raise ValueError(f"unknown extractor: {self.extractor}")
         if self.extractor == "llm" and not self.llm_model:
             raise ValueError("the llm extractor needs llm.model")
+        if self.llm_per_second is not None and self.llm_tasks is None:
+            raise ValueError("a rate of model calls needs a number of tasks")
 
 
 #: Field: (section, key in the section, key at the top level).
@@ -43,6 +47,8 @@ _NESTED = {
     "llm_base_url": ("llm", "base_url", "llm_base_url"),
     "llm_temperature": ("llm", "temperature", "llm_temperature"),
     "llm_batch_size": ("extraction", "batch_size", "llm_batch_size"),
+    "llm_tasks": ("extraction", "tasks", "llm_tasks"),
+    "llm_per_second": ("extraction", "per_second", "llm_per_second"),
 }
 
 
@@ -67,6 +73,9 @@ def config_from(data: Any) -> BuildConfig:
     values["llm_batch_size"] = size if size > 0 else 16
     if values.get("llm_temperature") is not None:
         values["llm_temperature"] = float(values["llm_temperature"])
+    for key, kind in (("llm_tasks", int), ("llm_per_second", float)):
+        if values.get(key) is not None:
+            values[key] = kind(values[key])
     for flag in ("split_text_nodes", "split_text_to_paragraphs"):
         values[flag] = bool(values.get(flag, False))
     return BuildConfig(**values | {"input_path": str(values["input_path"])})

@@ -1,6 +1,7 @@
 """Sources, sinks, queries, model answers and streaming."""
 
 import json
+import os
 import sys
 import time
 
@@ -18,7 +19,7 @@ from graphloom.plans.store import Log, clear, compact, export_files, export_json
 from graphloom.scratch import entries
 from graphloom.sources.config import BuildConfig, config_from
 from graphloom.sources.documents import load_documents, read_manifest, read_markdown, read_markdown_folder
-from graphloom.sources.graphs import discover_exports, graph_table, index_entries, local_graph_path, read_graphs
+from graphloom.sources.graphs import discover_exports, graph_table, index_entries, local_entries, read_graphs
 from graphloom.streaming.ingest import document_stream, ingest
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks cannot import this module
@@ -47,6 +48,7 @@ def test_command_line(spark, tmp_path):
     assert config_of(["--config", str(tmp_path / "c.json"), "--input", "y.md", "--llm-batch-size", "3"]) == BuildConfig("y.md", split_text_nodes=True, llm_model="m", llm_batch_size=3)
     (tmp_path / "a.md").write_text(TEXT)
     lines = run(spark, config_of(["--input", str(tmp_path / "a.md"), "--working-dir", str(tmp_path / "w"), "--split-text-to-paragraphs"]))
+    lines = [r.value for r in lines.collect()]
     assert len(lines) == 1 and lines[0].startswith("a: 10 nodes, ") and discover_exports(spark, str(tmp_path / "w"))
 
 
@@ -81,11 +83,14 @@ def test_store_export_publish_and_read_back(spark, tmp_path):
     stats = {r.document_id: r for r in g.stats.collect()}
     for r in stored_stats(spark, str(tmp_path / "store")).collect():
         assert (r.stored_node_count, r.stored_edge_count) == (stats[r.document_id].node_count, stats[r.document_id].edge_count)
-    files = export_files(g, str(tmp_path / "work"))
+    files = [r.export_path for r in export_files(g, str(tmp_path / "work")).orderBy("document_name").collect()]
     assert len(files) == 2 and sorted(discover_exports(spark, str(tmp_path / "work"))) == sorted(files)
     graph = json.loads(open(files[0]).read())
     assert graph["tree"]["children"][0]["children"][1]["children"][0]["node_type"] == "text"
     assert graph["stats"]["node_count"] == len(graph["nodes"]) and graph["ontology"]["entity_types"][0] == "FORMULA"
+    assert set(json.loads((tmp_path / "work" / "index.json").read_text())) == {"a", "b"}
+    assert publish(spark, str(tmp_path / "work"), str(tmp_path / "public"))["graph_count"] == 2
+    (tmp_path / "work" / "index").rename(tmp_path / "elsewhere")  # a folder without an index table is looked through
     assert publish(spark, str(tmp_path / "work"), str(tmp_path / "public"))["graph_count"] == 2
     index = json.loads((tmp_path / "public" / "kg" / "index.json").read_text())
     assert set(index) == {"a", "b"} and all((tmp_path / "public" / "kg" / e["graph_path"]).read_text() for e in index.values())
@@ -111,12 +116,29 @@ def test_store_export_publish_and_read_back(spark, tmp_path):
         publish(spark, str(tmp_path / "nothing"), str(tmp_path / "public"))
 
 
-def test_index_paths():
+def test_index_paths(spark):
     index = {"a": "u.json", "b": {"graph_url": "g"}, "c": {"graph_path": "p", "document_id": "d"}, "d": {"document_id": "d", "export_path": "/kg/e"}, "e": {"export_path": "/kg/e"}, "f": {"export_path": "/tmp/e"}}
-    assert [e["path"] for e in index_entries(index)] == ["u.json", "g", "p", "d/graph.json", "/kg/e", "f/graph.json"]
-    assert local_graph_path("/x/index.json", "n", {"export_path": "e.json", "document_id": "d"}) == "/x/e.json"
-    with pytest.raises(ValueError):
-        local_graph_path("index.json", "n", {})
+    rows = spark.createDataFrame([(1, "/x/index.json", json.dumps(index)), (2, "/x/index.json", json.dumps(list(index.values()))), (3, "/x/index.json", "{}")], "n int, index_path string, content string")
+    got = {(r.n, r.name): r.path for r in index_entries(rows).collect()}
+    want = ["u.json", "g", "p", "d/graph.json", "/kg/e"]
+    assert [got[1, k] for k in "abcdef"] == [*want, "f/graph.json"] and [got[2, str(i)] for i in range(6)] == [*want, "5/graph.json"] and len(got) == 12
+    local = {(r.n, r.name): r.path for r in local_entries(rows).collect()}
+    assert [local[1, k] for k in "abcdef"] == ["/x/u.json", "/x/b/exports/graph.json", "/x/p", "/kg/e", "/kg/e", "/tmp/e"]
+    with pytest.raises(Exception, match="must be absolute"):
+        local_entries(rows.withColumn("index_path", F.lit("index.json"))).collect()
+
+
+def test_run_and_publish_many_documents(spark, tmp_path):
+    folder, n = tmp_path / "in", 1200
+    folder.mkdir()
+    for i in range(n):
+        (folder / f"n{i}.md").write_text(f"# Note {i}\n")
+    (tmp_path / "m.json").write_text(json.dumps({f"n{i}": str(folder / f"n{i}.md") for i in range(n)}))
+    lines = run(spark, BuildConfig(str(tmp_path / "m.json"), working_dir=str(tmp_path / "w")))
+    assert lines.count() == n
+    assert publish(spark, str(tmp_path / "w"), str(tmp_path / "public"))["graph_count"] == n
+    index = json.loads((tmp_path / "public" / "kg" / "index.json").read_text())
+    assert len(index) == n and json.loads((tmp_path / "public" / "kg" / index["n7"]["graph_path"]).read_text())["document"]["document_name"] == "n7"
 
 
 def test_graph_queries(spark):
@@ -164,14 +186,16 @@ def test_model_extraction_without_network(spark, tmp_path):
 
 def test_images_reach_the_model(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(b"png")
-    rows = spark.createDataFrame([("d", "c", "List the technical entities", str(tmp_path / "a.png"))], "document_id string, chunk_id string, prompt string, image_path string")
-    assert llm.ask(rows, Fake).first().error is None
-    many = spark.createDataFrame([("d", f"c{i}", "x", None) for i in range(12)], rows.schema)
+    rows = spark.createDataFrame([("d", c, "List the technical entities", p) for c, p in (("c", str(tmp_path / "a.png")), ("e", str(tmp_path / "none.png")), ("f", None))], "document_id string, chunk_id string, prompt string, image_path string")
+    shown = {r.chunk_id: r for r in llm.with_images(rows, llm.image_table(spark, [str(tmp_path)])).collect()}
+    assert shown["c"].image_data_url == "data:image/png;base64,cG5n" and shown["c"].image_error is None
+    assert shown["e"].image_data_url is None and shown["e"].image_error == f"no image at {tmp_path}/none.png" and shown["f"].image_error is None
+    assert llm.ask(llm.with_images(rows, llm.image_table(spark, [str(tmp_path)])), Fake).where("error IS NOT NULL").count() == 0
+    many = llm.with_images(spark.createDataFrame([("d", f"c{i}", "x", None) for i in range(12)], rows.schema), None)
     began = time.monotonic()
     assert llm.ask(many, Fake, batch=2, tasks=2, per_second=12).count() == 12 and time.monotonic() - began > 0.5
     with pytest.raises(ValueError):
         llm.ask(many, Fake, per_second=1)
-    assert llm.data_url(str(tmp_path / "none.png")) is None
     with pytest.raises(ValueError):
         llm.ChatClient("m")
     assert "temperature" not in llm.ChatClient("m", "k").payload("p") and llm.ChatClient("m", "k", temperature=0.1).payload("p", "u")["messages"][0]["content"][1]["image_url"]["url"] == "u"
@@ -225,3 +249,29 @@ def test_a_stream_is_stored_once_and_only_changes_are_built(spark, tmp_path, mon
     compact(spark, path)
     assert Log(spark, path).streams() == {"s": 2, "other": 0} and not module.store_batch(batch, 2, path, "s")
     assert stored(spark, path, "entity").where("name = 'SRAM'").count() == 1 and stored(spark, path, "entity").where("name = 'DRAM'").count() == 0
+
+
+class Counting:
+    """Fails until a file is there, and notes each prompt it is asked."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    async def generate(self, prompt, *, image_data_url=None):
+        with open(f"{self.folder}/asked", "a") as asked:
+            asked.write(prompt + "\n")
+        if prompt.startswith("bad") and not os.path.exists(f"{self.folder}/mended"):
+            raise RuntimeError("not yet")
+        return prompt.upper()
+
+
+def test_answers_are_asked_once(spark, tmp_path):
+    prompts = spark.createDataFrame([("d", f"c{i}", p, None) for i, p in enumerate(["one", "two", "bad", "one", "three"])], "document_id string, chunk_id string, prompt string, image_path string")
+    folder, store = str(tmp_path), str(tmp_path / "answers")
+    asked = lambda: sorted((tmp_path / "asked").read_text().split())
+    ask = lambda rows, **how: {r.chunk_id: (r.response, r.error) for r in llm.answered(llm.with_images(rows, None), lambda: Counting(folder), store, "m", **how).collect()}
+    assert ask(prompts.where("chunk_id < 'c3'"), retries=1) == {"c0": ("ONE", None), "c1": ("TWO", None), "c2": ("", "not yet")}
+    assert asked() == ["bad", "bad", "one", "two"]
+    (tmp_path / "mended").touch()
+    assert ask(prompts, round_size=1) == {"c0": ("ONE", None), "c1": ("TWO", None), "c2": ("BAD", None), "c3": ("ONE", None), "c4": ("THREE", None)}
+    assert asked() == ["bad", "bad", "bad", "one", "three", "two"] and ask(prompts.limit(0)) == {}
