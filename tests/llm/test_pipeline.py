@@ -9,6 +9,7 @@ import tiktoken
 
 import corpus_pipeline
 from graphloom.llm.simhash import fingerprint
+from graphloom.scratch import exists, owned
 
 WORDS = {"en": "the river ran past old houses where people sang songs of winter".split(), "de": "der fluss zog an alten häusern vorbei wo leute lieder vom winter sangen".split()}
 
@@ -33,7 +34,7 @@ def _plain(docs, items):
     for d, text in docs:
         lines = (text or "").split("\n")
         kept = [x for x in lines if bad.get(_keys(x), d) == d]
-        if len(kept) == len(lines) or "\n".join(kept).strip(" "):
+        if len(kept) == len(lines) or "\n".join(kept).strip(" \t\n\x0b\f\r"):
             out.append((d, "\n".join(kept)))
     fps = [fingerprint(t) for _, t in out]
     groups = list(range(len(out)))
@@ -69,11 +70,16 @@ def test_run_matches_a_plain_version(spark, tmp_path):
         if i == 33:
             text += " " + item
         docs.append((i, text, lang, "s", len(text)))
-    docs += [(100, None, "en", "s", None), (101, "123 456", "de", "s", 7), (102, shared, "en", None, 5)]
+    docs += [(100, None, "en", "s", None), (101, "123 456", "de", "s", 7), (102, shared, "en", None, 5), (103, shared + "\n\t \n", "en", "s", 5)]
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     spark.createDataFrame(docs, schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item), (2, None)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    with owned() as tables:
+        rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left = [label for label, path in tables._paths if exists(spark, path)]
+    assert left == ["stage-bpe"]
+    tables.clear(spark)
+    assert not [path for _, path in tables._paths if exists(spark, path)]
     with_letters = [(d, t) for d, t, *_ in docs if t and any(c.isalpha() for c in t)]
     assert {(r.doc_id, r.ids_sha256) for r in rows} == _plain(with_letters, [item])
     assert 33 not in {r.doc_id for r in rows} and 20 not in {r.doc_id for r in rows}
