@@ -221,7 +221,7 @@ def _corpus(content: str, source: str = "") -> str:
     """
 
 
-def statements(content: str, answer: str, types: list[str], relations: list[str]) -> dict[str, str]:
+def statements(content: str, answer: str, types: list[str], relations: list[str], searches: list[str]) -> dict[str, str]:
     """The statement of each query."""
     chain = _corpus(content)
     listed = lambda names: "'" + "', '".join(names) + "'"
@@ -236,6 +236,10 @@ def statements(content: str, answer: str, types: list[str], relations: list[str]
     ends = "EXISTS (FROM vn WHERE vn.document_id = e.document_id AND vn.id = e.src) AND EXISTS (FROM vn WHERE vn.document_id = e.document_id AND vn.id = e.tgt)"
     both = f"""SELECT 'part-' || p_partkey AS document_name, 'parts/part-' || p_partkey AS source_path, {content} AS content FROM part
         UNION ALL SELECT doc_id::VARCHAR, 'documents/' || doc_id, coalesce(text, '') FROM documents"""
+    neighbours_of_dram = """, centre AS (SELECT document_id, id FROM nodes WHERE name = 'DRAM' AND kind = 'semantic'),
+            near AS (SELECT e.* FROM edges e WHERE EXISTS (FROM centre c WHERE c.document_id = e.document_id AND c.id IN (e.src, e.tgt))),
+            shown AS (FROM centre UNION SELECT document_id, src FROM near UNION SELECT document_id, tgt FROM near)
+            SELECT document_id, id, 'node' AS item FROM nodes SEMI JOIN shown USING (document_id, id) UNION ALL SELECT document_id, id, 'edge' FROM near"""
     palette = ", ".join(f"'{c}'" for c in PALETTE)
     return {
         "title_levels": chain + f"SELECT document_id, line_no, line AS title, {_level('line')} AS level FROM parts WHERE part = 'head' AND kind = 'title'",
@@ -293,11 +297,11 @@ def statements(content: str, answer: str, types: list[str], relations: list[str]
         "node_search": chain
         + 'SELECT n.document_id, n.id, n.name, n.entity_type AS "entityType", coalesce(t.path, m.path) AS "treePath" FROM nodes n LEFT JOIN tree t ON t.document_id = n.document_id AND n.id = \'tree:\' || t.node_id'
         " LEFT JOIN mentions m ON m.document_id = n.document_id AND n.kind = 'semantic' AND n.seq = [1, m.idx, 1, m.pos] WHERE contains(lower(n.name), 'ddr') QUALIFY row_number() OVER (PARTITION BY n.document_id ORDER BY n.seq) <= 20",
-        "node_neighborhood": chain
-        + """, centre AS (SELECT document_id, id FROM nodes WHERE name = 'DRAM' AND kind = 'semantic'),
-            near AS (SELECT e.* FROM edges e WHERE EXISTS (FROM centre c WHERE c.document_id = e.document_id AND c.id IN (e.src, e.tgt))),
-            shown AS (FROM centre UNION SELECT document_id, src FROM near UNION SELECT document_id, tgt FROM near)
-            SELECT document_id, id, 'node' AS item FROM nodes SEMI JOIN shown USING (document_id, id) UNION ALL SELECT document_id, id, 'edge' FROM near""",
+        "indexed_search": chain
+        + ", q(query) AS (VALUES " + ", ".join(f"('{q}')" for q in searches) + """) SELECT query, document_id, id, name FROM nodes, q WHERE contains(lower(name), lower(trim(query)))
+            QUALIFY row_number() OVER (PARTITION BY query, document_id ORDER BY seq) <= 20""",
+        "stored_neighborhood": chain + neighbours_of_dram,
+        "node_neighborhood": chain + neighbours_of_dram,
         "type_inventory": chain + "SELECT 'node' AS item, entity_type AS type, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT 'edge', relation_type, count(*) FROM edges GROUP BY ALL",
         "viewer_elements": chain
         + f"""SELECT document_id, id, name AS label, entity_type AS "entityType", kind || '-node modality-' || modality || CASE WHEN reasons <> '' THEN ' review-item' ELSE '' END AS classes,

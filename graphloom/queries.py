@@ -7,6 +7,7 @@ repeated sections, tables with captions, images with notes and captions.
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import normalize_key, slugify, stable_id, type_color
 from graphloom.operators import graph_query as gq
-from graphloom.operators import llm
+from graphloom.operators import llm, lookup
 from graphloom.operators.blocks import classified, components, is_title, lines_of, title_level
 from graphloom.operators.chunks import chunks
 from graphloom.operators.heuristic import entity_nodes, matches, mention_edges, mentions, pair_edges
@@ -243,6 +244,26 @@ def node_search(spark, sf_dir):
     return gq.search(_graph(spark, sf_dir).nodes, "  DDR ")
 
 
+#: Searches of the index: terms with and without a trigram, and one that no name has.
+_SEARCHES = ["  DDR ", "MT/s", "eCC", "5", "no such name"]
+
+
+def indexed_search(spark, sf_dir):
+    """The same searches as on nodes, by the stored index of names."""
+    path = place(spark, "names")
+    lookup.index_names(_graph(spark, sf_dir).nodes, path)
+    found = [lookup.search(spark, path, q).select(F.lit(q).alias("query"), "document_id", "id", "name") for q in _SEARCHES]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def stored_neighborhood(spark, sf_dir):
+    """Neighbours of every DRAM node, by edges that are bucketed by their ends."""
+    g = _graph(spark, sf_dir)
+    stored_edges = lookup.Neighbours(spark, place(spark, "neighbours"), 16).store(g.edges.select("document_id", "id", "src", "tgt"))
+    nodes, edges = stored_edges.neighborhood(g.nodes, (F.col("name") == "DRAM") & (F.col("kind") == "semantic"))
+    return nodes.select("document_id", "id", F.lit("node").alias("item")).unionByName(edges.select("document_id", "id", F.lit("edge").alias("item")))
+
+
 def node_neighborhood(spark, sf_dir):
     """Neighbours of every DRAM node."""
     g = _graph(spark, sf_dir)
@@ -486,7 +507,7 @@ QUERIES = {
     for f in (
         title_levels, title_lines, line_blocks, document_components, table_blocks, image_captions, tree_paths, node_chunks, chunk_windows, chunk_paragraphs,
         scalar_functions, entity_mentions, component_words, cooccurrence_edges, structural_graph_nodes, structural_graph_edges, merged_nodes, merged_edges,
-        validated_nodes, validated_edges, graph_counts, stored_graph, visible_subgraph, review_subgraph, node_search, node_neighborhood, type_inventory,
+        validated_nodes, validated_edges, graph_counts, stored_graph, visible_subgraph, review_subgraph, node_search, indexed_search, node_neighborhood, stored_neighborhood, type_inventory,
         viewer_elements, viewer_edges, edge_neighborhood, document_types, active_graph, ontology_types, store_round_trip, compacted_store, streamed_store, export_round_trip, files_round_trip, nested_trees, published_index, graph_indexes, model_answers,
         llm_records, llm_entities, llm_contains, llm_relations, entity_counts,
     )
@@ -494,4 +515,4 @@ QUERIES = {
 
 
 #: Expected rows by DuckDB, from the same corpus.
-ORACLE_SQL = statements(_CONTENT.replace("{n}", "' || chr(10) || '").strip(), _ANSWER.strip(), _TYPES, _RELATIONS)
+ORACLE_SQL = statements(_CONTENT.replace("{n}", "' || chr(10) || '").strip(), _ANSWER.strip(), _TYPES, _RELATIONS, _SEARCHES)
