@@ -5,7 +5,7 @@ one of its keywords stands in the text (an Aho-Corasick automaton finds them all
 one pass). Each place found is an interval of words with the rule's priority; an
 interval that lies inside one of a higher priority, or of the same priority and longer,
 is suppressed. Signatures of license bodies, headers, exceptions and notices are written
-by hand in ``license_signatures``; names with versions come from families and phrase
+by hand in ``license_signatures`` and ``license_sentences``; names with versions come from families and phrase
 templates here. Time goes with the length of a text and the number of its places.
 """
 
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from graphloom.llm.common import by_batches
+from graphloom.llm.license_sentences import EXCEPTION_SENTENCES, SENTENCES
 from graphloom.llm.license_signatures import BODIES, EXCEPTIONS, NAMES, NOTICES
 
 #: Phrases whose every place counts, and their labels; fixed values.
@@ -100,6 +101,8 @@ def rules() -> list[Rule]:
             out.append(Rule(f"{label}-{v.replace(' ', '.')}", words, full, 10 * rank + 5))
     for rows, priority in ((BODIES, 40), (EXCEPTIONS, 27), (NAMES, 12), (NOTICES, 1)):
         out += [Rule(label, (words,) if isinstance(words, str) else words, pattern, priority) for label, words, pattern, _ in rows]
+    for rows, priority in ((SENTENCES, 40), (EXCEPTION_SENTENCES, 27)):
+        out += [Rule(label, (words,), _normal(sentence).strip(), priority) for label, words, sentence in rows]
     return sorted(out, key=lambda r: (-r.priority, r.label, r.pattern))
 
 

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import langid, toxicity
 from graphloom.llm.decontaminate import decontaminate
+from graphloom.llm.license_sentences import EXCEPTION_SENTENCES, SENTENCES
 from graphloom.llm.license_signatures import BODIES, EXCEPTIONS, NAMES, NOTICES
-from graphloom.llm.license_scan import BASE, Found, detect, license_scan, rules, suppressed, _compiled, _normal
+from graphloom.llm.license_scan import BASE, Found, Pattern, detect, license_scan, rules, suppressed, _compiled, _normal
 from graphloom.llm.line_dedup import line_dedup
 from graphloom.llm.quality import quality
 from graphloom.llm.simhash import fingerprint, forest, near_pairs, simhash_groups, _masks, _refined
@@ -155,6 +156,20 @@ def test_each_signature_finds_its_passage():
     assert len({p for rows in (BODIES, EXCEPTIONS, NAMES, NOTICES) for _, _, p, _ in rows}) > 150
 
 
+def test_each_sentence_finds_itself_and_nothing_less():
+    for rows in (SENTENCES, EXCEPTION_SENTENCES):
+        for label, keyword, sentence in rows:
+            normal = _normal(sentence)
+            assert f" {keyword} " in normal, (label, keyword)
+            found = detect(_normal(f"Some words before. {sentence.upper()} And some after."))
+            assert any(f.label == label and f.priority > 1 for f in found), (label, sentence, found)
+            w = normal.split()
+            near = w[: len(w) // 2] + ["otherwise"] + w[len(w) // 2 :]  # one word more in the middle
+            assert not list(Pattern(normal.strip()).spans(f" {' '.join(near)} "))
+    hand = [*SENTENCES, *EXCEPTION_SENTENCES, *BODIES, *EXCEPTIONS, *NOTICES]
+    assert len(hand) > 300
+
+
 def test_signatures_with_gaps_of_any_length():
     for n in (1, 12, 13, 100, 5000):
         holder = " ".join(["Holder" * 9] * n)
@@ -167,7 +182,7 @@ def test_signatures_with_gaps_of_any_length():
 
 def test_license_labels_and_score_like_brute_force(spark):
     rng = np.random.default_rng(15)
-    passages = [row[3] for rows in (BODIES, EXCEPTIONS, NAMES, NOTICES) for row in rows] + ["GPL-3.0", "SPDX-License-Identifier: MIT", "plain words of a text", "the license of the law", "CC BY-SA 4.0", "MIT License"]
+    passages = [row[-1] for rows in (BODIES, EXCEPTIONS, NAMES, NOTICES, SENTENCES) for row in rows] + ["GPL-3.0", "SPDX-License-Identifier: MIT", "plain words of a text", "the license of the law", "CC BY-SA 4.0", "MIT License"]
     texts = [" ".join(rng.choice(passages, int(n))) for n in rng.integers(0, 8, 40)]
     for r in license_scan(frame(spark, list(enumerate(texts)))).collect():
         want = brute_found(_normal(texts[r.doc_id]))
