@@ -42,7 +42,9 @@ BLOCK = 16_384
 #: Pairs of ids whose counts are broadcast, at most (24 bytes each).
 HOT = 1_000_000
 #: Characters of text that are encoded together, and bytes of ids that are swept together.
-TEXT_CHARS, SWEPT_BYTES = 1_000_000, 500_000
+TEXT_CHARS, SWEPT_BYTES = 500_000, 300_000
+#: Of words with their ids that each of a worker's two encoders keeps.
+KEPT_BYTES = 12_000_000
 _A, _B, _NO_TOKENS = 0, 1, 2
 _LINK = "array<struct<a:int,b:int,n:int>>"
 
@@ -64,7 +66,7 @@ class Pieces:
         self.bytes = [bytes([int(x[3:5], 16)]) if self._model.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
         self.bad = len(names)
         self._space = [self._model.piece_to_id("▁")]
-        self._texts = TextEncoder(self._words, self._of_words, lead=True)
+        self._texts = TextEncoder(self._words, self._of_words, KEPT_BYTES, lead=True)
 
     @staticmethod
     def _words(text: str) -> list[str]:
@@ -91,7 +93,7 @@ class ByteLevel:
 
         of = token_bytes(Tokenizer.from_file(path))
         self.bytes = [of.get(i, b"") for i in range(max(of) + 1)]
-        self._encoder = Encoder(path, pattern, added=False, lead=True)
+        self._encoder = Encoder(path, pattern, added=False, lead=True, kept_bytes=KEPT_BYTES)
 
     def encode(self, texts: list[str]) -> Ids:
         found = self._encoder.encode(texts)
@@ -170,11 +172,11 @@ def token_events(docs: DataFrame, a_path: str, pattern: str, b_path: str, block:
 class Sweep:
     """The state machine: takes event rows in order, gives finished stretches of documents."""
 
-    def __init__(self, a_bytes: list[bytes], b_bytes: list[bytes]):
-        self._lengths = _lengths(a_bytes), _lengths(b_bytes)
-        self._n_b, self._n = len(b_bytes), len(a_bytes)
+    def __init__(self, a_lengths: np.ndarray, b_lengths: np.ndarray):
+        self._lengths = a_lengths.astype(np.int64), b_lengths.astype(np.int64)
+        self._n, self._n_b = len(a_lengths) - 1, len(b_lengths) - 1  # the last one is for no token
         # An id as text behind which its side goes on, and behind which it ends.
-        parts = [f"{i}{end}" for n, ends in ((len(a_bytes), ",|"), (len(b_bytes), ",;")) for i in range(n) for end in ends]
+        parts = [f"{i}{end}" for n, ends in ((self._n, ",|"), (self._n_b, ",;")) for i in range(n) for end in ends]
         self._texts = pa.array(parts, pa.large_string())
 
     def stretches(self, a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
@@ -299,15 +301,17 @@ class Machine:
         return bool(self._ready)
 
 
-def _sweep(a_path: str, b_path: str, names: list[str], texts: bool):
+def _sweep(lengths: tuple[np.ndarray, np.ndarray], kinds: list[np.dtype], names: list[str], texts: bool):
+    """Task function; the lengths of both vocabularies' tokens come from the driver, 4 bytes each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, state, kind = None, (hashlib.sha256(), False), None
         for batch in batches:
             if not batch.num_rows:
                 continue
             if machine is None:
-                tokens = _vocabularies(a_path, b_path)
-                machine, kind = Machine(Sweep(*tokens), [_kind(t) for t in tokens], texts), batch.column(0).type
+                _coders.cache_clear()  # a worker that has encoded needs its memory now
+                machine, kind = Machine(Sweep(*lengths), kinds, texts), batch.column(0).type
             share = np.cumsum(pc.binary_length(batch.column(4)).to_numpy(zero_copy_only=False)) // SWEPT_BYTES
             cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(cuts, cuts[1:]):
@@ -322,14 +326,6 @@ def _sweep(a_path: str, b_path: str, names: list[str], texts: bool):
     return run
 
 
-@functools.lru_cache(maxsize=1)
-def _vocabularies(a_path: str, b_path: str) -> tuple[list[bytes], list[bytes]]:
-    from tokenizers import Tokenizer
-
-    of = token_bytes(Tokenizer.from_file(a_path))
-    return [of.get(i, b"") for i in range(max(of) + 1)], Pieces(b_path).bytes
-
-
 def align(docs: DataFrame, a_path: str, pattern: str, b_path: str, block: int = BLOCK, texts: bool = False) -> DataFrame:
     """(doc_id, row, n_a, n_b, n_groups, n_links, groups_sha256, groups, links): the alignment of each row's text.
 
@@ -349,7 +345,9 @@ def align(docs: DataFrame, a_path: str, pattern: str, b_path: str, block: int =
     dealt = events.repartition("doc_id", "row").sortWithinPartitions("doc_id", "row", "at", "side")
     kinds = {"row": "bigint", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "groups_sha256": "string", "groups": "string", "links": _LINK}
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in kinds.items())).fields])
-    return by_batches(dealt, _sweep(a_path, b_path, schema.names, texts), schema)
+    tokens = [ByteLevel(a_path, pattern).bytes, Pieces(b_path).bytes]
+    sweep = _sweep(tuple(_lengths(t).astype(np.int32) for t in tokens), [_kind(t) for t in tokens], schema.names, texts)
+    return by_batches(dealt, sweep, schema)
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from graphloom.llm.common import by_batches
-from graphloom.llm.pieces import Ids, TextEncoder, runs
+from graphloom.llm.pieces import KEPT_BYTES, Ids, TextEncoder, runs
 
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
@@ -90,13 +90,13 @@ class Encoder:
     With ``lead`` a text gets a space in front.
     """
 
-    def __init__(self, path: str, pattern: str, added: bool, lead: bool = False):
+    def __init__(self, path: str, pattern: str, added: bool, lead: bool = False, kept_bytes: int = KEPT_BYTES):
         import regex
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         self._merge = tokenizer.model.tokenize
-        self._texts = TextEncoder(regex.compile(pattern).findall, self._of_words, lead=lead)
+        self._texts = TextEncoder(regex.compile(pattern).findall, self._of_words, kept_bytes, lead)
         self._added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items() if t.content} if added else {}
         for i, t in tokenizer.get_added_tokens_decoder().items() if added else ():
             if t.single_word or t.lstrip or t.rstrip or t.normalized and tokenizer.normalizer:
