@@ -196,7 +196,9 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     A null text is an empty one, with no ids. One row comes out for each row that goes
     in; special tokens have no meaning. Texts that are not valid Unicode cannot occur in
-    a Spark string column that was written as UTF-8. Other columns are not used.
+    a Spark string column that was written as UTF-8. Texts are encoded whole, whatever
+    their length; repeated rows come out repeated, an empty table gives an empty one.
+    Other columns are not used.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

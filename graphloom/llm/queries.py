@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import bpe_round_trip
-from graphloom.llm.common import TOKEN, shared_dir, words_of, written
+from graphloom.llm.common import TOKEN, words_of, written
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.langid import predict as predict_langid
 from graphloom.llm.langid import sample as sample_langid
@@ -24,6 +22,7 @@ from graphloom.llm.token_align import align, summed
 from graphloom.llm.token_store import token_digests, write_tokens
 from graphloom.llm.toxicity import toxicity
 from graphloom.llm.url_filter import host_of, url_filter
+from graphloom.scratch import place
 
 #: (verdict, host, path) of the rules that op2 applies.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -70,7 +69,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents written as compressed byte planes and read back."""
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = place(spark, "tokens")
     write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, path)
     return token_digests(spark, path)
 

@@ -268,7 +268,8 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
 
     A null or empty text has fingerprint 0 and is linked like any other. component_id
     is the smallest doc_id reachable, the row's own included; null only if all ids of
-    the component are null. Repeated rows come out repeated. Other columns of docs are
+    the component are null. Texts are read whole, a very long one by 65,536 shingles at a
+    time. Repeated rows come out repeated, an empty table gives an empty one. Other columns of docs are
     not used; kept ones must not be named fp or component_id. ``radius`` is at most 6, what three counter bits hold.
     """
     if not 0 <= radius <= 6:

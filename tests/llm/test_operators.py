@@ -86,6 +86,7 @@ def test_decontaminate_empty_tables(spark):
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://A.Net/x", "http://net", "https://www.example.net/en/a?b=1#c", "http://example.net/fr/", "x://example.com/de/1", "HTTP://Sub.Org/fr/", "http://notnet.com/", "http://h/p://q/r"]
     urls += ["http://spam.com/a", "https://www.spam.com/a/?utm_source=x#f", "https://m.spam.com:80/a/index.html", "http://spam.com/a?id=1&ref=2", "http://spam.com/b", None, "http://spam.com/a"]
+    long = "http://spam.com/" + "a/" * 100_000 + "?" + "&".join(f"k{i}=1" for i in range(3000))
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").withColumns({"host": F.lit("c"), "key": F.lit(1), "verdict": F.lit("c")})
     listed = spark.createDataFrame([("http://spam.com/a",), (None,), ("junk",), ("http://spam.com/a?id=1",)], "url string")
     rules_ = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -98,6 +99,11 @@ def test_urls(spark):
             ("sub.org", "/fr/", "org/fr/", "allow"), ("notnet.com", "/", None, "allow"), ("h", "/p://q/r", None, "allow"),
         ]
         assert [v for *_, v in got[11:]] == ["block", "block", "block", "block", "allow", "allow", "block"]
+    longer = spark.createDataFrame([(1, long), (2, long + "&x=2"), (3, long.replace("http://", "HTTPS://www.") + "#top")], "page_id bigint, url string")
+    assert {r.page_id: r.verdict for r in url_filter(longer, rules_, longer.where("page_id = 1").select("url")).collect()} == {1: "block", 2: "allow", 3: "block"}
+    many = [("block", f"h{i}.com", "/a/") for i in range(3000)] + [("allow", "x.h7.com", "/"), ("block", "h7.com", "/"), ("allow", "h7.com", "/")]
+    sites = spark.createDataFrame([(1, "http://q.h2999.com/a/b"), (2, "http://x.h7.com/a/"), (3, "http://x.h7.com/b"), (4, "http://h7.com/"), (5, "http://h2999.com/b")], "page_id bigint, url string")
+    assert {r.page_id: r.rule for r in url_filter(sites, many, listed.limit(0)).collect()} == {1: "h2999.com/a/", 2: "x.h7.com/", 3: "x.h7.com/", 4: "h7.com/", 5: None}
     assert url_filter(pages.limit(0), rules_, listed).count() == 0 and url_filter(pages, rules_, listed.limit(0)).where("verdict = 'block'").count() == 3
 
 
@@ -582,6 +588,27 @@ def test_small_groups_take_wider_thresholds(spark):
     assert not kept[900] and kept[901] and not kept[902] and kept[903] and all(kept[i] for i in range(40))
 
 
+def test_quality_of_texts_beyond_the_packed_places(spark, monkeypatch):
+    """With room for 16 places, longer texts have their windows compared without the shortcut."""
+    rng = np.random.default_rng(21)
+    docs = frame(spark, [(i, random_text(rng, int(n)), "en", "s") for i, n in enumerate(rng.integers(0, 60, 40))], "doc_id bigint, text string, lang string, source string")
+    want = sorted(map(tuple, quality(docs).collect()))
+    monkeypatch.setattr("graphloom.llm.quality._BITS", 4)
+    assert sorted(map(tuple, quality(docs).collect())) == want
+
+
+def test_fingerprints_of_very_long_texts():
+    rng = np.random.default_rng(22)
+    for n in (65_539, 65_540, 140_000):
+        text = " ".join(map(str, rng.integers(0, 500, n)))
+        w = text.split()
+        ones = np.zeros(64, dtype=np.int64)
+        for i in range(n - 3):
+            h = xxhash.xxh64_intdigest(" ".join(w[i : i + 4]), 42)
+            ones += np.unpackbits(np.array([h], dtype="<u8").view(np.uint8), bitorder="little")
+        assert fingerprint(text) == sum(1 << b for b in range(64) if 2 * ones[b] > n - 3)
+
+
 def test_quality_thresholds_follow_the_group(spark):
     rng = np.random.default_rng(9)
     vocab = ["w%d" % i for i in range(500)]

@@ -46,13 +46,12 @@ def test_documents_come_back_in_order(spark, tmp_path, kind):
     assert sorted((d, ids) for (_, _, d), ids in back.items()) == sorted((d, w) for (d, _), w in zip(texts, want, strict=True))
 
 
-def test_query_has_the_ids_of_the_library_by_default(spark, tmp_path, monkeypatch):
+def test_query_has_the_ids_of_the_library_by_default(spark, tmp_path):
     from graphloom.llm import queries
 
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n  y", "<|endoftext| >", "plain text", "é<|endoftext|>日本 ", None]
     docs = [(i, t) for i, t in enumerate(texts)]
     spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    monkeypatch.setattr(queries, "shared_dir", lambda _: str(tmp_path))
     library = Tokenizer.from_file(JSON)
     want = [[*library.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
     assert want[0] == [64, 220, 50256, 275, 0]
