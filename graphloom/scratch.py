@@ -12,6 +12,7 @@ from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.fs
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,7 +116,18 @@ def claim(spark: SparkSession, path: str) -> bool:
     """Creates an empty file; False if there is one, so that of several writers one alone gets True."""
     at, files = _at(spark, path)
     files.mkdirs(at.getParent())
-    return files.createNewFile(at)
+    try:
+        if files.getUri().getScheme() == "file":
+            os.close(os.open(at.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+        else:
+            files.create(at, False).close()
+    except FileExistsError:
+        return False
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
+            return False
+        raise
+    return True
 
 
 def entries(spark: SparkSession, path: str) -> dict[str, float]:
