@@ -1,8 +1,9 @@
 """Markdown documents to components: sections, texts, tables and images in order.
 
-A document's lines get their table state, boundaries and segments from windows over
-(document_id, line_no); each segment is then put together inside one row. All steps
-share the partitioning by document_id, so there is a single shuffle.
+A document's lines get their table state, boundaries and segments from running values
+over (document_id, line_no); each segment is then put together inside one row. All steps
+of ordinary documents share the partitioning by document_id, so there is a single
+shuffle; long documents are dealt over tasks by blocks of lines (``running``).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql.window import Window
 
 from graphloom.functions.text import SPACE, compact_text, stable_id, strip
 from graphloom.operators.metadata import meta
+from graphloom.operators.running import BLOCK, LONG_TEXT, by_length, running
 
 _NUMBERS = r"[一二三四五六七八九十百千万\d]+"
 #: Line patterns; fixed values.
@@ -28,7 +30,8 @@ def lines_of(documents: DataFrame) -> DataFrame:
     """(document_id, source_path, line_no, raw, line): lines as read and stripped; no empty line after a last break."""
     parts = F.split(F.coalesce("content", F.lit("")), LINE_BREAK, -1)
     parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    rows = documents.select("document_id", "source_path", F.posexplode(parts).alias("line_no", "raw"))
+    dealt = [c for c in documents.columns if c == "dealt"]
+    rows = documents.select("document_id", "source_path", *dealt, F.posexplode(parts).alias("line_no", "raw"))
     return rows.withColumn("line", strip("raw"))
 
 
@@ -57,7 +60,7 @@ def title_level(title: Column | str) -> Column:
     return level.cast("int")
 
 
-def classified(lines: DataFrame) -> DataFrame:
+def classified(lines: DataFrame, dealt: bool = False) -> DataFrame:
     """Adds each line's role: its segment, the segment's kind, and what the line is in there.
 
     ``part`` is head (a boundary line), table, caption, note or text. Inside a table
@@ -65,14 +68,13 @@ def classified(lines: DataFrame) -> DataFrame:
     with the closing tag. An image followed by a caption takes all lines up to the next
     boundary.
     """
-    by_line = Window.partitionBy("document_id").orderBy("line_no")
     lower = F.lower("line")
     opens, closes = lower.startswith("<table"), lower.contains("</table>")
-    state = F.last(F.when(closes, "out").when(opens, "in"), ignorenulls=True)
-    inside = F.coalesce(state.over(by_line.rowsBetween(Window.unboundedPreceding, -1)) == "in", F.lit(False))
+    state = F.when(closes, "out").when(opens, "in")
+    inside = running(lines, "line_no", dealt, last={"state": state})
     head = F.when(is_title(F.col("line")), "title").when(opens, "table").when(is_image(F.col("line")), "image")
-    marked = lines.withColumn("inside", inside).withColumn("head", F.when(~F.col("inside"), head))
-    segments = marked.withColumn("segment", F.sum(F.col("head").isNotNull().cast("int")).over(by_line))
+    marked = inside.withColumn("inside", F.coalesce(F.col("state") == "in", F.lit(False))).drop("state").withColumn("head", F.when(~F.col("inside"), head))
+    segments = running(marked, "line_no", dealt, total={"segment": F.col("head").isNotNull().cast("int")})
     whole = Window.partitionBy("document_id", "segment")
     caption = F.when(F.col("head").isNull() & F.col("line").rlike(IMAGE_CAPTION), F.col("line_no"))
     known = segments.withColumns({"kind": F.coalesce(F.max("head").over(whole), F.lit("text")), "caption_at": F.min(caption).over(whole)})
@@ -93,15 +95,15 @@ def _joined(part: str, column: str) -> Column:
     return F.transform(kept, lambda r: r[column])
 
 
-def _segments(lines: DataFrame) -> DataFrame:
+def _segments(lines: DataFrame, dealt: bool) -> DataFrame:
     """One row for each segment, with its texts."""
     row = F.struct("line_no", "part", "raw", "line")
-    grouped = classified(lines).groupBy("document_id", "source_path", "segment", "kind").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    grouped = classified(lines, dealt).groupBy("document_id", "source_path", "dealt", "segment", "kind").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     blank_out = lambda r: F.when(r["line"] == "", "").otherwise(r["raw"])
     text = F.transform(F.filter("rows", lambda r: r["part"] == "text"), blank_out)
     not_blank = lambda x: x != ""
     return grouped.select(
-        "document_id", "source_path", "segment", "kind",
+        "document_id", "source_path", "dealt", "segment", "kind",
         F.get(_joined("head", "line"), 0).alias("head"),
         F.array_join(text, "\n").alias("buffer"),
         compact_text(F.array_join(F.transform(F.filter("rows", lambda r: r["part"].isin("head", "table")), lambda r: r["raw"]), "\n")).alias("table_body"),
@@ -130,22 +132,33 @@ def image_path(line: Column) -> Column:
     return strip(F.when(found != "", found).otherwise(html))
 
 
-def components(documents: DataFrame) -> DataFrame:
-    """(document_id, source_path, idx, component_id, type, title, content, title_level, metadata).
+def components(documents: DataFrame, long_text: int = LONG_TEXT, block: int = BLOCK) -> DataFrame:
+    """(document_id, source_path, dealt, idx, component_id, type, title, content, title_level, metadata).
 
     A document without content has no component. The last paragraph before a table
-    becomes the table's caption if it reads like one.
+    becomes the table's caption if it reads like one. Documents of more than ``long_text``
+    characters are dealt over tasks in blocks of ``block`` lines; ``dealt`` holds that
+    number, null for others, whose lines meet in one task. A component is always put
+    together in one row.
     """
-    by_segment = Window.partitionBy("document_id").orderBy("segment")
-    segments = _segments(lines_of(documents))
+    return by_length(documents, _components, long_text, block)
+
+
+def _components(documents: DataFrame, dealt: bool) -> DataFrame:
+    segments = _segments(lines_of(documents), dealt)
     trimmed = F.regexp_replace("buffer", r"\n+\z", "")
     paragraph = F.element_at(F.split(trimmed, r"\n{2,}", -1), -1)
-    captioned = (F.lead("kind").over(by_segment) == "table") & compact_text(paragraph).rlike(TABLE_CAPTION)
-    segments = segments.withColumn("claimed", F.when(captioned, compact_text(paragraph)))
+    candidate = F.when(compact_text(paragraph).rlike(TABLE_CAPTION), compact_text(paragraph))
+    title = F.when(F.col("kind") == "title", F.col("head"))
+    segments = running(
+        segments.withColumn("candidate", candidate), "segment", dealt,
+        last={"before": F.struct("candidate"), "title_before": title}, following={"next_kind": F.col("kind")},
+    )
+    claimed = F.col("candidate").isNotNull() & F.coalesce(F.col("next_kind") == "table", F.lit(False))
     segments = segments.withColumns({
-        "text": compact_text(F.when(F.col("claimed").isNull(), F.col("buffer")).otherwise(trimmed.substr(F.lit(1), F.length(trimmed) - F.length(paragraph)))),
-        "caption": F.coalesce(F.lag("claimed").over(by_segment), F.lit("")),
-        "title": F.coalesce(F.last(F.when(F.col("kind") == "title", F.col("head")), ignorenulls=True).over(by_segment), F.lit("Document")),
+        "text": compact_text(F.when(claimed, trimmed.substr(F.lit(1), F.length(trimmed) - F.length(paragraph))).otherwise(F.col("buffer"))),
+        "caption": F.when(F.col("kind") == "table", F.coalesce("before.candidate", F.lit(""))).otherwise(""),
+        "title": F.coalesce(title, "title_before", F.lit("Document")),
     })
 
     none = F.array().cast("array<string>")
@@ -158,12 +171,14 @@ def components(documents: DataFrame) -> DataFrame:
     )
     table_meta = meta(table_body=F.col("table_body"), table_caption=table_caption, image_caption=none, note_text=F.lit(""))
     image_meta = meta(img_path=resolve_path(image_path(F.col("head")), F.col("source_path")), image_caption=F.col("captions"), table_caption=none, note_text=F.col("notes"))
-    item = lambda order, kind, content, about: F.struct(F.lit(order).alias("nth"), F.lit(kind).alias("type"), compact_text(content).alias("content"), about.alias("metadata"))
-    head = F.when(F.col("kind") == "title", item(0, "section", F.lit(""), meta())).when(F.col("kind") == "table", item(0, "table", table_text, table_meta)).when(F.col("kind") == "image", item(0, "image", image_text, image_meta))
-    body = F.when(F.col("text") != "", item(1, "text", F.col("text"), meta()))
-    found = segments.select("document_id", "source_path", "segment", "title", F.explode(F.array_compact(F.array(head, body))).alias("item"))
-    numbered = found.withColumn("idx", F.row_number().over(Window.partitionBy("document_id").orderBy("segment", "item.nth")))
-    return numbered.select(
-        "document_id", "source_path", "idx", stable_id("document_id", "idx", "item.type", "title", prefix="cmp-").alias("component_id"),
+    item = lambda kind, content, about: F.struct(F.lit(kind).alias("type"), compact_text(content).alias("content"), about.alias("metadata"))
+    head = F.when(F.col("kind") == "title", item("section", F.lit(""), meta())).when(F.col("kind") == "table", item("table", table_text, table_meta)).when(F.col("kind") == "image", item("image", image_text, image_meta))
+    body = F.when(F.col("text") != "", item("text", F.col("text"), meta()))
+    items = segments.select("document_id", "source_path", "dealt", "segment", "title", F.array_compact(F.array(head, body)).alias("items"))
+    numbered = running(items, "segment", dealt, total={"through": F.size("items")})
+    found = numbered.select("document_id", "source_path", "dealt", "title", (F.col("through") - F.size("items")).cast("int").alias("earlier"), F.posexplode("items").alias("nth", "item"))
+    found = found.withColumn("idx", F.col("earlier") + F.col("nth") + 1)
+    return found.select(
+        "document_id", "source_path", "dealt", "idx", stable_id("document_id", "idx", "item.type", "title", prefix="cmp-").alias("component_id"),
         F.col("item.type").alias("type"), "title", F.col("item.content").alias("content"), title_level("title").alias("title_level"), F.col("item.metadata").alias("metadata"),
     )

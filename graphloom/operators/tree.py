@@ -1,8 +1,9 @@
 """Component lists to document trees, as adjacency lists.
 
 A section's parent is the nearest section before it with a smaller level, any other
-component's parent the nearest section. Levels are 1 to 6, so six running windows hold
+component's parent the nearest section. Levels are 1 to 6, so six running values hold
 all possible ancestors of every row, and its path is put together inside the row.
+Components of a long document are dealt over tasks, as its lines are.
 """
 
 from __future__ import annotations
@@ -13,19 +14,12 @@ from pyspark.sql.window import Window
 
 from graphloom.functions.text import slugify
 from graphloom.operators.metadata import meta
+from graphloom.operators.running import running
 from graphloom.scratch import written
 
 _LEVELS = range(1, 7)
 
 
-def _ancestors() -> Column:
-    """Sections open at a row, the nearest first, from the last section of each level before it."""
-    before = Window.partitionBy("document_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    here = F.struct("idx", "level", "node_id", "key")
-    last = [F.last(F.when((F.col("node_type") == "section") & (F.col("level") == k), here), ignorenulls=True).over(before) for k in _LEVELS]
-    return F.array_compact(F.array(*last))
-
-
 def _open(sections: str, level: Column) -> Column:
     """Of the last sections of each level, nearest first, those that later ones have not closed."""
     nearest = F.sort_array(F.filter(sections, lambda s: s["level"] < level), asc=False)
@@ -37,10 +31,13 @@ def _open(sections: str, level: Column) -> Column:
     )
 
 
-def _parents(rows: DataFrame) -> DataFrame:
+def _parents(rows: DataFrame, dealt: bool) -> DataFrame:
     """Adds ``open``: the ancestors of each row, nearest first; sections stand below smaller levels only."""
     bound = F.when(F.col("node_type") == "section", F.col("level")).otherwise(F.lit(99))
-    return rows.withColumn("sections", _ancestors()).withColumn("open", _open("sections", bound)).drop("sections")
+    here = F.struct("idx", "level", "node_id", "key")
+    last = {f"section_{k}": F.when((F.col("node_type") == "section") & (F.col("level") == k), here) for k in _LEVELS}
+    before = running(rows, "idx", dealt, last=last)
+    return before.withColumn("sections", F.array_compact(F.array(*last))).withColumn("open", _open("sections", bound)).drop("sections", *last)
 
 
 _PARENT = ["document_id", "parent_id"]
@@ -98,11 +95,11 @@ def _numbers(at: str, rivals: str, first: Column) -> Column:
     return F.aggregate(F.coalesce(rivals, empty), F.struct(none.alias("lost"), none.alias("taken")), step)
 
 
-def sibling_keys(slugged: DataFrame) -> DataFrame:
+def sibling_keys(slugged: DataFrame, dealt: bool = False) -> DataFrame:
     """Adds ``key`` to stored rows with a slug, unique among siblings: the slug, then slug_1, slug_2 and so on in order."""
     nth = F.row_number().over(Window.partitionBy(*_PARENT, "slug").orderBy("idx"))
     exact = _contended(slugged)
-    numbered = slugged.repartition("document_id").withColumn("nth", nth)
+    numbered = (slugged if dealt else slugged.repartition("document_id")).withColumn("nth", nth)
     simple = F.when(F.col("nth") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("_"), F.col("nth") - 1))
     if exact is None:
         return numbered.withColumn("key", simple).drop("nth")
@@ -117,17 +114,22 @@ def tree_nodes(documents: DataFrame, components: DataFrame) -> DataFrame:
     are written to the shared folder, and keys and paths come from there.
     """
     rows = components.select(
-        "document_id", "source_path", "idx", F.col("component_id").alias("node_id"), "title", F.greatest(F.lit(1), "title_level").alias("level"),
+        "document_id", "source_path", "dealt", "idx", F.col("component_id").alias("node_id"), "title", F.greatest(F.lit(1), "title_level").alias("level"),
         "content", F.col("type").alias("node_type"), "metadata", F.lit(None).cast("string").alias("key"),
     )
-    seed = F.when(F.col("node_type") == "section", F.col("title")).otherwise(F.col("node_type"))
-    placed = _parents(rows).withColumns({"parent_id": F.coalesce(F.get("open", 0)["node_id"], F.lit("root")), "slug": slugify(seed, "node")}).drop("open", "key")
-    keyed = _parents(sibling_keys(written(placed, "placed")).drop("slug"))
-    path = F.concat_ws("/", F.lit("root"), F.reverse(F.transform("open", lambda s: s["key"])), "key")
     columns = ["document_id", "source_path", "idx", "node_id", "parent_id", "title", "level", "content", "node_type", "path", "metadata"]
     root = documents.select(
         "document_id", "source_path", F.lit(0).alias("idx"), F.lit("root").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.col("document_name").alias("title"),
         F.lit(0).alias("level"), F.lit("").alias("content"), F.lit("root").alias("node_type"), F.lit("root").alias("path"),
         meta(document_id=F.col("document_id"), source_path=F.col("source_path")).alias("metadata"),
     )
-    return root.unionByName(keyed.withColumn("path", path).select(*columns))
+    tree = root.unionByName(_with_paths(rows.where("dealt IS NULL"), False).select(*columns))
+    long = rows.where("dealt IS NOT NULL")  # folds to nothing where no document is long
+    return tree if long.isEmpty() else tree.unionByName(_with_paths(long, True).select(*columns))
+
+
+def _with_paths(rows: DataFrame, dealt: bool) -> DataFrame:
+    seed = F.when(F.col("node_type") == "section", F.col("title")).otherwise(F.col("node_type"))
+    placed = _parents(rows, dealt).withColumns({"parent_id": F.coalesce(F.get("open", 0)["node_id"], F.lit("root")), "slug": slugify(seed, "node")}).drop("open", "key")
+    keyed = _parents(sibling_keys(written(placed, "placed"), dealt).drop("slug"), dealt)
+    return keyed.withColumn("path", F.concat_ws("/", F.lit("root"), F.reverse(F.transform("open", lambda s: s["key"])), "key"))

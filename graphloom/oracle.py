@@ -252,6 +252,8 @@ def statements(content: str, answer: str, types: list[str], relations: list[str]
         "document_components": chain + "SELECT document_id, idx, component_id, type, title, content, title_level FROM components",
         "table_blocks": chain + "SELECT document_id, idx, caption, table_body AS body, content FROM components WHERE type = 'table'",
         "image_captions": chain + "SELECT document_id, idx, img_path, coalesce(array_to_string(captions, '|'), '') AS captions, notes, content FROM tree WHERE node_type = 'image'",
+        "dealt_components": chain + "SELECT document_id, idx, component_id, type, title, content, title_level FROM components",
+        "dealt_tree_paths": chain + "SELECT document_id, idx, node_id, parent_id, level, node_type, path FROM tree",
         "tree_paths": chain + "SELECT document_id, idx, node_id, parent_id, level, node_type, path FROM tree",
         "node_chunks": chain + "SELECT document_id, idx, 1 AS piece_idx, chunk_id, node_type, path AS tree_path, content FROM chunks",
         "chunk_windows": rf"""

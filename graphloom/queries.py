@@ -95,7 +95,7 @@ def line_blocks(spark, sf_dir):
 
 def document_components(spark, sf_dir):
     """Components with ids, titles, levels and contents."""
-    return components(corpus(spark, sf_dir)).drop("metadata", "source_path")
+    return components(corpus(spark, sf_dir)).drop("metadata", "source_path", "dealt")
 
 
 def table_blocks(spark, sf_dir):
@@ -120,6 +120,18 @@ def tree_paths(spark, sf_dir):
     return _tree(spark, sf_dir).select("document_id", "idx", "node_id", "parent_id", "level", "node_type", "path")
 
 
+def dealt_components(spark, sf_dir):
+    """Components where documents of over 250 characters are dealt over tasks in blocks of 3 lines; the same rows."""
+    return components(corpus(spark, sf_dir), long_text=250, block=3).drop("metadata", "source_path", "dealt")
+
+
+def dealt_tree_paths(spark, sf_dir):
+    """Tree nodes from documents of which those of over 250 characters are dealt in blocks of 3; the same rows."""
+    documents = corpus(spark, sf_dir)
+    tree = tree_nodes(documents, components(documents, long_text=250, block=3))
+    return tree.select("document_id", "idx", "node_id", "parent_id", "level", "node_type", "path")
+
+
 def node_chunks(spark, sf_dir):
     """One chunk for each node with content."""
     return chunks(_tree(spark, sf_dir)).select("document_id", "idx", "piece_idx", "chunk_id", "node_type", "tree_path", "content")
@@ -505,7 +517,7 @@ def entity_counts(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        title_levels, title_lines, line_blocks, document_components, table_blocks, image_captions, tree_paths, node_chunks, chunk_windows, chunk_paragraphs,
+        title_levels, title_lines, line_blocks, document_components, dealt_components, table_blocks, image_captions, tree_paths, dealt_tree_paths, node_chunks, chunk_windows, chunk_paragraphs,
         scalar_functions, entity_mentions, component_words, cooccurrence_edges, structural_graph_nodes, structural_graph_edges, merged_nodes, merged_edges,
         validated_nodes, validated_edges, graph_counts, stored_graph, visible_subgraph, review_subgraph, node_search, indexed_search, node_neighborhood, stored_neighborhood, type_inventory,
         viewer_elements, viewer_edges, edge_neighborhood, document_types, active_graph, ontology_types, store_round_trip, compacted_store, streamed_store, export_round_trip, files_round_trip, nested_trees, published_index, graph_indexes, model_answers,

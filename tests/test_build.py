@@ -1,5 +1,7 @@
 """Parsing, trees, chunks, extraction and the whole build."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from graphloom.operators.chunks import chunks
 from graphloom.operators.normalize import cluster_nodes, merge_edges
 from graphloom.operators.structural import structural_edges, structural_nodes
 from graphloom.operators.heuristic import mentions
+from graphloom.operators.running import running
 from graphloom.operators.tree import sibling_keys, tree_nodes
 from graphloom.operators.validate import graph_stats, judge_edges, judge_nodes
 from graphloom.plans.build import build
@@ -189,6 +192,34 @@ def test_sibling_keys_like_one_by_one(spark):
     assert got == {i: plain_keys(s) for i, s in enumerate(lists[:-1]) if s} | {len(lists) - 1: [*(["x"] + [f"x_{k}" for k in range(1, 20_000)]), "x_3_1", "y", *(f"x_{k}" for k in range(20_000, 20_050))]}
 
 
+def test_long_documents_are_dealt(spark):
+    import random
+
+    random.seed(11)
+    kinds = ["# A", "## A", "### b", "1.2 c", "###### d", "text", "more text", "", "", "<table>", "<tr>", "</table>", "<table>x</table>", "Table 1. Cap", "![x](a.png)", "note", "Figure 2: cap", "# A_1", "# A_2"]
+    texts = ["\n".join(random.choices(kinds, k=random.randint(0, 90))) for _ in range(25)] + ["", "\n" * 40, "# A\n" * 30, "text\n" * 30, "<table>\n" + "# A\n" * 20, None]
+    texts += ["# A\n![x](a.png)\n" + "note\n" * 9 + "Figure 1: late\n" + "cap\n" * 9, "text\n\nTable 1. Cap\n\n" + "\n" * 9 + "<table>\n</table>", "Table 1. Cap\n# T\n<table></table>\n<table></table>"]
+    documents = docs(spark, *texts)
+    whole = components(documents)
+    assert whole.where("dealt IS NOT NULL").count() == 0
+    want_parts, want_tree = sorted(map(str, whole.drop("dealt").collect())), sorted(map(str, tree_nodes(documents, whole).collect()))
+    for long_text, block in ((0, 1), (100, 4), (30, 1000)):
+        parts = components(documents, long_text=long_text, block=block)
+        assert {r.dealt for r in parts.collect()} >= {block}
+        assert sorted(map(str, parts.drop("dealt").collect())) == want_parts
+        assert sorted(map(str, tree_nodes(documents, parts).collect())) == want_tree
+
+
+def test_windows_of_dealt_rows_stay_inside_blocks(spark):
+    rows = spark.range(100).selectExpr("'d' AS document_id", "CAST(id AS int) AS n", "16 AS dealt", "repeat('x', 9) AS payload")
+    found = running(rows, "n", True, last={"a": F.when(F.col("n") % 30 == 7, F.col("n"))}, total={"b": F.col("n")}, following={"c": F.when(F.col("n") % 3 == 0, F.col("n"))})
+    windows = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x]
+    assert windows and all(re.search(r"\[document_id#\d+, block#\d+L?\], \[n#|\[document_id#\d+\], \[block#", x) for x in windows)
+    got = [(r.n, r.a, r.b, r.c) for r in found.orderBy("n").collect()]
+    want = [(n, (n - 8) // 30 * 30 + 7 if n > 7 else None, n * (n + 1) // 2, n + 1 if (n + 1) % 3 == 0 and n < 99 else None) for n in range(100)]
+    assert got == want
+
+
 def test_a_document_is_parsed_once_and_without_python(spark, tmp_path):
     docs(spark, *[GOLDEN, "# x\n# x_1\n# x\ntext of the die"] * 3).write.parquet(str(tmp_path / "docs"))
     documents = spark.read.parquet(str(tmp_path / "docs"))
