@@ -40,11 +40,15 @@ EVIDENCE = 500
 def matches(text: Column | str) -> Column:
     """All matches of a text as (entity_type, name), in the order of the types, then of places."""
     text = F.col(text) if isinstance(text, str) else text
-    of = lambda kind, pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(kind).alias("entity_type"), compact_text(m).alias("name")))
-    all_ = F.flatten(F.array(*(of(k, p) for k, p in PATTERNS.items())))
+    all_ = _matches(text)
     return F.when(text.rlike(_GATE), all_).otherwise(F.slice(all_, 1, 0))
 
 
+def _matches(text: Column) -> Column:
+    of = lambda kind, pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(kind).alias("entity_type"), compact_text(m).alias("name")))
+    return F.flatten(F.array(*(of(k, p) for k, p in PATTERNS.items())))
+
+
 def _sentences(text: Column) -> Column:
     return F.split(text, rf"(?U)(?<=[。.!?]){SPACE}+|\n+", -1)
 
@@ -55,10 +59,12 @@ def mentions(chunks: DataFrame) -> DataFrame:
     An entity stands at its first match and is written as its last one; its evidence is
     the first sentence that holds its name in any case, else the whole text, compact and
     of 500 characters at most. All of it is found inside the chunk's row: matches stand
-    sorted by key and place, so that neighbours tell where a key begins and ends.
+    sorted by key and place, so that neighbours tell where a key begins and ends. The
+    filter asks the gate alone and the generator takes an expression, not a column: a
+    filter on made columns would move below and make each of them again.
     """
-    texts = chunks.withColumn("text", compact_text("content")).where("text <> ''")
-    found = texts.withColumn("matches", matches("text")).where(F.size("matches") > 0)
+    texts = chunks.withColumn("text", compact_text("content"))
+    found = texts.where(F.col("text").rlike(_GATE)).withColumn("matches", _matches(F.col("text")))
     keyed = F.transform("matches", lambda m, i: F.struct(normalize_key(F.concat(m["entity_type"], F.lit(":"), m["name"])).alias("key"), i.alias("nth"), m.alias("m")))
     sorted_ = found.withColumn("sorted", F.array_sort(keyed))
     key_at = lambda i: F.get("sorted", i)["key"]
@@ -73,7 +79,7 @@ def mentions(chunks: DataFrame) -> DataFrame:
         return F.substring(compact_text(F.coalesce(stands, F.col("text"))), 1, EVIDENCE)
 
     told = F.transform("entities", lambda e, i: F.struct((i + 1).alias("pos"), e["m"]["entity_type"].alias("entity_type"), e["m"]["name"].alias("name"), evidence(e["m"]["name"]).alias("evidence")))
-    return rows.withColumn("told", told).drop("entities", "sentences").select("*", F.inline("told")).drop("told")
+    return rows.select("*", F.inline(told)).drop("entities", "sentences")
 
 
 def _entity_id() -> Column:
