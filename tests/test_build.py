@@ -257,3 +257,24 @@ def test_only_the_owner_removes_tables(spark):
         with pytest.raises(Exception, match="(?i)exist"):
             frame.count()
     assert kept[0][0].count() == 5
+
+
+def test_edges_are_dealt_once_and_heavy_documents_by_joins(spark):
+    from graphloom.operators import ends
+    from graphloom.plans.build import candidates
+
+    documents = docs(spark, *[GOLDEN, "# x\nthe die, a bank and copper\n# x_1\n# x\nDDR4 and ddr4 of the die"] * 3, "")
+    tree = written(tree_nodes(documents, components(documents)), "tree")
+    found = written(mentions(chunks(tree)), "mentions")
+    ((nodes, links, parts),) = candidates(tree, found)
+    merged = merge_edges(links, nodes, together=True)
+    judged = judge_edges(merged, written(judge_nodes(cluster_nodes(nodes)), "judged").repartition(parts, "document_id"), together=True)
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") > 0  # tables as they were written, not edges
+    plain = judge_edges(merge_edges(links, nodes), judge_nodes(cluster_nodes(nodes)))
+    want = sorted(map(str, plain.select(*judged.columns).collect()))
+    assert sorted(map(str, judged.collect())) == want and want
+    # The golden documents are heavy, the others are not.
+    (light, n), (heavy, none) = ends.dealt([tree, found], heavy=13, task_rows=10)
+    assert n >= 5 and none is None and {r.document_id for r in heavy[0].select("document_id").distinct().collect()} == {"doc-0", "doc-2", "doc-4"}
+    assert light[0].count() + heavy[0].count() == tree.count() and light[1].count() + heavy[1].count() == found.count()
