@@ -278,3 +278,13 @@ def test_edges_are_dealt_once_and_heavy_documents_by_joins(spark):
     (light, n), (heavy, none) = ends.dealt([tree, found], heavy=13, task_rows=10)
     assert n >= 5 and none is None and {r.document_id for r in heavy[0].select("document_id").distinct().collect()} == {"doc-0", "doc-2", "doc-4"}
     assert light[0].count() + heavy[0].count() == tree.count() and light[1].count() + heavy[1].count() == found.count()
+
+
+def test_parsing_is_dealt_before_lines_are_split(spark, tmp_path):
+    from graphloom import queries
+
+    docs(spark, *[GOLDEN] * 5).write.parquet(str(tmp_path / "docs"))
+    plan = components(spark.read.parquet(str(tmp_path / "docs")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 1
+    for rows in (queries.corpus(spark, "/root/testdata/sf0.001"), queries._llm(spark, "/root/testdata/sf0.001")[1]):
+        assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # one file, one task before
