@@ -275,3 +275,28 @@ def test_answers_are_asked_once(spark, tmp_path):
     (tmp_path / "mended").touch()
     assert ask(prompts, round_size=1) == {"c0": ("ONE", None), "c1": ("TWO", None), "c2": ("BAD", None), "c3": ("ONE", None), "c4": ("THREE", None)}
     assert asked() == ["bad", "bad", "bad", "one", "three", "two"] and ask(prompts.limit(0)) == {}
+
+
+def test_store_and_exports_deal_no_wide_rows(spark, tmp_path, monkeypatch):
+    from graphloom.plans import store
+
+    monkeypatch.setattr(store, "TOLD", 1)
+    schema = "document_id string, document_name string, source_path string, content string"
+    docs = spark.createDataFrame([(f"d{i}", f"n{i}", f"/d{i}.md", "# A\n\nHBM3 has a bank and DDR4.") for i in range(4)], schema)
+    g, path = build(docs), str(tmp_path / "store")
+    nodes, links = g.valid("nodes"), g.valid("edges")
+    fewer = store.written(store.entity_table(nodes.where("name <> 'HBM3' OR document_id <> 'd1'")), "fewer")
+    for rows in (store.entity_table(nodes), store.relation_table(links, store.entity_table(nodes))):
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    gone = links.join(nodes.where("name = 'HBM3' AND document_id = 'd1'").select("document_id", F.col("id").alias("x")), "document_id").where("src = x OR tgt = x").count()
+    assert gone and store.relation_table(links, fewer).count() == links.count() - gone
+    twice = store.entity_table(nodes.unionByName(nodes.withColumns({"name": F.lit("later"), "seq": F.array(F.lit(9))}).where("document_id = 'd2'")))
+    assert twice.count() == nodes.count() and {r.document_id for r in twice.where("name = 'later'").collect()} == {"d2"}
+    persist(g, path)
+    some = docs.where("document_id < 'd3'").withColumn("content", F.lit("# B"))
+    persist(build(some), path)
+    live = stored(spark, path, "entity")
+    assert "SortMergeJoin" not in live._jdf.queryExecution().executedPlan().toString()
+    assert {r.document_id for r in live.where("name = 'HBM3'").collect()} == {"d3"} and live.where("name = '# B'").count() == 3
+    export_json(g, str(tmp_path / "lines"))
+    assert all(n.endswith(".gz") for n in os.listdir(tmp_path / "lines") if n.startswith("part-"))
