@@ -157,11 +157,22 @@ def ask(prompts: DataFrame, make_client: Callable[[], Client], batch: int = BATC
     return columns.mapInPandas(run, "document_id string, chunk_id string, response string, error string")
 
 
-#: Prompts of one job: what a run that fails may have to ask again.
+#: Prompts of one job, of which a run that fails may have to ask all again; with over MOST_ROUNDS such jobs later ones are larger.
 ROUND = 20_000
+#: Rounds of a run, but for the first small ones.
+MOST_ROUNDS = 32
 _ANSWERS = "key string, response string, error string, attempt int"
 
 
+def _rounds(n: int) -> Iterator[tuple[int, int]]:
+    """Ranges of n shares: each may be twice the one before, up to a share of all, since every round reads all prompts that are left."""
+    first, width, most = 0, 1, math.ceil(n / MOST_ROUNDS)
+    while first < n:
+        end = min(n, first + width)
+        yield first, end
+        first, width = end, min(2 * width, most)
+
+
 def answered(
     prompts: DataFrame, make_client: Callable[[], Client], store: str, model: str = "", batch: int = BATCH, tasks: int | None = None, per_second: float | None = None,
     retries: int = 2, round_size: int = ROUND,
@@ -169,8 +180,8 @@ def answered(
     """(document_id, chunk_id, response, error, image_error) of ``with_images`` prompts, each distinct one asked once.
 
     Answers are kept in the table ``store`` by the hash of prompt, image and model. Only
-    prompts without an answer are asked, ``round_size`` at a time: a run that fails keeps
-    all rounds before. Failed prompts are asked again up to ``retries`` times in a run; what
+    prompts without an answer are asked, ``round_size`` at a time, later at most a
+    ``MOST_ROUNDS``-th of them: a run that fails keeps all rounds before. Failed prompts are asked again up to ``retries`` times in a run; what
     still fails has an empty response and its last error.
     """
     spark = prompts.sparkSession
@@ -184,8 +195,8 @@ def answered(
         left = keyed.join(known().where("error IS NULL").select("key").distinct(), "key", "left_anti").dropDuplicates(["key"])
         left = written(left.select(F.col("key").alias("document_id"), F.col("key").alias("chunk_id"), "prompt", "image_data_url"), "unanswered")
         rounds = math.ceil(left.count() / round_size)
-        for i in range(rounds):
-            part = left.where(F.pmod(F.xxhash64("chunk_id"), F.lit(rounds)) == i)
+        for first, end in _rounds(rounds):
+            part = left.where(F.pmod(F.xxhash64("chunk_id"), F.lit(rounds)).between(first, end - 1))
             found = ask(part, make_client, batch, tasks, per_second)
             found.select(F.col("chunk_id").alias("key"), "response", "error", F.lit(attempt).alias("attempt")).write.mode("append").parquet(store)
         if not rounds:

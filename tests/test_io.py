@@ -300,3 +300,10 @@ def test_store_and_exports_deal_no_wide_rows(spark, tmp_path, monkeypatch):
     assert {r.document_id for r in live.where("name = 'HBM3'").collect()} == {"d3"} and live.where("name = '# B'").count() == 3
     export_json(g, str(tmp_path / "lines"))
     assert all(n.endswith(".gz") for n in os.listdir(tmp_path / "lines") if n.startswith("part-"))
+
+
+def test_rounds_stay_few_for_many_prompts():
+    for n in (0, 1, 7, 32, 33, 1000, 8000, 100_000):
+        found = list(llm._rounds(n))
+        assert [k for first, end in found for k in range(first, end)] == list(range(n)) and len(found) <= 32 + n.bit_length()
+    assert list(llm._rounds(20)) == [(k, k + 1) for k in range(20)]
