@@ -92,7 +92,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     train_on = F.coalesce(_remainder(3) != 1, F.lit(False))
     held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
-    out = toxicity(docs, _table(spark, sf_dir, "labels"), train_on)
+    out = toxicity(docs, _table(spark, sf_dir, "labels"), train_on, texts=False)
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
