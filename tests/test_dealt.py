@@ -67,3 +67,13 @@ def test_nodes_that_stand_twice_are_found_once(spark, tmp_path):
     rest = {"entity_type": F.lit("t"), "tree_path": F.lit("p"), "seq": F.array(F.lit(1)), "review_reasons": F.array().cast("array<string>")}
     index_names(names.withColumns(rest), str(tmp_path))
     assert [r.id for r in having(spark, str(tmp_path), "dram").collect()] == ["a"]
+
+
+def test_placed_rows_are_stored_by_document_and_not_dealt_again(spark):
+    from graphloom.operators.blocks import components
+    from graphloom.operators.tree import tree_nodes
+
+    documents = spark.createDataFrame([(f"d{i}", f"d{i}", f"f/d{i}", "# A\n\ntext\n\n## B\n\nmore\n\n## B\n\nlast") for i in range(20)], "document_id string, document_name string, source_path string, content string")
+    tree = tree_nodes(documents, components(documents))
+    assert "Exchange" not in tree._jdf.queryExecution().executedPlan().toString()  # rows were shuffled once more for their keys
+    assert sorted(r.path for r in tree.where("document_id = 'd3' AND node_type = 'section'").collect()) == ["root/A", "root/A/B", "root/A/B_1"]
