@@ -211,12 +211,11 @@ def records(answers: DataFrame) -> DataFrame:
     rows = answers.select("*", F.posexplode(F.filter(F.transform(parts, strip), lambda p: p != "")).alias("record", "part"))
     inner = F.regexp_extract("part", r"(?s)\((.*)\)", 1)
 
-    def unquoted(value: Column) -> Column:
-        bare = strip(value)
+    def unquoted(bare: Column) -> Column:
         quoted = bare.rlike(r"(?s)\A([\"']).*\1\z") & (F.length(bare) >= 2)
         return compact_text(F.when(quoted, bare.substr(F.lit(2), F.length(bare) - 2)).otherwise(bare))
 
-    fields = F.transform(F.split(strip(inner), r"<\|>", -1), unquoted)
+    fields = F.transform(F.transform(F.split(strip(inner), r"<\|>", -1), strip), unquoted)
     return rows.where(F.col("part").rlike(r"(?s)\(.*\)")).withColumn("fields", fields).drop("part")
 
 
