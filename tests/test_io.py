@@ -307,3 +307,20 @@ def test_rounds_stay_few_for_many_prompts():
         found = list(llm._rounds(n))
         assert [k for first, end in found for k in range(first, end)] == list(range(n)) and len(found) <= 32 + n.bit_length()
     assert list(llm._rounds(20)) == [(k, k + 1) for k in range(20)]
+
+
+def test_a_folder_of_many_files_is_read_by_few_tasks(spark, tmp_path):
+    for n in range(300):
+        at = tmp_path / "in" / f"{n % 3}" / "deep" / f"a+b %20 {n}.md"
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(f"# é {n}\r\n", encoding="utf-8", newline="")
+    (tmp_path / "in" / "top.md").write_bytes(b"")
+    for hidden in ("in/.x.md", "in/_x/y.md", "in/0/_z.md", "in/0/.h/y.md", "in/0/n.txt"):
+        (tmp_path / hidden).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / hidden).write_text("hidden")
+    found = read_markdown_folder(spark, str(tmp_path / "in"))
+    assert found.rdd.getNumPartitions() <= 4
+    rows = {r.source_path: r for r in found.collect()}
+    at = str(tmp_path / "in" / "1" / "deep" / "a+b %20 4.md")
+    assert len(rows) == 301 and rows[at].content == "# é 4\r\n" and rows[at].document_name == "a+b %20 4"
+    assert rows[str(tmp_path / "in" / "top.md")].content == ""
