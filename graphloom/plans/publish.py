@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.plans.store import write_index
-from graphloom.scratch import absolute, exists, put_texts
+from graphloom.scratch import absolute, exists, put_texts, texts_at
 from graphloom.sources.documents import whole_texts
 from graphloom.sources.graphs import discover_exports
 
@@ -32,18 +32,19 @@ def viewer_index(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
 
 
-def publish(spark: SparkSession, working_dir: str, public_dir: str) -> dict:
+def publish(spark: SparkSession, working_dir: str, public_dir: str, zipped: bool = False) -> dict:
     """Puts the graphs of a working folder below ``public_dir/kg`` and writes their index; files go from task to task.
 
     A build that wrote an index table says what there is; other folders are looked
     through, see ``discover_exports``. Of graphs with the same id the last is put, of those
-    with the same name the last is listed.
+    with the same name the last is listed. ``zipped`` puts graph.json.gz, for servers
+    that send such files for graph.json, which the index lists.
     """
     root, kg = absolute(spark, working_dir), f"{absolute(spark, public_dir)}/kg"
     if exists(spark, f"{root}/index"):
         listed = spark.read.parquet(f"{root}/index")
         rows = listed.select(F.col("export_path").alias("at"), F.lit(0).alias("nth"), "document_id", "document_name", "source_path")
-        texts = whole_texts(spark, [f"{root}/*/exports/graph.json"])
+        texts = texts_at(listed.select(F.col("export_path").alias("path"))).withColumnRenamed("path", "source_path")
     else:
         paths = discover_exports(spark, working_dir)
         if not paths:
@@ -52,7 +53,7 @@ def publish(spark: SparkSession, working_dir: str, public_dir: str) -> dict:
     rows = rows.withColumn("graph_path", F.concat("document_id", F.lit("/graph.json")))
     last = rows.groupBy("document_id").agg(F.max_by(F.struct("at", "nth", "document_name", "source_path", "graph_path"), F.struct("nth", "at")).alias("row")).select("document_id", "row.*")
     met = last.join(texts, F.col("at") == texts["source_path"])
-    put_texts(met.select(F.concat(F.lit(f"{kg}/"), "graph_path").alias("path"), F.col("content").alias("text")))
+    put_texts(met.select(F.concat(F.lit(f"{kg}/"), "graph_path", F.lit(".gz" if zipped else "")).alias("path"), F.col("content").alias("text")))
     index = f"{kg}/index.json"
     listed = rows.groupBy("document_name").agg(F.max_by(F.struct("document_id", "source_path", "graph_path"), F.struct("nth", "at")).alias("row"))
     listed = listed.select("document_name", "row.*")

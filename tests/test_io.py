@@ -324,3 +324,13 @@ def test_a_folder_of_many_files_is_read_by_few_tasks(spark, tmp_path):
     at = str(tmp_path / "in" / "1" / "deep" / "a+b %20 4.md")
     assert len(rows) == 301 and rows[at].content == "# é 4\r\n" and rows[at].document_name == "a+b %20 4"
     assert rows[str(tmp_path / "in" / "top.md")].content == ""
+
+
+def test_zipped_files_are_written_and_read_in_tasks(spark, tmp_path):
+    from graphloom.scratch import put_texts, texts_at
+
+    at = str(tmp_path / "kg" / "d" / "graph.json.gz")
+    rows = spark.createDataFrame([(at, "é" * 9000)], "path string, text string")
+    assert put_texts(rows) == 1 and (tmp_path / "kg" / "d" / "graph.json.gz").stat().st_size < 500
+    assert texts_at(rows.select("path")).first().content == "é" * 9000
+    assert spark.read.text(at).first().value == "é" * 9000
