@@ -234,9 +234,10 @@ def supported(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     """Rows whose evidence_span stands in their chunk's content, with the chunk's columns; evidence on other media is trusted.
 
     Each chunk is normalised once, before its records meet it, and each distinct passage
-    of a row once.
+    of a row once. The hint is for chunks whose files are small: texts made from them, many
+    times as large, would be held in the driver to be broadcast.
     """
-    read = chunks.withColumn("_content", plain(F.col("content")))
+    read = chunks.withColumn("_content", plain(F.col("content"))).hint("merge")
     met = rows.withColumn("_evidence", plain(F.col("evidence_span"))).join(read, ["document_id", "chunk_id"])
     stands = (F.col("_evidence") != "") & F.contains("_content", F.col("_evidence"))
     return met.where((F.col("node_type") != "text") | stands).drop("_content", "_evidence")
@@ -293,7 +294,7 @@ def llm_relations(chunks: DataFrame, entities: DataFrame, answers: DataFrame, on
     )
     last = entities.groupBy("document_id", "chunk_id", normalize_key("name").alias("key")).agg(F.max_by("id", "pos").alias("end"))
     for end in ("src", "tgt"):
-        rows = rows.join(last.select("document_id", "chunk_id", F.col("key").alias(f"{end}_key"), F.col("end").alias(end)), ["document_id", "chunk_id", f"{end}_key"])
+        rows = rows.join(last.select("document_id", "chunk_id", F.col("key").alias(f"{end}_key"), F.col("end").alias(end)).hint("merge"), ["document_id", "chunk_id", f"{end}_key"])
     kept = supported(rows.where("src <> tgt AND relation_type IS NOT NULL AND evidence_span <> ''"), chunks)
     return kept.select(
         "document_id", F.array(F.lit(1), "idx", "piece_idx", F.lit(1), "record").alias("seq"), stable_id("document_id", "src", "tgt", "relation_type", "chunk_id", prefix="edge-").alias("id"),
@@ -312,5 +313,5 @@ def relation_prompts(chunks: DataFrame, entities: DataFrame, ontology: Ontology
     """Prompts of the chunks that have an entity, naming all of them in order."""
     in_order = F.transform(F.sort_array(F.collect_list(F.struct("pos", "name"))), lambda e: e["name"])
     named = entities.groupBy("document_id", "chunk_id").agg(in_order.alias("names"))
-    asked = chunks.join(named, ["document_id", "chunk_id"])
+    asked = chunks.join(named.hint("merge"), ["document_id", "chunk_id"])
     return asked.select("document_id", "chunk_id", relation_prompt(ontology, F.col("names")).alias("prompt"), F.when(F.col("node_type") == "image", F.col("metadata.img_path")).alias("image_path"))
