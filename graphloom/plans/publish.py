@@ -41,19 +41,20 @@ def publish(spark: SparkSession, working_dir: str, public_dir: str, zipped: bool
     that send such files for graph.json, which the index lists.
     """
     root, kg = absolute(spark, working_dir), f"{absolute(spark, public_dir)}/kg"
+    paths = None
     if exists(spark, f"{root}/index"):
         listed = spark.read.parquet(f"{root}/index")
         rows = listed.select(F.col("export_path").alias("at"), F.lit(0).alias("nth"), "document_id", "document_name", "source_path")
-        texts = texts_at(listed.select(F.col("export_path").alias("path"))).withColumnRenamed("path", "source_path")
     else:
         paths = discover_exports(spark, working_dir)
         if not paths:
             raise FileNotFoundError(f"no graph exports under {working_dir}")
-        rows, texts = viewer_index(spark, paths), whole_texts(spark, paths)
+        rows = viewer_index(spark, paths)
     rows = rows.withColumn("graph_path", F.concat("document_id", F.lit("/graph.json")))
-    last = rows.groupBy("document_id").agg(F.max_by(F.struct("at", "nth", "document_name", "source_path", "graph_path"), F.struct("nth", "at")).alias("row")).select("document_id", "row.*")
-    met = last.join(texts, F.col("at") == texts["source_path"])
-    put_texts(met.select(F.concat(F.lit(f"{kg}/"), "graph_path", F.lit(".gz" if zipped else "")).alias("path"), F.col("content").alias("text")))
+    last = rows.groupBy("document_id").agg(F.max_by(F.struct("at", "nth", "document_name", "source_path", "graph_path"), F.struct("nth", "at")).alias("row")).select("document_id", "row.at", "row.graph_path")
+    # A task reads the files of its own rows: texts that met rows in a join would be taken for as small as their paths, and broadcast.
+    texts = texts_at(last.select(F.col("at").alias("path"), "graph_path")) if paths is None else last.join(whole_texts(spark, paths).withColumnRenamed("source_path", "at"), "at")
+    put_texts(texts.select(F.concat(F.lit(f"{kg}/"), "graph_path", F.lit(".gz" if zipped else "")).alias("path"), F.col("content").alias("text")))
     index = f"{kg}/index.json"
     listed = rows.groupBy("document_name").agg(F.max_by(F.struct("document_id", "source_path", "graph_path"), F.struct("nth", "at")).alias("row"))
     listed = listed.select("document_name", "row.*")

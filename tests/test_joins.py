@@ -25,3 +25,25 @@ def test_answers_and_chunks_are_not_broadcast(spark):
     prompts = llm.relation_prompts(chunks, found)
     assert not [t for t in (found, related, prompts) if "Broadcast" in _plan(t)]
     assert (found.count(), related.count(), prompts.count()) == (40, 20, 20)
+
+
+def test_published_texts_stay_in_tasks(spark, tmp_path, monkeypatch):
+    """No text of a graph meets its row in a join, and an index is read by its lines."""
+    from graphloom.plans import publish as published
+    from graphloom.plans.build import build
+    from graphloom.plans.store import export_files
+    from graphloom.sources.documents import from_table
+    from graphloom.sources.graphs import graphs_at, index_entries, index_lines, read_graphs
+
+    graph = build(from_table(spark.range(5), F.concat(F.lit("n\n{,"), "id"), F.lit("# A\n\nDRAM and ECC.\n"), "notes"))
+    export_files(graph, str(tmp_path / "work"), zipped=True)
+    plans, put = [], published.put_texts
+    monkeypatch.setattr(published, "put_texts", lambda rows: plans.append(_plan(rows)) or put(rows))
+    index = published.publish(spark, str(tmp_path / "work"), str(tmp_path / "public"), zipped=True)["index_path"]
+    assert len(plans) == 1 and "Join" not in plans[0]
+    whole = index_entries(spark.read.text(index, wholetext=True).withColumnRenamed("value", "content"))
+    listed = index_entries(index_lines(spark, index))
+    assert sorted(listed.collect()) == sorted(whole.collect()) and listed.count() == 5
+    read = graphs_at(listed.select(F.concat(F.lit(f"{tmp_path}/public/kg/"), "path", F.lit(".gz")).alias("path")))
+    rows = lambda t: sorted(map(str, t.select("document", "nodes", "edges", "review", "stats").collect()))
+    assert rows(read) == rows(read_graphs(spark, f"{tmp_path}/public/kg/*/graph.json.gz")) and len(rows(read)) == 5
